@@ -20,16 +20,18 @@ below has at most 1000 entries and no group grows with the data, however often a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions.paths import basename, dirname, join_path, stem, suffix
-from stowage.operators.skew import HOT_ROWS, lookup, rank_within
+from stowage.operators.skew import HOT_ROWS, local_hot_keys, lookup_with, rank_with
+from stowage.session import cut_lineage
 
 # Fixed value: the highest suffix tried.
 LAST_SUFFIX = 999
 SLOTS = LAST_SUFFIX + 1
 COLLISION_LIMIT = "collision limit"
+PARTS = 64
 
 NODE = ["dir", "name"]
 _CHILD = r"(?s)^(.+)_([1-9][0-9]{0,2})$"
@@ -97,17 +99,18 @@ def _slots(files: Column, blocks: Column, start: int) -> Column:
     return F.aggregate(files, empty, place, lambda done: done["all"])
 
 
-def _parents(ranked: DataFrame, edges: DataFrame) -> DataFrame:
-    """Slots of the files of every name with children, for both values of the bit."""
+def _parents(wanted: DataFrame, edges: DataFrame) -> DataFrame:
+    """Slots of the first 1000 files of every name with children, for both values of the bit."""
     blocks = edges.groupBy("dir", F.col("parent").alias("name")).agg(
         F.array_sort(F.collect_list(F.struct("slot", "first"))).alias("blocks")  # at most 999
     )
-    files = (
-        ranked.filter(F.col("rank") <= SLOTS)
-        .join(blocks.select(*NODE), NODE, "left_semi")
-        .groupBy(*NODE)
-        .agg(F.array_sort(F.collect_list("__order")).alias("files"))  # at most 1000
-    )
+    # First 1000 per salted part and then per name: a limit on row_number is applied before each shuffle.
+    mine = wanted.select(*NODE, "__order").join(blocks.select(*NODE), NODE, "left_semi")
+    parted = mine.withColumn("part", F.pmod(F.xxhash64("__order"), F.lit(PARTS)))
+    for keys in ([*NODE, "part"], NODE):
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("__order"))
+        parted = parted.withColumn("nth", nth).filter(F.col("nth") <= SLOTS)
+    files = parted.groupBy(*NODE).agg(F.array_sort(F.collect_list("__order")).alias("files"))  # at most 1000
     return files.join(blocks, NODE).select(
         *NODE,
         _slots(F.col("files"), F.col("blocks"), -1).alias("if_free"),
@@ -155,9 +158,26 @@ def _taken(edges: DataFrame, parents: DataFrame, nodes: DataFrame) -> DataFrame:
     return folded.union(there).distinct()
 
 
-def _prepare(planned: DataFrame, existing: DataFrame, target: str, order: Column) -> tuple[DataFrame, DataFrame]:
-    wanted = _with_node(planned, target).withColumn("__order", order)
-    return wanted, _with_node(existing.select("path"), "path").select(*NODE)
+class _Clashes:
+    """Tables both results below start from.
+
+    Wanted names, the count per name and the links between names are written once each: they are read
+    several times, and the plan that made them may be long.
+    """
+
+    def __init__(self, planned: DataFrame, existing: DataFrame, target: str, order: Column, hot_rows: int):
+        self.columns = planned.columns
+        self.hot_rows = hot_rows
+        self.wanted = cut_lineage(_with_node(planned, target).withColumn("__order", order), "wanted")
+        there = _with_node(existing.select("path"), "path").select(*NODE)
+        self.nodes = cut_lineage(_nodes(self.wanted, there), "names")
+        self.edges = cut_lineage(_edges(self.nodes), "links")
+        self.hot = local_hot_keys(self.nodes, NODE, "wanted", hot_rows)
+
+    def ranked(self, facts: DataFrame) -> DataFrame:
+        """Wanted names with ``rank`` and the facts of their name; one shuffle serves both."""
+        rows = lookup_with(self.wanted, facts, NODE, F.col("__order"), self.hot)
+        return rank_with(rows, NODE, [F.col("__order")], "rank", self.hot_rows, self.hot)
 
 
 def clash_classes(planned: DataFrame, existing: DataFrame, target: str, order: Column,
@@ -166,46 +186,44 @@ def clash_classes(planned: DataFrame, existing: DataFrame, target: str, order: C
 
     ``linked`` names have a parent or child in use; for the others the r-th file takes suffix r-1.
     """
-    wanted, there = _prepare(planned, existing, target, order)
-    nodes = _nodes(wanted, there)
-    edges = _edges(nodes)
+    clashes = _Clashes(planned, existing, target, order, hot_rows)
+    edges = clashes.edges
     linked = edges.select(*NODE).union(edges.select("dir", F.col("parent").alias("name"))).distinct()
-    known = (
-        linked.withColumn("linked", F.lit(True))
-        .join(_there(nodes).withColumn("exists", F.lit(True)), NODE, "full_outer")
+    facts = linked.withColumn("linked", F.lit(True)).join(
+        _there(clashes.nodes).withColumn("exists", F.lit(True)), NODE, "full_outer"
     )
-    ranked = rank_within(wanted, NODE, [F.col("__order")], hot_rows=hot_rows)
-    out = lookup(ranked, known, NODE, F.col("__order"), hot_rows)
-    linked_flag = F.coalesce("linked", F.lit(False))
     slot = F.col("rank") - 1 + F.coalesce("exists", F.lit(False)).cast("int")
-    name = F.when(~linked_flag & (slot <= LAST_SUFFIX), _numbered(F.col("name"), slot))
-    return out.select(
-        *planned.columns, "rank", linked_flag.alias("linked"), F.when(name.isNotNull(), join_path("dir", name)).alias("final_path"),
+    linked_flag = F.coalesce("linked", F.lit(False))
+    path = F.when(~linked_flag & (slot <= LAST_SUFFIX), join_path("dir", _numbered(F.col("name"), slot)))
+    return clashes.ranked(facts).select(
+        *clashes.columns, "rank", linked_flag.alias("linked"), path.alias("final_path")
     )
 
 
-def resolve_names(planned: DataFrame, existing: DataFrame, target: str = "to_path", order: Column | None = None,
+def resolve_names(planned: DataFrame, existing: DataFrame, target: str, order: Column,
                   hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``final_path`` (null when no name is free) and ``error`` to every planned move.
 
     ``existing`` has one column ``path``; ``order`` is a string column giving the sequence of the moves.
     """
-    wanted, there = _prepare(planned, existing, target, order)
-    nodes = _nodes(wanted, there)
-    edges = _edges(nodes)
-    ranked = rank_within(wanted, NODE, [F.col("__order")], hot_rows=hot_rows)
-    parents = _parents(ranked, edges)
-    taken = _taken(edges, parents, nodes).withColumn("taken", F.lit(True))
-    special = taken.join(parents, NODE, "full_outer")
-    rows = lookup(ranked, special, NODE, F.col("__order"), hot_rows)
+    clashes = _Clashes(planned, existing, target, order, hot_rows)
+    edges = clashes.edges
+    if edges.isEmpty():
+        facts = _there(clashes.nodes).withColumns({
+            "taken": F.lit(True), "if_free": F.lit(None).cast("array<int>"), "if_taken": F.lit(None).cast("array<int>"),
+        })
+    else:
+        parents = _parents(clashes.wanted, edges)
+        taken = _taken(edges, parents, clashes.nodes).withColumn("taken", F.lit(True))
+        facts = taken.join(parents, NODE, "full_outer")
 
     gone = F.coalesce("taken", F.lit(False))
     plain = F.col("rank") - 1 + gone.cast("int")
     worked = F.get(F.when(gone, F.col("if_taken")).otherwise(F.col("if_free")), (F.col("rank") - 1).cast("int"))
     slot = F.when(F.col("if_free").isNull(), plain).otherwise(F.coalesce(worked, F.lit(SLOTS)))
-    fits = slot <= LAST_SUFFIX
-    return rows.withColumn("__slot", slot).select(
-        *planned.columns,
+    fits = F.col("__slot") <= LAST_SUFFIX
+    return clashes.ranked(facts).withColumn("__slot", slot).select(
+        *clashes.columns,
         F.when(fits, join_path("dir", _numbered(F.col("name"), F.col("__slot")))).alias("final_path"),
         F.when(~fits, F.lit(COLLISION_LIMIT)).alias("error"),
     )

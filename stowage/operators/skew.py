@@ -23,20 +23,24 @@ def largest_groups(counts: DataFrame, keys: list[str], size: str, hot_rows: int)
     return counts.filter(F.col(size) >= hot_rows).orderBy(F.desc(size), *keys).limit(HOT_KEYS)
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
-    """Local table of hot keys with their estimated rows, or None when there are none.
+def local_hot_keys(counts: DataFrame, keys: list[str], size: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Local table (keys, n) of the hot groups of a count table, or None when there are none."""
+    top = largest_groups(counts, keys, size, hot_rows).select(*keys, F.col(size).cast("bigint").alias("n"))
+    found = top.collect()  # at most HOT_KEYS rows
+    return counts.sparkSession.createDataFrame(found, top.schema) if found else None
 
-    Counted on a seeded sample of the key columns; only statistics are sampled, never results.
+
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Hot keys of any table, counted on a seeded sample of its key columns.
+
+    Only these statistics are sampled, never results.
     """
-    fraction = SAMPLE_FRACTION if hot_rows >= 1000 / SAMPLE_FRACTION else 1.0
+    fraction = SAMPLE_FRACTION if hot_rows * SAMPLE_FRACTION >= 1000 else 1.0
     sample = df.select(*keys)
     if fraction < 1.0:
         sample = sample.sample(fraction=fraction, seed=11)
     counts = sample.groupBy(*keys).agg((F.count("*") / fraction).cast("bigint").alias("n"))
-    found = largest_groups(counts, keys, "n", hot_rows).collect()  # at most HOT_KEYS rows
-    if not found:
-        return None
-    return df.sparkSession.createDataFrame(found, counts.schema)
+    return local_hot_keys(counts, keys, "n", hot_rows)
 
 
 def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, spread: Column) -> DataFrame:
@@ -62,7 +66,11 @@ def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], hot: Da
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left outer join to a right side unique on ``keys``, balanced for hot keys of ``left``."""
-    hot = hot_keys(left, keys, hot_rows)
+    return lookup_with(left, right, keys, spread, hot_keys(left, keys, hot_rows))
+
+
+def lookup_with(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, hot: DataFrame | None) -> DataFrame:
+    """:func:`lookup` with hot keys that are known already."""
     if hot is None:
         return left.join(right, keys, "left")
     names = hot.select(*keys)
@@ -73,12 +81,18 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, h
 def rank_within(
     df: DataFrame, keys: list[str], order: list[Column], name: str = "rank", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """``row_number`` per group, with hot groups cut into ranges of the order.
+    """``row_number`` per group, with hot groups cut into ranges of the order."""
+    return rank_with(df, keys, order, name, hot_rows, hot_keys(df, keys, hot_rows))
+
+
+def rank_with(
+    df: DataFrame, keys: list[str], order: list[Column], name: str, hot_rows: int, hot: DataFrame | None
+) -> DataFrame:
+    """:func:`rank_within` with hot keys that are known already.
 
     The order must be total on distinct rows. Range bounds come from a hash-chosen sample of each hot
     group; they decide only how even the ranges are. A range's ranks are shifted by the rows before it.
     """
-    hot = hot_keys(df, keys, hot_rows)
     if hot is None:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
 

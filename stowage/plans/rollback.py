@@ -124,9 +124,9 @@ def not_restored(judged: DataFrame, limit: int = 10) -> DataFrame:
     return first_rows(judged.filter("outcome <> 'restored'"), [rollback_order()], limit)
 
 
-def closing_events(summary: DataFrame, rollback_id: Column, at: Column) -> DataFrame:
+def closing_events(undone: DataFrame, rollback_id: Column, at: Column) -> DataFrame:
     """The status event that closes each original, whatever its steps came to."""
-    return summary.select(
+    return undone.select(
         "transaction_id", F.lit(1).cast("bigint").alias("event_seq"), F.lit("rolled_back").alias("status"),
         at.alias("rolled_back_at"), rollback_id.alias("rollback_transaction_id"),
     )

@@ -44,6 +44,8 @@ SCANS = _struct(
     categories=_CATEGORY_TOTALS,
 )
 
+SCAN_ERRORS = _struct("scan_id string, file_path string, error string")
+
 TRANSACTIONS = _struct(
     "transaction_id string, scan_id string, type string, status string, summary struct, target_path string, "
     "dry_run boolean, strategy string, created_at timestamp_ntz, completed_at timestamp_ntz",

@@ -44,7 +44,13 @@ def work_folder(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Write the rows to the shared folder and read them back.
+
+    Like a reliable checkpoint it survives the loss of any executor; unlike one it is columnar, so later
+    steps read only the columns they need and the optimizer knows the size.
+    """
+    spark = df.sparkSession
+    folder = work_folder(spark, label)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

@@ -20,6 +20,7 @@ class CatalogueStore:
     LAYOUT = {
         "file_records": (schemas.FILE_RECORDS, ["scan_id"], ["hash"]),
         "scans": (schemas.SCANS, [], []),
+        "scan_errors": (schemas.SCAN_ERRORS, [], []),
         "transactions": (schemas.TRANSACTIONS, ["type"], []),
         "actions": (schemas.ACTIONS, ["status"], []),
         "status_events": (schemas.STATUS_EVENTS, [], []),
@@ -51,6 +52,9 @@ class CatalogueStore:
     def file_records(self) -> DataFrame:
         return self.read("file_records")
 
+    def scan_errors(self) -> DataFrame:
+        return self.read("scan_errors")
+
     def scans(self) -> DataFrame:
         return self.read("scans")
 
