@@ -35,7 +35,7 @@ def resolved(spark, planned, existing, hot_rows=1_000_000):
     return {r.from_path: r.final_path for r in rows}
 
 
-@pytest.mark.parametrize("names, existing", [
+SMALL_CASES = [
     (["a.txt", "a.txt", "a_1.txt"], []),
     (["a_1.txt", "a.txt", "a.txt"], []),
     (["a.txt", "a_1.txt", "a.txt", "a_1.txt", "a_1_1.txt"], []),
@@ -46,10 +46,13 @@ def resolved(spark, planned, existing, hot_rows=1_000_000):
     (["_1", "_1", "_1_1", ".rc", ".rc", ".rc_1", "x.", "x.", "x_1.", "..a", "..a"], []),
     (["a", "a", "a_1.", "a.b_1", "a.b", "a.b"], ["a_1"]),
     (["only.txt"], []),
-])
-def test_small_cases(spark, names, existing):
-    planned = [(f"/src/{i:02d}/{n}", f"/dst/{n}") for i, n in enumerate(names)]
-    there = [f"/dst/{n}" for n in existing]
+]
+
+
+def test_small_cases(spark):
+    """All at once, each in a folder of its own."""
+    planned = [(f"/src/{c}/{i:02d}/{n}", f"/dst/{c}/{n}") for c, case in enumerate(SMALL_CASES) for i, n in enumerate(case[0])]
+    there = [f"/dst/{c}/{n}" for c, case in enumerate(SMALL_CASES) for n in case[1]]
     assert resolved(spark, planned, there) == one_after_another(planned, there)
 
 
