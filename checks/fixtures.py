@@ -9,15 +9,17 @@ from __future__ import annotations
 import datetime
 import functools
 import os
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.functions import action_id
-from stowage.operators.skew import rank_within
+from stowage.operators.skew import HOT_ROWS, hot_keys, lookup_with, rank_with
 from stowage.plans import ledger, scan
 from stowage.session import work_folder
+from stowage.sources.filesystem import create_file
 from stowage.sources.store import CatalogueStore
 
 RUN_AT = datetime.datetime(2024, 2, 10)
@@ -91,9 +93,11 @@ def _actions(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus", "l_shipdate",
     ]
-    numbered = rank_within(lines, ["l_orderkey"], [F.col(c) for c in order], "seq")
+    lines, key = lines.withColumnRenamed("l_orderkey", "tx_key"), ["tx_key"]
+    hot = hot_keys(lines, key)
+    numbered = rank_with(lines, key, [F.col(c) for c in order], "seq", HOT_ROWS, hot)
     head = orders.select("tx_key", "transaction_id", F.col("type").alias("tx_type"), F.col("status").alias("tx_status"), "dry_run")
-    joined = numbered.join(head, F.col("l_orderkey") == F.col("tx_key"))
+    joined = lookup_with(numbered, head, key, F.col("seq"), hot).filter("transaction_id IS NOT NULL")
     rows = joined.selectExpr(
         "transaction_id", "seq",
         "CASE tx_type WHEN 'organize' THEN 'move' WHEN 'dedupe' THEN 'delete' ELSE 'restore' END AS type",
@@ -179,15 +183,12 @@ TREE_PATH = """concat('/', lang, CASE doc_id % 11 WHEN 3 THEN '/.cache' WHEN 5 T
 @_once
 def document_tree(spark: SparkSession, sf_dir: str) -> str:
     """Write every document as a file below the shared work folder; returns the root."""
-    root = work_folder(spark, "tree").removeprefix("file://").replace("file:/", "/")
+    root = re.sub("^file:/+", "/", work_folder(spark, "tree"))
 
     def write(batches):
         for batch in batches:
             for path, text in zip(batch["path"], batch["text"]):
-                target = root + path
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(target, "wb") as handle:
-                    handle.write(text.encode())
+                create_file(root + path, text.encode())
             yield pd.DataFrame({"files": [len(batch)]})
 
     docs = table(spark, sf_dir, "documents").selectExpr(f"{TREE_PATH} AS path", "text")

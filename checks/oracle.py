@@ -316,9 +316,9 @@ z AS (SELECT from_path, to_path, row_number() OVER (PARTITION BY to_path ORDER B
 
 # ---- ledger ----
 
-ORACLE["ledger_nested"] = with_(ACTIONS, """SELECT t.transaction_id, t.type, count(seq) AS n,
+ORACLE["ledger_nested"] = with_(ACTIONS, """SELECT t.transaction_id, t.type, coalesce((min(seq) - 1) // 10000, 0) AS page, count(seq) AS n,
     coalesce(string_agg(concat_ws(':', seq, a.type, a.status, from_path), ',' ORDER BY seq), '') AS actions
-    FROM t LEFT JOIN a USING (transaction_id) GROUP BY 1, 2""")
+    FROM t LEFT JOIN a USING (transaction_id) GROUP BY t.transaction_id, t.type, (seq - 1) // 10000""")
 SIX = "moved_count, deleted_count, restored_count, failed_count, saved_bytes, total_processed, saved_bytes_exact"
 ORACLE["ledger_summary"] = with_(COUNTERS, f"SELECT transaction_id, type, {SIX} FROM ts")
 ORACLE["ledger_status"] = with_(COUNTERS, """SELECT transaction_id, CASE WHEN dry_run THEN 'pending'

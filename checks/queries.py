@@ -201,7 +201,7 @@ def categorize(spark, sf_dir):
 
 @query
 def scan_flag_duplicates(spark, sf_dir):
-    return scan.flag_duplicates(fx.manifest(spark, sf_dir)).select(
+    return scan.flag_duplicates(fx.listing(spark, sf_dir)).select(
         "scan_id", "file_path", "hash", "is_duplicate", "duplicate_of"
     )
 
@@ -408,7 +408,7 @@ def ledger_nested(spark, sf_dir):
     store = fx.ledger_store(spark, sf_dir)
     rows = ledger.nested(store.transactions().select("transaction_id", "type"), store.actions())
     text = F.transform("actions", lambda a: F.concat_ws(":", a["seq"].cast("string"), a["type"], a["status"], a["from_path"]))
-    return rows.select("transaction_id", "type", F.size("actions").cast("bigint").alias("n"),
+    return rows.select("transaction_id", "type", "page", F.size("actions").cast("bigint").alias("n"),
                        F.array_join(text, ",").alias("actions"))
 
 
@@ -480,10 +480,8 @@ def rollback_eligibility(spark, sf_dir):
 
 
 def _open_actions(spark, sf_dir) -> DataFrame:
-    """Completed actions of the transactions that can be rolled back."""
     store = fx.ledger_store(spark, sf_dir)
-    able = store.transactions().filter(ledger.can_roll_back()).select("transaction_id")
-    return ledger.completed_actions(store.actions()).join(able, "transaction_id", "left_semi")
+    return ledger.open_actions(store.actions(), store.transactions())
 
 
 def _judged(spark, sf_dir) -> DataFrame:

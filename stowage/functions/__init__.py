@@ -8,7 +8,7 @@ from stowage.functions.categories import (
     extensions_for_category,
     with_category,
 )
-from stowage.functions.formats import default_count, format_bytes, label_extension, percent, round_half_up
+from stowage.functions.formats import as_json, default_count, format_bytes, label_extension, percent, round_half_up
 from stowage.functions.hashing import action_id, full_hash, partial_hash
 from stowage.functions.paths import (
     basename,
@@ -26,7 +26,7 @@ from stowage.functions.paths import (
 
 __all__ = [
     "CATEGORIES", "EXTENSIONS", "category_dim", "extension_dim", "extensions_for_category", "with_category",
-    "default_count", "format_bytes", "label_extension", "percent", "round_half_up",
+    "as_json", "default_count", "format_bytes", "label_extension", "percent", "round_half_up",
     "action_id", "full_hash", "partial_hash",
     "basename", "dirname", "extension", "from_order_key", "join_path", "listed", "normalize_path",
     "order_key", "parent_name", "stem", "suffix",

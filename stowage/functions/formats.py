@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unit names, each 1024 times the one before.
@@ -28,6 +28,11 @@ def label_extension(extension: Column | str) -> Column:
                       F.lit("No extension"))
 
 
+def as_json(rows: DataFrame, name: str = "value") -> DataFrame:
+    """Every row as one JSON text."""
+    return rows.select(F.to_json(F.struct("*")).alias(name))
+
+
 def format_bytes(size: Column | str, decimals: int = 2) -> Column:
     """``1536`` becomes ``1.5 KB``. Integer arithmetic, so halves round exactly; units end at PB."""
     size = (F.col(size) if isinstance(size, str) else size).cast("bigint")

@@ -121,14 +121,14 @@ def _parents(wanted: DataFrame, edges: DataFrame) -> DataFrame:
 def _taken(edges: DataFrame, parents: DataFrame, nodes: DataFrame) -> DataFrame:
     """Names that are gone before their own first file comes: existing, or reached by overflow."""
     there = _there(nodes)
-    steps = (
-        edges.join(parents.withColumnRenamed("name", "parent"), ["dir", "parent"])
-        .join(there.withColumn("pinned", F.lit(True)), NODE, "left")
-        .select(
-            *NODE, "parent",
-            (F.coalesce("pinned", F.lit(False)) | F.array_contains("if_free", F.col("slot"))).alias("if_free"),
-            (F.coalesce("pinned", F.lit(False)) | F.array_contains("if_taken", F.col("slot"))).alias("if_taken"),
-        )
+    steps = edges.join(parents.withColumnRenamed("name", "parent"), ["dir", "parent"]).select(
+        *NODE, F.array_contains("if_free", F.col("slot")).alias("if_free"),
+        F.array_contains("if_taken", F.col("slot")).alias("if_taken"),
+    )
+    bits = (
+        steps.unionByName(there.withColumn("if_free", F.lit(True)).withColumn("if_taken", F.lit(True)))
+        .groupBy("dir", F.col("name").alias("link"))
+        .agg(F.bool_or("if_free").alias("if_free"), F.bool_or("if_taken").alias("if_taken"))
     )
     # Ancestors of a name, itself first: x_1_2 -> [x_1_2, x_1, x]. A missing step resets the bit.
     tail = suffix("name")
@@ -140,15 +140,12 @@ def _taken(edges: DataFrame, parents: DataFrame, nodes: DataFrame) -> DataFrame:
             tail,
         ),
     )).alias("level", "link"))
-    root = there.select("dir", F.col("name").alias("link"), F.lit(True).alias("exists"))
     folded = (
-        chain.join(steps.select("dir", F.col("name").alias("link"), "if_free", "if_taken"), ["dir", "link"], "left")
-        .join(root, ["dir", "link"], "left")
+        chain.join(bits, ["dir", "link"], "left")
         .groupBy(*NODE)
         .agg(F.reverse(F.array_sort(F.collect_list(F.struct(
-            "level",
-            F.coalesce("if_free", "exists", F.lit(False)).alias("if_free"),
-            F.coalesce("if_taken", "exists", F.lit(False)).alias("if_taken"),
+            "level", F.coalesce("if_free", F.lit(False)).alias("if_free"),
+            F.coalesce("if_taken", F.lit(False)).alias("if_taken"),
         )))).alias("steps"))
         .filter(F.aggregate(
             "steps", F.lit(False), lambda bit, s: F.when(bit, s["if_taken"]).otherwise(s["if_free"])
@@ -213,7 +210,7 @@ def resolve_names(planned: DataFrame, existing: DataFrame, target: str, order: C
             "taken": F.lit(True), "if_free": F.lit(None).cast("array<int>"), "if_taken": F.lit(None).cast("array<int>"),
         })
     else:
-        parents = _parents(clashes.wanted, edges)
+        parents = cut_lineage(_parents(clashes.wanted, edges), "parents")
         taken = _taken(edges, parents, clashes.nodes).withColumn("taken", F.lit(True))
         facts = taken.join(parents, NODE, "full_outer")
 

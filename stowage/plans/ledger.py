@@ -86,16 +86,22 @@ def outcome_status(dry_run: Column, failed: Column) -> Column:
     )
 
 
-def nested(transactions: DataFrame, actions: DataFrame) -> DataFrame:
-    """One document per transaction with its actions in order. A view for display of single runs.
+PAGE = 10_000
 
-    The flat table is the truth: filter to the transactions wanted before nesting.
+
+def nested(transactions: DataFrame, actions: DataFrame, page_size: int = PAGE) -> DataFrame:
+    """Transactions with their actions in order, as documents. The flat table stays the truth.
+
+    A run may have any number of actions, so a document holds one page of them, page 0 first; ``seq``
+    counts from 1 without gaps, so no array exceeds ``page_size``.
     """
     item = F.struct("seq", "action_id", "type", "from_path", "to_path", "status", "error", "file_hash", "file_size")
-    lists = actions.groupBy("transaction_id").agg(F.array_sort(F.collect_list(item)).alias("actions"))
-    return transactions.join(lists, "transaction_id", "left").withColumn(
-        "actions", F.coalesce("actions", F.array().cast(lists.schema["actions"].dataType))
-    )
+    page = F.floor((F.col("seq") - 1) / page_size).cast("bigint")
+    lists = actions.groupBy("transaction_id", page.alias("page")).agg(F.array_sort(F.collect_list(item)).alias("actions"))
+    return transactions.join(lists, "transaction_id", "left").withColumns({
+        "page": F.coalesce("page", F.lit(0).cast("bigint")),
+        "actions": F.coalesce("actions", F.array().cast(lists.schema["actions"].dataType)),
+    })
 
 
 def completed_actions(actions: DataFrame) -> DataFrame:
@@ -157,7 +163,8 @@ def rollback_pairs(states: DataFrame) -> DataFrame:
     return closed.join(closing, "rollback_transaction_id")
 
 
-def with_header(actions: DataFrame, transactions: DataFrame, columns: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Actions with columns of their transaction; balanced when one transaction holds most actions."""
-    return lookup(actions, transactions.select("transaction_id", *columns), ["transaction_id"],
-                  F.xxhash64("from_path"), hot_rows)
+def open_actions(actions: DataFrame, transactions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Completed actions of transactions that can be rolled back, balanced when one run holds most actions."""
+    able = transactions.filter(can_roll_back()).select("transaction_id", F.lit(True).alias("__able"))
+    found = lookup(completed_actions(actions), able, ["transaction_id"], F.col("from_path"), hot_rows)
+    return found.filter("__able").drop("__able")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.functions.formats import default_count, label_extension, percent
+from stowage.functions.formats import as_json, default_count, label_extension, percent
 from stowage.operators.topk import one_row
 from stowage.plans.ledger import recent
 from stowage.plans.scan import latest_scan, recent_scans
@@ -16,8 +16,9 @@ SCAN_FIELDS = [
 
 
 def _of_latest(records: DataFrame, scans: DataFrame) -> DataFrame:
-    """Records of the newest scan; the one-row side prunes the scan partitions at run time."""
-    return records.join(F.broadcast(latest_scan(scans).select("scan_id")), "scan_id")
+    """Records of the newest scan. Its id is looked up first, so only that partition is read."""
+    newest = latest_scan(scans).select("scan_id").first()
+    return records.filter(F.col("scan_id") == newest[0]) if newest else records.filter(F.lit(False))
 
 
 def overview(records: DataFrame, scans: DataFrame, transactions: DataFrame, scope: str = "all") -> DataFrame:
@@ -137,4 +138,4 @@ def full_report(records: DataFrame, scans: DataFrame, transactions: DataFrame) -
 
 
 def report_json(records: DataFrame, scans: DataFrame, transactions: DataFrame) -> DataFrame:
-    return full_report(records, scans, transactions).select(F.to_json(F.struct("*")).alias("report"))
+    return as_json(full_report(records, scans, transactions), "report")

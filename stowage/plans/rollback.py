@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from stowage.functions.hashing import action_id
 from stowage.operators.collisions import resolve_names
-from stowage.operators.skew import HOT_ROWS, lookup
+from stowage.operators.skew import HOT_ROWS, hot_keys, lookup_with
 from stowage.operators.topk import first_rows
 from stowage.plans.ledger import outcome_status
+from stowage.session import cut_lineage
 
 # Texts of skipped steps and refusals.
 TARGET_GONE = "File no longer exists at moved location"
@@ -42,10 +43,10 @@ def rollback_plan(actions: DataFrame) -> DataFrame:
     return actions.filter("status = 'completed'").orderBy("transaction_id", F.desc("seq"))
 
 
-def _present(actions: DataFrame, paths: DataFrame, column: str, name: str, hot_rows: int) -> DataFrame:
+def _present(actions: DataFrame, paths: DataFrame, column: str, name: str, hot: DataFrame | None) -> DataFrame:
     right = paths.select(F.col("path").alias("__path"), F.lit(True).alias(name))
     keyed = actions.withColumn("__path", F.col(column))
-    found = lookup(keyed, right, ["__path"], F.xxhash64("transaction_id", "seq"), hot_rows)
+    found = lookup_with(keyed, right, ["__path"], F.xxhash64("transaction_id", "seq"), hot)
     return found.withColumn(name, F.coalesce(name, F.lit(False))).drop("__path")
 
 
@@ -63,8 +64,10 @@ def outcomes(actions: DataFrame, present_paths: DataFrame, failures: DataFrame |
     :func:`restored_paths`.
     """
     todo = actions.filter("status = 'completed'")
-    todo = _present(todo, present_paths, "to_path", "target_there", hot_rows)
-    todo = _present(todo, present_paths, "from_path", "place_taken", hot_rows)
+    # Very common paths, such as the blank target of permanent deletes, are found before anything is joined.
+    hot = {c: hot_keys(todo.select(F.col(c).alias("__path")), ["__path"], hot_rows) for c in ("to_path", "from_path")}
+    todo = _present(todo, present_paths, "to_path", "target_there", hot["to_path"])
+    todo = _present(todo, present_paths, "from_path", "place_taken", hot["from_path"])
     if failures is not None:
         refused = failures.select("transaction_id", "seq", F.col("error").alias("refusal"))
         todo = todo.join(refused, ["transaction_id", "seq"], "left")
@@ -91,7 +94,7 @@ def outcomes(actions: DataFrame, present_paths: DataFrame, failures: DataFrame |
 
 def restored_paths(judged: DataFrame, present_paths: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Restored steps with the path each file gets: moves their old place, deletes the first free name."""
-    restored = judged.filter("outcome = 'restored'").drop("error")
+    restored = cut_lineage(judged.filter("outcome = 'restored'").drop("error"), "restored")
     moves = restored.filter("type = 'move'").withColumn("final_path", F.col("from_path")).withColumn(
         "error", F.lit(None).cast("string")
     )

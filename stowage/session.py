@@ -8,15 +8,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "stowage", master: str | None = None, **conf) -> SparkSession:
-    """Session with the settings the operators rely on; ``conf`` wins over them."""
+# Shuffle partitions to start from: about this many bytes each, before adaptive execution merges small ones.
+PARTITION_BYTES = 256 << 20
+MAX_PARTITIONS = 100_000
+
+
+def shuffle_partitions(data_bytes: int) -> int:
+    """Initial number of shuffle partitions for a job that shuffles ``data_bytes``."""
+    return max(200, min(MAX_PARTITIONS, -(-data_bytes // PARTITION_BYTES)))
+
+
+def build_session(app: str = "stowage", master: str | None = None, data_bytes: int | None = None, **conf) -> SparkSession:
+    """Session with the settings the operators work best with; ``conf`` wins over them.
+
+    ``data_bytes`` is the expected size of the largest shuffle. Starting with enough partitions keeps each
+    within memory; adaptive execution merges those that turn out small and splits skewed ones.
+    """
+    sized = {} if data_bytes is None else {
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle_partitions(data_bytes)),
+    }
     settings = {
+        **sized,
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.streaming.stateStore.providerClass":
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         **conf,
     }
     builder = SparkSession.builder.appName(app)

@@ -54,6 +54,20 @@ def entries(folder: str) -> Iterator[tuple]:
             yield path, is_dir, stat.st_size, _moment(created), _moment(stat.st_mtime)
 
 
+def create_file(path: str, content: bytes) -> None:
+    """Write a file, making its folders."""
+    folder = path.rsplit("/", 1)[0]
+    if is_remote(path):
+        system, inner = fs.FileSystem.from_uri(path)
+        system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(inner) as handle:
+            handle.write(content)
+        return
+    os.makedirs(_local(folder), exist_ok=True)
+    with open(_local(path), "wb") as handle:
+        handle.write(content)
+
+
 def open_file(path: str):
     """Readable, seekable binary handle."""
     if is_remote(path):

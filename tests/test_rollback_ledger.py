@@ -112,6 +112,15 @@ def test_counters_status_and_nesting(spark):
     assert status == {(True, 0): "pending", (False, 0): "completed", (False, 3): "partially_completed"}
     nested = {r.transaction_id: [a.seq for a in r.actions] for r in ledger.nested(tx, acts).collect()}
     assert nested == {"t": [1, 2, 3], "empty": []}
+    pages = {(r.transaction_id, r.page): [a.seq for a in r.actions] for r in ledger.nested(tx, acts, 2).collect()}
+    assert pages == {("t", 0): [1, 2], ("t", 1): [3], ("empty", 0): []}
+
+
+def test_open_actions(spark):
+    tx = headers(spark, ROWS)
+    acts = spark.createDataFrame([action(1, "delete", f"/{t}", "", tx=t) for t in "abcdz"] + [action(2, "delete", "/x", "", "failed", tx="a")], ACTION)
+    for hot_rows in (1_000_000, 1):
+        assert sorted(r.transaction_id for r in ledger.open_actions(acts, tx, hot_rows).collect()) == ["a", "d"]
 
 
 def test_outcomes_and_error_texts(spark):

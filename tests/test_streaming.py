@@ -35,6 +35,15 @@ def test_first_arrival_over_two_runs_equals_batch(spark, tmp_path):
         assert keyed(found) == keyed(batch)
 
 
+def test_state_with_an_end_gives_the_same_while_it_lasts(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.createDataFrame(file_rows(0, 30), FILES).write.parquet(source)
+    stream = spark.readStream.schema(FILES).parquet(source)
+    run(first_arrival_stream(stream, salts=1, keep_for_ms=3_600_000), tmp_path)
+    heads = spark.read.parquet(str(tmp_path / "out")).groupBy("hash").agg(F.countDistinct("head_path").alias("heads"))
+    assert {r.heads for r in heads.collect()} == {1}
+
+
 def test_running_groups_equal_batch(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "groups")
     for number, part in enumerate((file_rows(0, 50), file_rows(50, 90))):
