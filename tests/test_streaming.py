@@ -1,4 +1,5 @@
 import datetime
+import time
 
 from pyspark.sql import functions as F
 
@@ -39,7 +40,16 @@ def test_state_with_an_end_gives_the_same_while_it_lasts(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame(file_rows(0, 30), FILES).write.parquet(source)
     stream = spark.readStream.schema(FILES).parquet(source)
-    run(first_arrival_stream(stream, salts=1, keep_for_ms=3_600_000), tmp_path)
+    # State that expires by the clock keeps the query awake, so it is stopped by hand.
+    query = (
+        first_arrival_stream(stream, salts=1, keep_for_ms=3_600_000).writeStream.format("parquet").outputMode("append")
+        .option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/out")
+        .trigger(processingTime="1 second").start()
+    )
+    until = time.time() + 90
+    while time.time() < until and not any(p.numInputRows for p in query.recentProgress):
+        query.awaitTermination(1)
+    query.stop()
     heads = spark.read.parquet(str(tmp_path / "out")).groupBy("hash").agg(F.countDistinct("head_path").alias("heads"))
     assert {r.heads for r in heads.collect()} == {1}
 
