@@ -112,7 +112,7 @@ def _actions(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
     return rows.select(
         "transaction_id", "seq", action_id("transaction_id", "from_path").alias("action_id"), "type", "from_path",
         "to_path", "status", F.when(F.col("status") == "failed", F.lit("File is locked/busy")).alias("error"),
-        F.lit(None).cast("string").alias("file_hash"), "file_size",
+        F.lit(None).cast("string").alias("file_hash"), "file_size", F.lit(None).cast("string").alias("outcome"),
     )
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stowage.session import cut_lineage
+
 HOT_ROWS = 1_000_000
 HOT_KEYS = 4096
 SAMPLE_FRACTION = 1 / 64
@@ -97,6 +99,7 @@ def rank_with(
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
 
     columns = df.columns
+    df = cut_lineage(df, "ranks")  # read three times below
     keyed = df.withColumn("__order", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
     wanted = F.greatest(F.lit(2), F.least(F.lit(SPLITS), F.ceil(F.col("n") * 4 / hot_rows))).cast("int")
     picks = (

@@ -12,7 +12,7 @@ from stowage.functions.hashing import action_id
 from stowage.functions.paths import basename, order_key
 from stowage.operators.collisions import resolve_names
 from stowage.operators.keepone import GROUP, attach_kept, keep_order, kept_files
-from stowage.operators.skew import HOT_ROWS, rank_within
+from stowage.operators.skew import HOT_ROWS, hot_keys, lookup_with, rank_with
 from stowage.session import cut_lineage
 
 DEFAULT_STRATEGY = "keep-latest"
@@ -26,8 +26,11 @@ def removals(files: DataFrame, strategy: str = DEFAULT_STRATEGY, keys: list[str]
 
 def ranked_copies(files: DataFrame, strategy: str = DEFAULT_STRATEGY, hot_rows: int = HOT_ROWS) -> DataFrame:
     """All members of the duplicate groups with their rank; rank 1 is kept."""
-    members = attach_kept(files, strategy, GROUP, hot_rows).filter("kept_path IS NOT NULL").drop("kept_path")
-    ranked = rank_within(members, GROUP, keep_order(strategy), hot_rows=hot_rows)
+    hot = hot_keys(files, GROUP, hot_rows)
+    # Counting alone tells the groups, and join and rank share one shuffle when no group is hot.
+    groups = files.groupBy(*GROUP).agg(F.count("*").alias("copies")).filter("copies > 1")
+    members = lookup_with(files, groups, GROUP, F.col("file_path"), hot).filter("copies > 1").drop("copies")
+    ranked = rank_with(members, GROUP, keep_order(strategy), "rank", hot_rows, hot)
     return ranked.withColumn("is_kept", F.col("rank") == 1)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -30,10 +31,19 @@ def _new_id(given: str | None) -> str:
     return given or str(uuid.uuid4())
 
 
+def clean_root(root: str) -> str:
+    """Trimmed and normalised, so that a trailing ``/`` does not hide the direct children."""
+    root = root.strip()
+    if is_remote(root):
+        return root.rstrip("/")
+    return re.sub("^/+", "/", os.path.normpath(root.removeprefix("file://")))
+
+
 def run_scan(store: CatalogueStore, root: str, at: datetime.datetime, recursive: bool = True,
              scan_id: str | None = None) -> tuple[str, dict]:
     """List, hash and flag a tree, and save it. Returns the scan id and the job's row, byte and error counts."""
-    if not is_remote(root) and not os.path.isdir(root.removeprefix("file://")):
+    root = clean_root(root)
+    if not is_remote(root) and not os.path.isdir(root):
         raise ValueError(f"Directory does not exist: {root}")
     scan_id = _new_id(scan_id)
     found = list_files(store.spark, root, recursive).withColumn("scan_id", F.lit(scan_id))
@@ -50,12 +60,14 @@ def run_scan(store: CatalogueStore, root: str, at: datetime.datetime, recursive:
 
 def _numbered(actions: DataFrame) -> DataFrame:
     """Actions with ``seq`` in walk order. One run may hold all rows, so the rank is the skew-safe one."""
-    return rank_within(actions, ["transaction_id"], [order_key("from_path")], "seq")
+    plain = actions.withColumn("outcome", F.lit(None).cast("string"))
+    return rank_within(plain, ["transaction_id"], [order_key("from_path")], "seq")
 
 
 def _save(store: CatalogueStore, actions: DataFrame, kind: str, transaction_id: str, target: str, dry_run: bool,
           strategy: str | None, at: datetime.datetime) -> str:
     store.append("actions", actions)
+    # Every run writes files of its own, so the statistics in them rule out all others.
     saved = store.actions().filter(F.col("transaction_id") == transaction_id)
     head = store.spark.createDataFrame(
         [(transaction_id, kind, target, dry_run, strategy)],

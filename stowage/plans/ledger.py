@@ -44,6 +44,8 @@ def record_outcomes(planned: DataFrame, outcomes: DataFrame, keys: list[str]) ->
 def counters(actions: DataFrame) -> DataFrame:
     """The six counters of each transaction that has actions. Dry runs save nothing.
 
+    A skipped rollback step is stored as completed; its ``outcome`` keeps it out of the restored count.
+
     Counts combine map-side, so a transaction of any size sends one row per task.
     """
     done = F.col("status") == "completed"
@@ -54,7 +56,8 @@ def counters(actions: DataFrame) -> DataFrame:
     deletes = F.col("type") == "delete"
     totals = actions.groupBy("transaction_id").agg(
         completed("move").alias("moved_count"), completed("delete").alias("deleted_count"),
-        completed("restore").alias("restored_count"),
+        F.count_if(done & (F.col("type") == "restore") & (F.coalesce("outcome", F.lit("restored")) == "restored"))
+        .alias("restored_count"),
         F.count_if(F.col("status") == "failed").alias("failed_count"),
         F.sum(F.when(deletes, F.col("file_size")).otherwise(0)).alias("__planned"),
         F.sum(F.when(deletes & done, F.col("file_size")).otherwise(0)).alias("saved_bytes_exact"),

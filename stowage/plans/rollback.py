@@ -65,9 +65,9 @@ def outcomes(actions: DataFrame, present_paths: DataFrame, failures: DataFrame |
     """
     todo = actions.filter("status = 'completed'")
     # Very common paths, such as the blank target of permanent deletes, are found before anything is joined.
-    hot = {c: hot_keys(todo.select(F.col(c).alias("__path")), ["__path"], hot_rows) for c in ("to_path", "from_path")}
-    todo = _present(todo, present_paths, "to_path", "target_there", hot["to_path"])
-    todo = _present(todo, present_paths, "from_path", "place_taken", hot["from_path"])
+    hot = hot_keys(todo.select(F.explode(F.array("to_path", "from_path")).alias("__path")), ["__path"], hot_rows)
+    todo = _present(todo, present_paths, "to_path", "target_there", hot)
+    todo = _present(todo, present_paths, "from_path", "place_taken", hot)
     if failures is not None:
         refused = failures.select("transaction_id", "seq", F.col("error").alias("refusal"))
         todo = todo.join(refused, ["transaction_id", "seq"], "left")

@@ -54,7 +54,7 @@ TRANSACTIONS = _struct(
 
 ACTIONS = _struct(
     "transaction_id string, seq bigint, action_id string, type string, from_path string, to_path string, "
-    "status string, error string, file_hash string, file_size bigint"
+    "status string, error string, file_hash string, file_size bigint, outcome string"
 )
 
 STATUS_EVENTS = _struct(

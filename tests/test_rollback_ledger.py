@@ -6,12 +6,12 @@ from stowage.plans import ledger, report, rollback
 from stowage.schemas import SUMMARY_FIELDS
 
 ACTION = ("transaction_id string, seq bigint, action_id string, type string, from_path string, to_path string, "
-          "status string, error string, file_hash string, file_size bigint")
+          "status string, error string, file_hash string, file_size bigint, outcome string")
 AT = datetime.datetime(2024, 1, 1)
 
 
 def action(seq, kind, source, to, status="completed", tx="t", size=10):
-    return (tx, seq, f"a{seq}", kind, source, to, status, None, "h", size)
+    return (tx, seq, f"a{seq}", kind, source, to, status, None, "h", size, None)
 
 
 def judged(spark, rows, present, failures=None, hot_rows=1_000_000):

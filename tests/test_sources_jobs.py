@@ -68,7 +68,7 @@ def test_cut_uses_the_shared_folder(spark):
 def test_whole_life_of_a_tree(spark, tree, tmp_path_factory):
     store = CatalogueStore(spark, str(tmp_path_factory.mktemp("store")))
     assert store.scans().count() == 0
-    scan_id, progress = jobs.run_scan(store, tree, AT)
+    scan_id, progress = jobs.run_scan(store, f" {tree}//", AT)
     assert progress["rows"] == 7 and progress["errors"] == 0
     head = scan.scan_by_id(store.scans(), scan_id).first()
     assert (head.total_files, head.total_size, head.duplicates_count, head.duplicates_size) == (7, 13, 3, 6)
@@ -102,14 +102,22 @@ def test_whole_life_of_a_tree(spark, tree, tmp_path_factory):
     places = {r.from_path[len(tree) + 1:]: r.to_path[len(tree) + 1:] for r in store.actions().filter(F.col("transaction_id") == moved).collect()}
     assert places["a.txt"] == "Documents/a.txt" and places["sub dir/deep/a.txt"] == "Documents/a_1.txt"
     assert places["sub dir/c.PY"] == "Code/c.PY" and places["_x"] == "Others/_x"
+    # Nothing is where it was moved to, so undoing skips every step and still closes the run.
+    lost = jobs.run_rollback(store, moved, spark.createDataFrame([], "path string"), AT)
+    row = store.transactions().filter(F.col("transaction_id") == lost).first()
+    assert (row.status, row.summary.restored_count, row.summary.total_processed) == ("completed", 0, 7)
+    assert {r.outcome for r in store.actions().filter(F.col("transaction_id") == lost).collect()} == {"skipped"}
+    row = store.transactions().filter(F.col("transaction_id") == undo).first()
+    assert (row.status, row.summary.restored_count) == ("completed", 3)
+
     flat = jobs.run_organize(store, scan_id, AT, dry_run=True)
     assert store.actions().filter(F.col("transaction_id") == flat).filter("status = 'pending'").count() == 4
 
     report = jobs.run_report(store).first()
-    assert report.overview.total_files_scanned == 7 and report.overview.total_transactions == 5
+    assert report.overview.total_files_scanned == 7 and report.overview.total_transactions == 6
     assert report.overview.total_disk_space_saved == 0 and report.duplicate_stats.total_groups == 2
     assert report.extension_stats[0].extension == ".txt" and report.extension_stats[0]["count"] == 3
-    assert len(report.recent_activity) == 5 and report.recent_scans[0].scan_id == scan_id
+    assert len(report.recent_activity) == 6 and report.recent_scans[0].scan_id == scan_id
 
 
 def test_a_missing_root_and_scan_are_refused(spark, tmp_path):
