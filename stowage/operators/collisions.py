@@ -158,14 +158,15 @@ def _taken(edges: DataFrame, parents: DataFrame, nodes: DataFrame) -> DataFrame:
 class _Clashes:
     """Tables both results below start from.
 
-    Wanted names, the count per name and the links between names are written once each: they are read
-    several times, and the plan that made them may be long.
+    The planned moves, the count per name and the links between names are written once each: they are
+    read several times, and the plan that made them may be long.
     """
 
     def __init__(self, planned: DataFrame, existing: DataFrame, target: str, order: Column, hot_rows: int):
         self.columns = planned.columns
         self.hot_rows = hot_rows
-        self.wanted = cut_lineage(_with_node(planned, target).withColumn("__order", order), "wanted")
+        # Folder, name and order key are worked out again after reading: cheaper than storing paths thrice.
+        self.wanted = _with_node(cut_lineage(planned, "wanted"), target).withColumn("__order", order)
         there = _with_node(existing.select("path"), "path").select(*NODE)
         self.nodes = cut_lineage(_nodes(self.wanted, there), "names")
         self.edges = cut_lineage(_edges(self.nodes), "links")
