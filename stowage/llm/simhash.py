@@ -57,42 +57,36 @@ def fingerprints(text: Column, words: int = 3, size: int = 1) -> Column:
     return of(text)
 
 
-def _bits(fp: Column, start: int, n: int) -> Column:
-    """``n`` bits of a 64-bit number from the most significant side, wrapping round."""
-    start %= 64
-    if start + n <= 64:
-        return F.shiftrightunsigned(fp, 64 - start - n).bitwiseAND(F.lit((1 << n) - 1).cast("bigint"))
-    low = start + n - 64
-    return F.shiftleft(_bits(fp, start, n - low), low).bitwiseOR(_bits(fp, 0, low))
-
-
 def chain_keys(reps: DataFrame) -> DataFrame:
-    """Rows (key, node, fp, more) of the 64-bit fingerprints: any two within 3 bits share a key.
+    """Rows (key, node, fp, rest) of the 64-bit fingerprints: any two within 3 bits share a key.
 
     Four segments of 16 bits lie on a ring. With 3 differences in all, some chain of segments keeps its running
     differences within 3/4, 6/4 and 9/4: the first segment agrees and the second differs in at most one bit, so one of
-    its halves agrees. Each of 4 starts and 2 halves gives a key of 24 bits. ``more`` are the keys of crowded
-    buckets: of the 40 other bits, cut in four, one part agrees; and once more of the 30 left then.
+    its halves agrees. Each of 4 starts and 2 halves gives a key of 24 bits; ``rest`` are the 40 other bits.
     """
-    n = F.conv(F.hex("fp"), 16, -10).cast("bigint")
-    keys = []
-    for i in range(4):
-        for half in (0, 1):
-            used = 16 * i + 16 + 8 * half
-            key = F.shiftleft(_bits(n, 16 * i, 16), 8).bitwiseOR(_bits(n, used, 8)) + F.lit((2 * i + half) << 24)
-            # The 40 bits left: the other half of the second segment, then the two last segments.
-            rest = F.shiftleft(_bits(n, 16 * i + 24 - 8 * half, 8), 32).bitwiseOR(_bits(n, 16 * i + 32, 32))
-            more = []
-            for j in range(4):
-                part = _bits(rest, 24 + 10 * j, 10)
-                left = F.shiftleft(_bits(rest, 24, 10 * j), 30 - 10 * j) if j else F.lit(0).cast("bigint")
-                left = left.bitwiseOR(_bits(rest, 34 + 10 * j, 30 - 10 * j)) if j < 3 else left
-                at = 34
-                for width in (8, 8, 7, 7):
-                    more.append(F.xxhash64(key, F.lit(j), part, F.lit(at), _bits(left, at, width)))
-                    at += width
-            keys.append(F.struct(key.alias("key"), F.array(*more).alias("more")))
-    return reps.select("node", "fp", F.explode(F.array(*keys)).alias("k")).select("k.key", "node", "fp", "k.more")
+    number = F.conv(F.hex("fp"), 16, -10).cast("bigint")
+    return (
+        reps.select("node", "fp", number.alias("n"))
+        .select("node", "fp", "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("e"))
+        .selectExpr("node", "fp", "e", "shiftleft(n, 16 * (e DIV 2)) | shiftrightunsigned(n, cast(64 - 16 * (e DIV 2) AS int)) AS ring")
+        .selectExpr("node", "fp", "e", "ring", "shiftrightunsigned(ring, 40) & 255 AS first", "shiftrightunsigned(ring, 32) & 255 AS second")
+        .selectExpr(
+            "shiftleft(cast(e AS bigint), 24) | shiftleft(shiftrightunsigned(ring, 48), 8) | if(e % 2 = 0, first, second) AS key",
+            "node", "fp", "shiftleft(if(e % 2 = 0, second, first), 32) | (ring & 4294967295) AS rest",
+        )
+    )
+
+
+def _chain_more() -> Column:
+    """Keys of a crowded bucket: of the 40 bits left, cut in four, one part agrees; and again of the 30 left then."""
+    more = []
+    for part in range(4):
+        low = 10 * part
+        value = f"shiftright(rest, {low}) & 1023"
+        left = f"(shiftleft(shiftright(rest, {low + 10}), {low}) | (rest & {(1 << low) - 1}L))"
+        for at, width in ((0, 8), (8, 8), (16, 7), (23, 7)):
+            more.append(f"xxhash64(key, {part}, {value}, {at}, shiftright({left}, {at}) & {(1 << width) - 1})")
+    return F.expr(f"array({', '.join(more)})")
 
 
 @lru_cache
@@ -209,10 +203,11 @@ def near_links(keyed: DataFrame, radius: int, bucket_rows: int = BUCKET_ROWS) ->
     Buckets of one fingerprint are dropped first; those above ``bucket_rows`` are cut by their further keys.
     """
     keyed = cut_lineage(keyed, "keys")
+    more = F.col("more") if "more" in keyed.columns else _chain_more()
     sizes = keyed.groupBy("key").agg(F.count("*").alias("__n")).filter("__n > 1")
     rows = (
         keyed.join(sizes, "key")
-        .select(F.explode(F.when(F.col("__n") > bucket_rows, F.col("more")).otherwise(F.array("key"))).alias("key"), "node", "fp")
+        .select(F.explode(F.when(F.col("__n") > bucket_rows, more).otherwise(F.array("key"))).alias("key"), "node", "fp")
     )
     sorted_rows = rows.repartition("key").sortWithinPartitions("key")
     return sorted_rows.mapInPandas(_bucket_edges(radius), "a bigint, b bigint")
