@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stowage.llm import decontaminate, exact_dedup, packing, simhash, toxicity
+from stowage.llm import decontaminate, exact_dedup, packing, simhash, suffix_dedup, toxicity
 from stowage.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -29,4 +33,4 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_exact_dedup, op6_decontaminate, op7_simhash, op9_packing)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_exact_dedup, op4_suffix_dedup, op6_decontaminate, op7_simhash, op9_packing)}
