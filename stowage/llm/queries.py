@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stowage.llm import decontaminate, exact_dedup, packing, simhash, suffix_dedup, toxicity
+from stowage.llm import decontaminate, exact_dedup, packing, simhash, suffix_dedup, toxicity, warc
 from stowage.llm.common import table
+from stowage.session import work_folder
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"), work_folder(spark, "warc"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,4 +38,4 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_exact_dedup, op4_suffix_dedup, op6_decontaminate, op7_simhash, op9_packing)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_exact_dedup, op4_suffix_dedup, op5_warc, op6_decontaminate, op7_simhash, op9_packing)}
