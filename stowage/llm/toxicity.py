@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from stowage.llm.common import whole_text
 from stowage.session import cut_lineage
 
-#: Bounds of what training takes from the labelled rows: windows of each class, and rows to calibrate on.
-TOXIC_WINDOWS, ORDINARY_WINDOWS, CALIBRATION_ROWS = 3000, 6000, 30_000
-TRAIN_CHARS = 2048
+#: Bounds of what training takes from the labelled rows: documents of each class for the dictionaries, so many windows of
+#: each, and documents to calibrate on.
+TOXIC_DOCS, ORDINARY_DOCS, CALIBRATION_DOCS = 2500, 4000, 30_000
+DOC_WINDOWS, TRAIN_CHARS = 2, 2048
 #: Scored windows, in bytes: together they cover the whole text.
 WINDOW, STEP = 96, 80
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 768
@@ -136,28 +137,35 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     """Dictionaries and calibration from labelled rows that are not held out.
 
-    Bounded samples only: the windows with the smallest hashes, distinct ones, ``TOXIC_WINDOWS`` and
-    ``ORDINARY_WINDOWS`` of ``TRAIN_CHARS`` characters from anywhere in the texts, and ``CALIBRATION_ROWS`` rows. Labels
-    other than 0 and 1 and rows without id are left out; a doc_id labelled both ways counts both ways. Without
-    samples of both classes the model scores every text 0.
+    Bounded samples only: documents with the smallest hashes of their ids, ``TOXIC_DOCS`` and ``ORDINARY_DOCS`` of them with
+    ``DOC_WINDOWS`` windows of ``TRAIN_CHARS`` characters from anywhere in the text, and ``CALIBRATION_DOCS`` whole ones of both
+    classes. They are chosen from the labels alone and sent to the documents, whose texts are not shuffled. Labels other than 0
+    and 1 and rows without id are left out; a doc_id labelled both ways counts both ways, one that names several
+    documents stands for all of them. Without samples of both classes the model scores every text 0.
     """
-    marks = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("__toxic")).distinct()
-    rows = docs.filter(~held_out()).select("doc_id", whole_text().alias("__text")).join(marks, "doc_id").filter("__text <> ''")
+    marks = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").filter(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    first = lambda rows, n, use: rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(n).withColumn("use", F.lit(use))
+    chosen = cut_lineage(
+        first(marks.filter("toxic = 1"), TOXIC_DOCS, "words").union(first(marks.filter("toxic = 0"), ORDINARY_DOCS, "words"))
+        .union(first(marks, CALIBRATION_DOCS, "fit"))
+        .select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic"), F.col("use").alias("__use")), "labelled",
+    )
+    texts = docs.select("doc_id", whole_text().alias("text"))
+    picked = lambda use: texts.join(F.broadcast(chosen.filter(F.col("__use") == use)), F.col("doc_id") == F.col("__id"))
+    count = F.greatest(F.ceil(F.length("text") / TRAIN_CHARS), F.lit(1))
+    places = F.explode(F.expr(f"transform(sequence(1, {DOC_WINDOWS}), i -> xxhash64(doc_id, i))"))
     windows = (
-        rows.select("__toxic", "__text", F.explode(F.sequence(F.lit(0), F.floor((F.length("__text") - 1) / TRAIN_CHARS).cast("int"))).alias("i"))
-        .select("__toxic", F.substring("__text", F.col("i") * TRAIN_CHARS + 1, F.lit(TRAIN_CHARS)).alias("w"))
-        .groupBy("__toxic", F.xxhash64("w").alias("h")).agg(F.min("w").alias("w"))
+        picked("words").filter("text <> ''").select("__toxic", "text", count.alias("n"), places.alias("at"))
+        .select("__toxic", F.substring("text", (F.pmod("at", "n") * TRAIN_CHARS + 1).cast("int"), F.lit(TRAIN_CHARS)).alias("w"))
     )
-    windows = cut_lineage(windows, "windows")
-    sample = {
-        k: [r.w.lower().encode("utf-8", "surrogatepass") for r in windows.filter(F.col("__toxic") == k).orderBy("h").select("w").limit(n).collect()]
-        for k, n in ((1, TOXIC_WINDOWS), (0, ORDINARY_WINDOWS))
-    }
+    sample: tuple[set[bytes], set[bytes]] = (set(), set())
+    for r in windows.collect():  # at most DOC_WINDOWS for each chosen document
+        sample[r[0]].add(r.w.lower().encode("utf-8", "surrogatepass"))
     if not sample[0] or not sample[1]:
         return ToxicModel(b"", b"")
-    model = ToxicModel(_ordinary_dictionary(sample[0]), _toxic_dictionary(sample[1], sample[0]))
-    chosen = rows.select("doc_id", "__toxic", "__text").orderBy(F.xxhash64("doc_id"), "doc_id", "__toxic", F.xxhash64("__text")).limit(CALIBRATION_ROWS)
-    known = chosen.select("__toxic", _features(model, F.col("__text")).alias("x")).collect()
+    ordinary, toxic = sorted(sample[0]), sorted(sample[1])
+    model = ToxicModel(_ordinary_dictionary(ordinary), _toxic_dictionary(toxic, ordinary))
+    known = picked("fit").select("__toxic", _features(model, F.col("text")).alias("x")).collect()
     x, y = np.array([r.x for r in known]), np.array([r[0] for r in known], float)
     if not 0 < y.sum() < len(y):
         return ToxicModel(b"", b"")
