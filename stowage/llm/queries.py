@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stowage.llm import decontaminate, exact_dedup, packing, simhash, suffix_dedup, toxicity, warc
+from stowage.llm import decontaminate, exact_dedup, packing, secrets, simhash, suffix_dedup, toxicity, warc
 from stowage.llm.common import table
 from stowage.session import work_folder
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -38,4 +42,4 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_exact_dedup, op4_suffix_dedup, op5_warc, op6_decontaminate, op7_simhash, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_exact_dedup, op4_suffix_dedup, op5_warc, op6_decontaminate, op7_simhash, op9_packing)}
