@@ -1,5 +1,11 @@
 """The queries that SQL can express, for DuckDB."""
 
+from stowage.llm.licenses import LOWER, TEMPLATES, UPPER
+
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(TEMPLATES))
+_WORDS = f"string_split(trim(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ')"
+_SHINGLES = "unnest(range(len(w) - 4)) AS k"
+
 ORACLE = {
     "op3_exact_dedup": r"""
         WITH d AS (
@@ -14,4 +20,20 @@ ORACLE = {
         j AS (SELECT d.*, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM d LEFT JOIN g USING (payload_digest))
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM j
     """,
+    "op8_licenses": f"""
+        WITH t AS (SELECT template, license, {_WORDS} AS w FROM (VALUES {_TEMPLATES}) v(template, license, text)),
+        ts AS (SELECT DISTINCT template, license, w[k + 1:k + 5] AS s FROM (SELECT *, {_SHINGLES} FROM t)),
+        n AS (SELECT template, count(*) AS total FROM ts GROUP BY 1),
+        d AS (SELECT row_number() OVER () AS uid, doc_id, {_WORDS} AS w FROM documents),
+        ds AS (SELECT uid, doc_id, k, w[k + 1:k + 5] AS s FROM (SELECT *, {_SHINGLES} FROM d)),
+        h AS (
+            SELECT uid, doc_id, template, license, total, count(DISTINCT s) AS n_shingles, min(k)::INT AS first_word, (max(k) + 5)::INT AS last_word
+            FROM ds JOIN ts USING (s) JOIN n USING (template) GROUP BY ALL
+        ), r AS (
+            SELECT *, n_shingles / total AS containment,
+                row_number() OVER (PARTITION BY uid, license ORDER BY n_shingles / total DESC, n_shingles DESC, template) AS place
+            FROM h WHERE n_shingles / total >= 0.8
+        )
+        SELECT doc_id, license, containment, n_shingles, first_word, last_word FROM r WHERE place = 1
+    """,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stowage.llm import decontaminate, exact_dedup, packing, secrets, simhash, suffix_dedup, toxicity, warc
+from stowage.llm import decontaminate, exact_dedup, licenses, packing, secrets, simhash, suffix_dedup, toxicity, warc
 from stowage.llm.common import table
 from stowage.session import work_folder
 
@@ -38,8 +38,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, size=1, radius=3)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_exact_dedup, op4_suffix_dedup, op5_warc, op6_decontaminate, op7_simhash, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_exact_dedup, op4_suffix_dedup, op5_warc, op6_decontaminate, op7_simhash, op8_licenses, op9_packing)}
