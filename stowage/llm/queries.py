@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stowage.llm import decontaminate, exact_dedup, licenses, packing, secrets, simhash, suffix_dedup, toxicity, warc
+from stowage.llm import chat, decontaminate, exact_dedup, licenses, packing, secrets, simhash, suffix_dedup, toxicity, warc
 from stowage.llm.common import table
 from stowage.session import work_folder
 
@@ -46,4 +47,40 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_exact_dedup, op4_suffix_dedup, op5_warc, op6_decontaminate, op7_simhash, op8_licenses, op9_packing)}
+TOOLS = {
+    "lookup": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query", "limit"], "additionalProperties": False},
+    "measure": {"type": "object", "properties": {"text": {"type": "string"}, "unit": {"enum": ["char", "word"]}}, "required": ["text"]},
+}
+
+
+def with_tools(conversations: DataFrame) -> DataFrame:
+    """The conversations with tool traffic derived from them, as the given ones have none.
+
+    Each assistant turn calls a tool with words of its own text: every seventh with a limit of the wrong type, every eleventh
+    of a tool that does not exist; turns that leave 3 modulo 4 wait for the call two turns before. The tool answers with the length of the
+    text, but not in each thirteenth conversation; each seventeenth has an answer to no call.
+    """
+    rows = conversations.select("conv_id", "turn", "role", "text")
+    name = F.when(F.col("turn") % 11 == 10, "search").when(F.col("turn") % 2 == 1, "lookup").otherwise("measure")
+    word = F.substring(F.coalesce("text", F.lit("")), 1, 40)
+    key = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
+    arguments = F.when(name == "measure", F.to_json(F.struct(word.alias("text"), F.lit("char").alias("unit")))).when(
+        F.col("turn") % 7 == 5, F.to_json(F.struct(word.alias("query"), F.lit("3").alias("limit")))
+    ).otherwise(F.to_json(F.struct(word.alias("query"), (F.col("turn") % 5).cast("int").alias("limit"))))
+    after = F.when(F.col("turn") % 4 == 3, F.array(key(F.col("turn") - 2))).otherwise(F.array().cast("array<string>"))
+    calls = F.to_json(F.array(F.struct(key(F.col("turn")).alias("id"), name.alias("name"), arguments.alias("arguments"), after.alias("after"))))
+    asks = F.col("role") == "assistant"
+    said = rows.select("conv_id", "turn", "role", "text", F.when(asks, calls).alias("tool_calls"), F.lit(None).cast("string").alias("tool_call_id"))
+    answers = rows.filter(asks & (F.coalesce("conv_id", F.lit(0)) % 13 != 0)).select(
+        "conv_id", "turn", F.lit("tool").alias("role"), F.length(F.coalesce("text", F.lit(""))).cast("string").alias("text"),
+        F.lit(None).cast("string").alias("tool_calls"),
+        F.when((F.col("conv_id") % 17 == 0) & (F.col("turn") < 2), F.lit("call_none")).otherwise(key(F.col("turn"))).alias("tool_call_id"),
+    )
+    return said.union(answers)
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(with_tools(table(spark, sf_dir, "conversations")), TOOLS)
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_exact_dedup, op4_suffix_dedup, op5_warc, op6_decontaminate, op7_simhash, op8_licenses, op9_packing, op10_chat)}
