@@ -24,6 +24,8 @@ GROUP_ROWS = 4000
 REMEMBERED = 500_000
 #: Pieces of a bin that the two-for-one exchange looks at in pairs.
 PAIR_ITEMS = 48
+#: The search tries to empty this many of the emptiest bins at a time, and stops after so many exchanges in a group.
+DONORS, EXCHANGES = 8, 500
 
 
 #: Words of these characters are cut here just as the tokenizer's own pattern cuts them, so that their parts can be
@@ -138,64 +140,65 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
+def _step(poor: int, others: np.ndarray, bins: list[list[int]], lengths: np.ndarray, room: np.ndarray):
+    """(bin, pieces it gets, pieces it gives) that shifts tokens from ``poor`` to one of ``others``; None without one."""
+    mine = sorted(bins[poor], key=lambda i: -lengths[i])
+    for i in mine:  # move
+        fits = others[room[others] >= lengths[i]]
+        if len(fits):
+            return int(fits[np.argmin(room[fits])]), [i], []
+    owner = np.repeat(others, [len(bins[b]) for b in others])
+    items = np.array([i for b in others for i in bins[b]])
+    have, gap = lengths[items], room[owner]
+    # One of this bin, then two of it, for one of another.
+    for out in (*((i,) for i in mine), *combinations(mine[:PAIR_ITEMS], 2)):
+        size = sum(int(lengths[i]) for i in out)
+        ok = np.flatnonzero((have < size) & (have + gap >= size))
+        if len(ok):
+            k = ok[np.argmax(size - have[ok])]
+            return int(owner[k]), list(out), [int(items[k])]
+    longest = int(lengths[mine[0]])
+    for b in others:  # one for two of another
+        part = sorted((i for i in bins[b] if lengths[i] < longest), key=lambda i: lengths[i])[:PAIR_ITEMS]
+        for p, q in combinations(part, 2):
+            both = lengths[p] + lengths[q]
+            for i in mine:
+                if both < lengths[i] <= both + room[b]:
+                    return int(b), [i], [p, q]
+    return None
+
+
 def local_search(lengths: np.ndarray, bins: list[list[int]], size: int) -> list[list[int]]:
     """Empty bins by moves and exchanges between underfull ones; each makes the sum of squared fills larger.
 
-    From the emptiest bin, a piece moves to where it fits; else it changes places with one shorter piece, or two
-    pieces of another bin, or two of its pieces change places with one. Every step shifts tokens from the emptiest bin
-    to a fuller one, so the search ends; it stops when the emptiest bin can lose nothing more.
+    Starting from the emptiest bin, a piece moves to a bin as full or fuller, or changes places with one shorter piece there,
+    or with two of them, or two pieces with one. The search ends when there is nothing left to shift, the bins are as
+    few as the tokens allow, or after ``EXCHANGES`` steps.
     """
     bins = [list(b) for b in bins]
-    fill = np.array([int(lengths[b].sum()) for b in bins])
-    open_bins = np.flatnonzero(fill < size)
-    while len(open_bins) > 1:
-        poor = int(open_bins[np.argmin(fill[open_bins])])
-        others = open_bins[open_bins != poor]
-        owner = np.repeat(others, [len(bins[b]) for b in others])
-        items = np.array([i for b in others for i in bins[b]])
-        have, gap = lengths[items], (size - fill)[owner]
+    room = np.array([size - int(lengths[b].sum()) for b in bins])
+    least = -(-int(lengths.sum()) // size)
+    used = len(bins)
+    for _ in range(EXCHANGES):
+        open_bins = np.flatnonzero((room > 0) & (room < size))
+        if used <= least or len(open_bins) < 2:
+            break
+        by_room = open_bins[np.argsort(-room[open_bins], kind="stable")]
         step = None
-        mine = sorted(bins[poor], key=lambda i: -lengths[i])
-        for i in mine:  # move
-            fits = others[size - fill[others] >= lengths[i]]
-            if len(fits):
-                step = (int(fits[np.argmax(fill[fits])]), [i], [])
+        for n, poor in enumerate(by_room[:DONORS]):
+            others = by_room[n + 1:]
+            step = _step(int(poor), others, bins, lengths, room) if len(others) else None
+            if step:
                 break
-        if step is None:  # one for one
-            for i in mine:
-                ok = np.flatnonzero((have < lengths[i]) & (have + gap >= lengths[i]))
-                if len(ok):
-                    k = ok[np.argmin(have[ok])]
-                    step = (int(owner[k]), [i], [int(items[k])])
-                    break
-        if step is None:  # two of this bin for one
-            for i, j in combinations(mine[:PAIR_ITEMS], 2):
-                both = lengths[i] + lengths[j]
-                ok = np.flatnonzero((have < both) & (have + gap >= both))
-                if len(ok):
-                    k = ok[np.argmin(have[ok])]
-                    step = (int(owner[k]), [i, j], [int(items[k])])
-                    break
-        if step is None:  # one for two of another bin
-            longest = int(lengths[mine[0]])
-            for b in others:
-                part = sorted((i for i in bins[b] if lengths[i] < longest), key=lambda i: lengths[i])[:PAIR_ITEMS]
-                free = size - fill[b]
-                pair = next((
-                    (i, p, q) for i in mine for p, q in combinations(part, 2)
-                    if lengths[p] + lengths[q] < lengths[i] <= lengths[p] + lengths[q] + free), None)
-                if pair:
-                    step = (int(b), [pair[0]], list(pair[1:]))
-                    break
         if step is None:
             break
         b, out, back = step
-        shift = int(lengths[out].sum() - (lengths[back].sum() if back else 0))
+        shift = sum(int(lengths[i]) for i in out) - sum(int(lengths[i]) for i in back)
         bins[poor] = [i for i in bins[poor] if i not in out] + back
         bins[b] = [i for i in bins[b] if i not in back] + out
-        fill[poor] -= shift
-        fill[b] += shift
-        open_bins = np.array([x for x in open_bins if 0 < fill[x] < size], np.int64)
+        room[poor] += shift
+        room[b] -= shift
+        used -= not bins[poor]
     return [b for b in bins if b]
 
 
