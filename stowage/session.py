@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -44,10 +45,15 @@ def build_session(app: str = "stowage", master: str | None = None, data_bytes: i
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
+    """The cluster's shared checkpoint folder; a temporary one only where none is set and all tasks run in this process.
+
+    Executors of a cluster do not share their local disks, so there a folder has to be named.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="stowage-")
         spark.conf.set("spark.checkpoint.dir", named)
     if context.getCheckpointDir() is None:
@@ -69,4 +75,16 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     spark = df.sparkSession
     folder = work_folder(spark, label)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    rows = spark.read.schema(df.schema).parquet(folder)
+    rows.work_folder = folder
+    return rows
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what :func:`cut_lineage` wrote for these tables, once nothing reads them any more."""
+    for table in tables:
+        folder = getattr(table, "work_folder", None)
+        if folder:
+            jvm = table.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
