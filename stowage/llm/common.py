@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.session import cut_lineage
+from stowage.session import cut_lineage, discard
 
 #: The ASCII white space of the text contracts, as a Java regular expression.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -31,8 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates two steps until nothing changes, about log(n) times: every node hands its larger neighbours to
     its smallest one, then its smaller neighbours. The edges stay distributed and never outnumber those given;
-    each round is written to the shared folder, so lineage stays short and lost executors cost one round. Null
-    ends and loops are ignored.
+    each round is written to the shared folder, so lineage stays short and lost executors cost one round, and takes the place of the
+    one before. Null ends and loops are ignored.
     """
     edges = cut_lineage(
         edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
@@ -45,10 +45,11 @@ def components(edges: DataFrame) -> DataFrame:
         handed = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         handed = handed.distinct()
         low = handed.groupBy("a").agg(F.min("b").alias("least"))
-        edges = cut_lineage(
+        old, edges = edges, cut_lineage(
             handed.join(low, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b")
             .union(low.select("a", F.col("least").alias("b"))).distinct(), "edges",
         )
+        discard(old)
         after = fingerprint_of(edges)
         if after == before:
             break

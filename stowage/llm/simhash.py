@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.common import components, whole_text
-from stowage.session import cut_lineage
+from stowage.session import cut_lineage, discard
 
 SEED = 42
 #: A bucket with more fingerprints than this is cut further by the bits that its key does not hold.
@@ -96,29 +96,36 @@ def _tables(bits: int) -> np.ndarray:
 
 
 def table_keys(reps: DataFrame, bits: int) -> DataFrame:
-    """Rows (key, node, fp, more) of long fingerprints: one key of random bits for each table."""
+    """Rows (key, node) of long fingerprints: one key of random bits for each table."""
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = _tables(bits)
-        weights = 1 << np.arange(KEY_BITS, dtype=np.int64)
-        wide = 1 << np.arange(MORE_BITS, dtype=np.int64)
+        tables = _tables(bits)[:, :KEY_BITS]
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at:at + 500]
+            for at in range(0, len(batch), 1000):
+                part = batch.iloc[at:at + 1000]
                 one = np.unpackbits(np.frombuffer(b"".join(part["fp"]), np.uint8).reshape(len(part), -1), axis=1)
-                chosen = one[:, tables].astype(np.int64)
-                key = chosen[:, :, :KEY_BITS] @ weights + (np.arange(TABLES, dtype=np.int64) << KEY_BITS)
-                more = chosen[:, :, KEY_BITS:].reshape(len(part), TABLES, MORE, MORE_BITS) @ wide
-                more = (key[:, :, None] << 14) + (np.arange(MORE) << MORE_BITS) + more
-                yield pd.DataFrame({
-                    "key": key.ravel(), "node": np.repeat(part["node"].to_numpy(), TABLES),
-                    "fp": np.repeat(part["fp"].to_numpy(), TABLES), "more": list(more.reshape(-1, MORE)),
-                })
+                key = np.zeros((len(part), TABLES), np.int64)
+                for k in range(KEY_BITS):
+                    key |= one[:, tables[:, k]].astype(np.int64) << k
+                key += np.arange(TABLES, dtype=np.int64) << KEY_BITS
+                yield pd.DataFrame({"key": key.ravel(), "node": np.repeat(part["node"].to_numpy(), TABLES)})
+
+    return reps.select("node", "fp").mapInPandas(emit, "key bigint, node bigint")
 
-    return reps.select("node", "fp").mapInPandas(emit, "key bigint, node bigint, fp binary, more array<bigint>")
 
+def table_more(crowded: DataFrame, bits: int) -> DataFrame:
+    """Rows (key, node, fp) of crowded buckets under longer keys: ``MORE`` choices of further bits of the table."""
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = _tables(bits)[:, KEY_BITS:]
+        wide = 1 << np.arange(MORE_BITS, dtype=np.int64)
+        for batch in batches:
+            key = batch["key"].to_numpy(np.int64)
+            one = np.unpackbits(np.frombuffer(b"".join(batch["fp"]), np.uint8).reshape(len(batch), -1), axis=1)
+            chosen = np.take_along_axis(one, tables[key >> KEY_BITS], axis=1).astype(np.int64)
+            value = chosen.reshape(len(batch), MORE, MORE_BITS) @ wide
+            longer = (1 << 62) + (((key[:, None] * MORE) + np.arange(MORE)) << MORE_BITS) + value
+            yield pd.DataFrame({"key": longer.ravel(), "node": np.repeat(batch["node"].to_numpy(), MORE), "fp": np.repeat(batch["fp"].to_numpy(), MORE)})
 
-def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+    return crowded.select("key", "node", "fp").mapInPandas(emit, "key bigint, node bigint, fp binary")
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -155,6 +162,24 @@ def _links(nodes: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int, i
     return found
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """The components that the edges make up, as edges to the smallest node of each: the same ones from many buckets."""
+    nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = index[:len(a)], index[len(a):]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[left], label[right])
+        new = label.copy()
+        for at in (left, right, label[left], label[right]):
+            np.minimum.at(new, at, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return pd.DataFrame({"a": nodes[moved], "b": nodes[label[moved]]})
+
+
 def _bucket_edges(radius: int):
     def of(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -169,7 +194,7 @@ def _bucket_edges(radius: int):
             links = np.array(_links(nodes[start:start + size], fps[start:start + size], radius), np.int64).reshape(-1, 2)
             a.append(links[:, 0]), b.append(links[:, 1])
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": join(a), "b": join(b)}).drop_duplicates()
+        return _stars(join(a), join(b))
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by key; the last bucket of a batch waits for the next one."""
@@ -197,20 +222,24 @@ def _bucket_edges(radius: int):
     return edges
 
 
-def near_links(keyed: DataFrame, radius: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Edges (a, b) that connect everything within the radius inside the buckets.
+def near_links(reps: DataFrame, size: int, radius: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Edges (a, b) that connect every two of the rows (node, fp) that are within the radius and share a bucket.
 
-    Buckets of one fingerprint are dropped first; those above ``bucket_rows`` are cut by their further keys.
+    Only keys and nodes go through the first shuffle; fingerprints join them once buckets of one node are gone. Buckets above
+    ``bucket_rows`` are cut by their further keys.
     """
-    keyed = cut_lineage(keyed, "keys")
-    more = F.col("more") if "more" in keyed.columns else _chain_more()
+    keyed = cut_lineage(chain_keys(reps) if size == 1 else table_keys(reps, 64 * size), "keys")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("__n")).filter("__n > 1")
-    rows = (
-        keyed.join(sizes, "key")
-        .select(F.explode(F.when(F.col("__n") > bucket_rows, more).otherwise(F.array("key"))).alias("key"), "node", "fp")
-    )
-    sorted_rows = rows.repartition("key").sortWithinPartitions("key")
-    return sorted_rows.mapInPandas(_bucket_edges(radius), "a bigint, b bigint")
+    shared = keyed.join(sizes, "key")
+    crowded = F.col("__n") > bucket_rows
+    if size == 1:
+        rows = shared.select(F.explode(F.when(crowded, _chain_more()).otherwise(F.array("key"))).alias("key"), "node", "fp")
+    else:
+        shared = shared.join(reps, "node")
+        rows = shared.filter(~crowded).select("key", "node", "fp").union(table_more(shared.filter(crowded), 64 * size))
+    edges = cut_lineage(rows.repartition("key").sortWithinPartitions("key").mapInPandas(_bucket_edges(radius), "a bigint, b bigint"), "links")
+    discard(keyed)
+    return edges
 
 
 def near_duplicates(
@@ -228,9 +257,9 @@ def near_duplicates(
     reps = rows.groupBy("fp").agg(F.min("doc_id").cast("bigint").alias("node"))
     if size == 1 and radius > 3:
         raise ValueError("a 64-bit fingerprint takes a radius of at most 3")
-    known = reps.filter("node IS NOT NULL")
-    keyed = chain_keys(known) if size == 1 else table_keys(known, 64 * size)
-    parts = components(near_links(keyed, radius, bucket_rows))
+    links = near_links(reps.filter("node IS NOT NULL"), size, radius, bucket_rows)
+    parts = components(links)
+    discard(links)
     named = reps.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return rows.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.common import whole_text
-from stowage.session import cut_lineage
+from stowage.session import cut_lineage, discard
 
 SPAN, GRAM = 200, 64
 #: Rows of a bucket beyond which it is refined before its strings are compared.
@@ -240,7 +240,8 @@ def repeated_spans(texts: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
     """
     found = cut_lineage(texts.mapInPandas(_find_anchors, ANCHORS), "anchors")
     shared = found.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    found = cut_lineage(found.join(shared, "bucket", "left_semi"), "shared")
+    found, every = cut_lineage(found.join(shared, "bucket", "left_semi"), "shared"), found
+    discard(every)
     stretches = cut_lineage(
         found.groupBy("bucket", "stretch", "before", "after")
         .agg(F.count("*").alias("copies"), F.min(F.struct("key", "place")).alias("one")), "stretches",

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from stowage.llm.common import components
-from stowage.llm.simhash import _links, chain_keys, drop_near_duplicates, near_duplicates, near_links, simhash
+from stowage.llm.simhash import _links, drop_near_duplicates, near_duplicates, near_links, simhash
 
 SCHEMA = "doc_id bigint, text string, fp int, component string"
 
@@ -62,9 +62,9 @@ def test_every_pair_within_three_bits_shares_all_levels_of_keys(spark):
         for bit in rng.sample(range(64), rng.randrange(1, 4)):
             b ^= 1 << bit
         rows += [(2 * i, a.to_bytes(8, "big")), (2 * i + 1, b.to_bytes(8, "big"))]
-    keyed = chain_keys(spark.createDataFrame(rows, "node bigint, fp binary"))
+    reps = spark.createDataFrame(rows, "node bigint, fp binary")
     for limit in (10, 1):
-        found = {tuple(sorted((r.a, r.b))) for r in near_links(keyed, 3, limit).collect()}
+        found = {tuple(sorted((r.a, r.b))) for r in near_links(reps, 1, 3, limit).collect()}
         assert {(2 * i, 2 * i + 1) for i in range(300)} <= found
 
 
@@ -94,3 +94,19 @@ def test_stage_drops_near_copies_only(spark):
     kept = drop_near_duplicates(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA))
     assert kept.columns == ["doc_id", "text", "fp", "component"]
     assert sorted(r.doc_id for r in kept.collect()) == [1, 5, 6, 7, 8]
+
+
+def test_long_fingerprints_meet_in_crowded_buckets_too(spark):
+    rng = random.Random(11)
+    centre = rng.getrandbits(256)
+    rows = [(0, centre.to_bytes(32, "big"))]
+    for i in range(1, 120):
+        fp = centre
+        for bit in rng.sample(range(256), 12):
+            fp ^= 1 << bit
+        rows.append((i, fp.to_bytes(32, "big")))
+    rows += [(1000 + i, rng.getrandbits(256).to_bytes(32, "big")) for i in range(100)]
+    reps = spark.createDataFrame(rows, "node bigint, fp binary")
+    for limit in (4096, 5):
+        found = {r.node: r.component for r in components(near_links(reps, 4, 35, limit)).collect()}
+        assert found == {i: 0 for i in range(120)}
