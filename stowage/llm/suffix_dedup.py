@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,26 +32,31 @@ SPAN, GRAM = 200, 64
 #: Rows of a bucket beyond which it is refined before its strings are compared.
 BUCKET_ROWS = 20_000
 #: Bytes that a task hashes at once; longer texts are taken in overlapping parts.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _LOW = np.uint64((1 << 24) - 1)
 
 
-@lru_cache
+_known_powers: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size + 1, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """Powers of an odd number modulo 2 ** 64; a worker keeps the longest table it has needed."""
+    known = _known_powers.get(base)
+    if known is None or len(known) <= size:
+        known = np.full((1 << max(12, size.bit_length())) + 1, base, np.uint64)
+        known[0] = 1
+        _known_powers[base] = known = np.multiply.accumulate(known)
+    return known
 
 
 class Hashes:
     """Hash of any stretch of some bytes in constant time."""
 
     def __init__(self, data: np.ndarray, base: int):
-        size = 1 << max(12, int(len(data)).bit_length())
-        self.back = _powers(pow(base, -1, 1 << 64), size)
+        self.back = _powers(pow(base, -1, 1 << 64), len(data))
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(base, size)[:len(data)], out=self.sums[1:])
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(base, len(data))[:len(data)], out=self.sums[1:])
 
     def of(self, start, end) -> np.ndarray:
         return _mix((self.sums[end] - self.sums[start]) * self.back[start])

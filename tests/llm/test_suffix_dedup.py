@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from stowage.llm.suffix_dedup import SPAN, remove_repeats
+from stowage.llm.suffix_dedup import BLOCK, SPAN, remove_repeats
 
 SCHEMA = "doc_id bigint, text string, key string, spans int"
 
@@ -51,8 +51,8 @@ def test_equals_brute_force(spark, seed, limit):
 
 def test_long_text_in_parts_and_empty_table(spark):
     rng = random.Random(4)
-    long = "".join(rng.choices("abcdefgh ", k=(4 << 20) + 3000))
-    copy = long[(4 << 20) - 700:(4 << 20) + 900]  # lies across two parts
+    long = "".join(rng.choices("abcdefgh ", k=BLOCK + 3000))
+    copy = long[BLOCK - 700:BLOCK + 900]  # lies across two parts
     df = spark.createDataFrame([(1, long), (2, "<<" + copy + ">>")], "doc_id bigint, text string")
     found = {r.doc_id: (r.n_removed, r.n_spans) for r in remove_repeats(df).collect()}
     assert found == {1: (1600, 1), 2: (1600, 1)}
