@@ -34,22 +34,33 @@ def as_json(rows: DataFrame, name: str = "value") -> DataFrame:
 
 
 def format_bytes(size: Column | str, decimals: int = 2) -> Column:
-    """``1536`` becomes ``1.5 KB``. Integer arithmetic, so halves round exactly; units end at PB."""
+    """``1536`` becomes ``1.5 KB``. Exact arithmetic, so halves round up exactly; units end at PB.
+
+    A fraction of a unit has at most 50 binary and so 50 decimal places; ``decimals`` may be any number. The digits come in
+    groups of three from the rest of the division before, which keeps each step inside 64 bits.
+    """
     size = (F.col(size) if isinstance(size, str) else size).cast("bigint")
     places = max(0, decimals)
-    if places > 3:
-        raise ValueError("at most 3 decimals")  # keeps the arithmetic below inside 64 bits
 
     def in_unit(index: int) -> Column:
-        unit = 1 << (10 * index)
-        whole = F.shiftright(size, 10 * index)
-        rest = size.bitwiseAND(F.lit(unit - 1).cast("bigint"))
-        scaled = F.shiftright(rest * F.lit(2 * 10**places) + F.lit(unit), 10 * index + 1)
-        carried = whole + F.floor(scaled / 10**places).cast("bigint")
-        digits = F.lpad((scaled % 10**places).cast("string"), places, "0")
-        text = F.concat(carried.cast("string"), F.lit("."), digits) if places else carried.cast("string")
-        trimmed = F.regexp_replace(text, r"\.?0+$", "") if places else text
-        return F.concat(trimmed, F.lit(" " + UNITS[index]))
+        bits = 10 * index
+        unit = F.lit(1 << bits).cast("bigint")
+        mask = F.lit((1 << bits) - 1).cast("bigint")
+        rest, left, groups = size.bitwiseAND(mask), places, []
+        while left > 0:
+            step = min(3, left)
+            scaled = rest * F.lit(10**step).cast("bigint")
+            groups.append((F.shiftright(scaled, bits), step))
+            rest, left = scaled.bitwiseAND(mask), left - step
+        carry = (rest * 2 >= unit).cast("bigint")
+        digits = []
+        for value, step in reversed(groups):
+            value = value + carry
+            carry = F.floor(value / 10**step).cast("bigint")
+            digits.append(F.lpad((value % 10**step).cast("string"), step, "0"))
+        whole = (F.shiftright(size, bits) + carry).cast("string")
+        text = F.regexp_replace(F.concat(whole, F.lit("."), *reversed(digits)), r"\.?0+$", "") if places else whole
+        return F.concat(text, F.lit(" " + UNITS[index]))
 
     result = F.when(size == 0, F.lit("0 Bytes"))
     for index in range(len(UNITS) - 1):

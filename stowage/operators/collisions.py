@@ -31,7 +31,6 @@ from stowage.session import cut_lineage
 LAST_SUFFIX = 999
 SLOTS = LAST_SUFFIX + 1
 COLLISION_LIMIT = "collision limit"
-PARTS = 64
 
 NODE = ["dir", "name"]
 _CHILD = r"(?s)^(.+)_([1-9][0-9]{0,2})$"
@@ -99,14 +98,25 @@ def _slots(files: Column, blocks: Column, start: int) -> Column:
     return F.aggregate(files, empty, place, lambda done: done["all"])
 
 
-def _parents(wanted: DataFrame, edges: DataFrame) -> DataFrame:
+def _parted(rows: DataFrame, hot: DataFrame | None, hot_rows: int) -> DataFrame:
+    """Adds ``parts``: over how many tasks the files of a name are spread before they are limited."""
+    if hot is None:
+        return rows.withColumn("parts", F.lit(1).cast("bigint"))
+    return rows.join(F.broadcast(hot.select(*NODE, F.col("n").alias("__n"))), NODE, "left").withColumn(
+        "parts", F.coalesce(F.ceil(F.col("__n") / hot_rows) + 1, F.lit(1)).cast("bigint")).drop("__n")
+
+
+def _parents(wanted: DataFrame, edges: DataFrame, hot: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Slots of the first 1000 files of every name with children, for both values of the bit."""
     blocks = edges.groupBy("dir", F.col("parent").alias("name")).agg(
         F.array_sort(F.collect_list(F.struct("slot", "first"))).alias("blocks")  # at most 999
     )
-    # First 1000 per salted part and then per name: a limit on row_number is applied before each shuffle.
-    mine = wanted.select(*NODE, "__order").join(blocks.select(*NODE), NODE, "left_semi")
-    parted = mine.withColumn("part", F.pmod(F.xxhash64("__order"), F.lit(PARTS)))
+    # First 1000 per part and then per name. The names are repeated for each part, so that the join already deals a
+    # very common one out by part; the limit on row_number comes before the rows of a name meet.
+    parts = _parted(blocks.select(*NODE), hot, hot_rows).select(*NODE, F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
+    mine = _parted(wanted.select(*NODE, "__order"), hot, hot_rows).select(
+        *NODE, "__order", F.pmod(F.xxhash64("__order"), F.col("parts")).alias("part"))
+    parted = mine.join(parts, [*NODE, "part"], "left_semi")
     for keys in ([*NODE, "part"], NODE):
         nth = F.row_number().over(Window.partitionBy(*keys).orderBy("__order"))
         parted = parted.withColumn("nth", nth).filter(F.col("nth") <= SLOTS)
@@ -211,7 +221,7 @@ def resolve_names(planned: DataFrame, existing: DataFrame, target: str, order: C
             "taken": F.lit(True), "if_free": F.lit(None).cast("array<int>"), "if_taken": F.lit(None).cast("array<int>"),
         })
     else:
-        parents = cut_lineage(_parents(clashes.wanted, edges), "parents")
+        parents = cut_lineage(_parents(clashes.wanted, edges, clashes.hot, hot_rows), "parents")
         taken = _taken(edges, parents, clashes.nodes).withColumn("taken", F.lit(True))
         facts = taken.join(parents, NODE, "full_outer")
 

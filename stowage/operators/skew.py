@@ -16,8 +16,8 @@ from stowage.session import cut_lineage
 HOT_ROWS = 1_000_000
 HOT_KEYS = 4096
 SAMPLE_FRACTION = 1 / 64
-SALTS = 1024
-SPLITS = 256
+#: Ranges of a hot group hold about this share of ``hot_rows`` rows.
+RANGE_SHARE = 4
 
 
 def largest_groups(counts: DataFrame, keys: list[str], size: str, hot_rows: int) -> DataFrame:
@@ -49,16 +49,18 @@ def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], hot: Da
     """Left outer join to a right side that is unique on ``keys``.
 
     ``hot`` holds the same columns as ``right`` for the hot keys and is broadcast; its size is bounded
-    by ``HOT_KEYS``. Rows it answers still pass the second join, but spread over salted keys that match
-    nothing there, so no task receives a whole hot key.
+    by ``HOT_KEYS``. Rows it answers still pass the second join, but under a hash of their own as salt, which matches
+    nothing there, so they are spread over all tasks. The salt of the right side is 0 for every row, in a form that
+    the optimizer does not fold: folded, it would leave the exchange.
     """
     values = [c for c in right.columns if c not in keys]
     small = hot.select(*keys, *[F.col(c).alias(f"__hot_{c}") for c in values], F.lit(True).alias("__is_hot"))
     rows = left.join(F.broadcast(small), keys, "left").withColumn(
         "__salt",
-        F.when(F.col("__is_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)) + 1).otherwise(F.lit(0)).cast("int"),
+        F.when(F.col("__is_hot"), F.pmod(F.xxhash64(spread), F.lit((1 << 62) - 1)) + 1).otherwise(F.lit(0).cast("bigint")),
     )
-    joined = rows.join(right.withColumn("__salt", F.lit(0)), [*keys, "__salt"], "left")
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1).cast("bigint"))
+    joined = rows.join(right.withColumn("__salt", zero), [*keys, "__salt"], "left")
     chosen = [
         F.when(F.col("__is_hot"), F.col(f"__hot_{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c)
         for c in [*left.columns, *values]
@@ -87,48 +89,41 @@ def rank_within(
     return rank_with(df, keys, order, name, hot_rows, hot_keys(df, keys, hot_rows))
 
 
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & left[k].eqNullSafe(right[k])
+    return condition
+
+
 def rank_with(
     df: DataFrame, keys: list[str], order: list[Column], name: str, hot_rows: int, hot: DataFrame | None
 ) -> DataFrame:
     """:func:`rank_within` with hot keys that are known already.
 
-    The order must be total on distinct rows. Range bounds come from a hash-chosen sample of each hot
-    group; they decide only how even the ranges are. A range's ranks are shifted by the rows before it.
+    The order must be total on distinct rows. The rows of hot groups are dealt out by ranges of key and order, as many
+    as their number asks for; a range is one task, and its ranks are shifted by the rows of its key in the ranges before.
     """
+    def plain(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+
     if hot is None:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+        return plain(df)
 
     columns = df.columns
-    df = cut_lineage(df, "ranks")  # read three times below
-    keyed = df.withColumn("__order", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
-    wanted = F.greatest(F.lit(2), F.least(F.lit(SPLITS), F.ceil(F.col("n") * 4 / hot_rows))).cast("int")
-    picks = (
-        keyed.select(*keys, "__order")
-        .join(F.broadcast(hot), keys)
-        .filter(F.pmod(F.xxhash64("__order"), F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("n") / 2048))) == 0)
-        .groupBy(*keys, wanted.alias("splits"))
-        .agg(F.sort_array(F.collect_set("__order")).alias("seen"))
-    )
-    bounds = picks.select(
-        *keys,
-        F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), F.col("splits")),
-                lambda i: F.get("seen", F.floor(i * F.size("seen") / (F.col("splits") + 1)).cast("int")),
-            )
-        ).alias("__bounds"),
+    df = cut_lineage(df, "ranks")  # read twice below
+    busy = F.broadcast(hot.select(*keys))
+    total = hot.agg(F.sum("n")).first()[0]
+    ranges = max(2, -(-RANGE_SHARE * total // hot_rows))
+    ordered = df.join(busy, _same(df, busy, keys), "left_semi").withColumn("__rank_order", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
+    dealt = cut_lineage(
+        ordered.repartitionByRange(int(ranges), *keys, "__rank_order").withColumn("__bucket", F.spark_partition_id()), "ranges"
     )
-    bucketed = keyed.join(F.broadcast(bounds), keys, "left").withColumn(
-        "__bucket",
-        F.coalesce(F.size(F.filter("__bounds", lambda b: b < F.col("__order"))), F.lit(0)).cast("int"),
-    ).withColumn("__bucket", F.greatest("__bucket", F.lit(0)))
-    sizes = bucketed.filter("__bounds IS NOT NULL").groupBy(*keys, "__bucket").agg(F.count("*").alias("__n"))
+    sizes = dealt.groupBy(*keys, "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    local = F.row_number().over(Window.partitionBy(*keys, "__bucket").orderBy("__order"))
-    return (
-        bucketed.select(*columns, "__order", "__bucket")
-        .withColumn("__local", local)
-        .join(offsets, [*keys, "__bucket"], "left")
-        .select(*columns, (F.col("__local") + F.coalesce("__before", F.lit(0))).cast("bigint").alias(name))
+    offsets = sizes.select(*keys, F.col("__bucket").alias("__at"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    local = dealt.withColumn("__local", F.row_number().over(Window.partitionBy(*keys, "__bucket").orderBy("__rank_order")))
+    ranked = local.join(offsets, _same(local, offsets, keys) & (F.col("__bucket") == F.col("__at"))).select(
+        *[local[c] for c in columns], (F.col("__local") + F.col("__before")).cast("bigint").alias(name)
     )
+    return plain(df.join(busy, _same(df, busy, keys), "left_anti")).unionByName(ranked)

@@ -69,6 +69,13 @@ def test_categories(spark):
         sf.extensions_for_category(spark, "Nope")
 
 
+def exact_bytes(size, places):
+    unit = min(5, (size.bit_length() - 1) // 10) if size else 0
+    scaled = (size * 10**places * 2 + (1 << 10 * unit)) // (2 << 10 * unit)  # half up
+    text = str(scaled) if not places else f"{scaled // 10**places}.{scaled % 10**places:0{places}}".rstrip("0").rstrip(".")
+    return f"{text} {('Bytes', 'KB', 'MB', 'GB', 'TB', 'PB')[unit]}"
+
+
 def test_format_bytes(spark):
     cases = {
         0: "0 Bytes", 1: "1 Bytes", 1023: "1023 Bytes", 1024: "1 KB", 1025: "1 KB", 1536: "1.5 KB", 1048575: "1024 KB",
@@ -77,6 +84,9 @@ def test_format_bytes(spark):
     assert column(spark, list(cases), sf.format_bytes, "bigint") == list(cases.values())
     assert column(spark, [1536, 1100], lambda v: format_bytes(v, 0), "bigint") == ["2 KB", "1 KB"]
     assert column(spark, [1100], lambda v: format_bytes(v, 3), "bigint") == ["1.074 KB"]
+    sizes = [0, 1, 1025, 1234567, 2**30 - 1, 2**40 + 12345, 5 * 2**50 + 7, 2**62 + 3]
+    for places in range(11):
+        assert column(spark, sizes, lambda v: format_bytes(v, places), "bigint") == [exact_bytes(n, places) for n in sizes]
 
 
 def test_percent_and_rounding(spark):

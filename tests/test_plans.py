@@ -1,12 +1,15 @@
 """Shape of the physical plans."""
 
 import os
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from checks.queries import QUERIES
 from stowage.functions import with_category
+from stowage.operators import lookup
 from stowage.operators.collisions import _parents
 from stowage.plans import dedupe, report, scan
 
@@ -58,8 +61,33 @@ def test_contents_never_travel_with_the_removals(spark):
     assert all("original_path" not in r and "category" not in r for r in read)
 
 
-def test_candidates_of_a_name_are_limited_before_the_shuffle(spark):
-    wanted = spark.createDataFrame([("/d", "a", "1")], "dir string, name string, __order string")
+@pytest.fixture
+def no_help(spark):
+    """Without broadcasts and adaptive execution only the plan itself can balance the tasks."""
+    names = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_files_of_a_hot_name_are_limited_before_they_meet(spark, no_help):
+    wanted = spark.createDataFrame([("/d", "a", str(i)) for i in range(1000)], "dir string, name string, __order string")
     edges = spark.createDataFrame([("/d", "a_1", "a", 1, "2")], "dir string, name string, parent string, slot int, first string")
-    text = plan(_parents(wanted, edges))
-    assert text.count("WindowGroupLimit") >= 2 and text.index("WindowGroupLimit") > text.index("Window ")
+    hot = spark.createDataFrame([("/d", "a", 1000)], "dir string, name string, n bigint")
+    df = _parents(wanted, edges, hot, 100)
+    text = plan(df)
+    assert len(re.findall(r"Exchange hashpartitioning\(dir#\d+, name#\d+, part#\d+L?", text)) == 2  # both sides of the join
+    assert text.count("WindowGroupLimit") >= 3
+    assert len(df.first()["if_free"]) == 1000 and df.first()["if_free"] == _parents(wanted, edges).first()["if_free"]
+
+
+def test_a_hot_key_is_spread_by_the_lookup(spark, no_help):
+    rows = spark.range(20_000).selectExpr("if(id % 5 < 4, 'hot', concat('k', id)) AS k", "id")
+    right = spark.range(0, 20_000, 7).selectExpr("concat('k', id) AS k", "id AS w").union(spark.createDataFrame([("hot", -1)], "k string, w bigint"))
+    df = lookup(rows, right, ["k"], F.col("id"), hot_rows=1000)
+    assert plan(df).count("Exchange hashpartitioning(k#") == len(re.findall(r"Exchange hashpartitioning\(k#\d+, __salt#", plan(df))) == 2
+    sizes = [r.n for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 3 * 20_000 / 16

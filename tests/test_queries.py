@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from checks.oracle import ORACLE
+from checks.queries import QUERIES
 from checks.compare import TABLES, normal
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -22,18 +24,18 @@ def sql():
 
 
 def test_every_query_has_sql_but_the_nested_report():
-    assert set(queries()) - set(oracle_sql()) == NO_SQL
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLE) == NO_SQL
+    assert set(oracle_sql()) <= set(queries()) and set(QUERIES) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_equals_sql(spark, sql, name):
-    df = queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     rows = [tuple(r) for r in df.collect()]
     if name in NO_SQL:
         assert len(rows) == 1
         return
-    cursor = sql.execute(oracle_sql()[name])
+    cursor = sql.execute(ORACLE[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(columns) == sorted(df.columns)
     assert normal(df.columns, rows) == normal(columns, cursor.fetchall())

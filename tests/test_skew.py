@@ -22,6 +22,13 @@ def test_rank_of_hot_groups_equals_a_plain_window(spark):
     assert ranked.schema["rank"].dataType == plain.schema["rank"].dataType
 
 
+def test_ranges_grow_with_the_group(spark):
+    df = spark.range(3000).selectExpr("if(id % 10 = 0, null, 'hot') AS k", "id")
+    ranked = rank_within(df, ["k"], [F.col("id")], hot_rows=20)  # hundreds of ranges, also for the null key
+    plain = df.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy("id")).cast("bigint"))
+    assert ranked.exceptAll(plain).isEmpty() and ranked.count() == 3000
+
+
 def test_hot_group_is_ranked_in_several_parts(spark):
     ranked = rank_within(skewed(spark), ["k"], [F.col("id")], hot_rows=300)
     assert "__bucket" in ranked._jdf.queryExecution().optimizedPlan().toString()
