@@ -138,8 +138,7 @@ def with_(views: str, select: str, recursive: bool = False) -> str:
 
 VISIBLE = "doc_id % 11 NOT IN (3, 5)"
 ORACLE["list_tree"] = f"SELECT {TREE} AS path, CAST(strlen(text) AS BIGINT) AS size FROM documents WHERE {VISIBLE}"
-ORACLE["list_flat"] = f"""SELECT {name_of(TREE)} AS name, CAST(strlen(text) AS BIGINT) AS size FROM documents
-    WHERE {TREE} LIKE '/en/s0/%'"""
+ORACLE["list_flat"] = f"SELECT {TREE} AS path, CAST(strlen(text) AS BIGINT) AS size FROM documents"
 ORACLE["listing_rules"] = f"SELECT concat('/top', {TREE}) AS file_path FROM documents WHERE {VISIBLE}"
 ORACLE["scan_errors"] = f"SELECT DISTINCT {PAGE} AS path, 'ENOENT' AS error FROM pages"
 ORACLE["normalize_path"] = with_(F_VIEW, f"""SELECT file_path, file_path AS clean FROM f
@@ -399,8 +398,8 @@ POSITIONS = ", ".join(f"({i}, '{c}', {len(EXTENSIONS.get(c, '').split())})" for
 ORACLE["category_dim"] = with_(f"{M_VIEW}, cd(position, category, extensions) AS (VALUES {POSITIONS})", """SELECT position,
     cd.category, extensions, count(m.file_path) AS files, CAST(coalesce(sum(size), 0) AS BIGINT) AS size
     FROM cd LEFT JOIN m ON m.category = cd.category GROUP BY ALL""")
-ORACLE["extensions_for_category"] = with_(M_VIEW, """SELECT ext.extension, count(m.file_path) AS files FROM ext
-    LEFT JOIN m ON m.extension = ext.extension WHERE ext.category IN ('Code', 'Images') GROUP BY ALL""")
+ORACLE["extensions_for_category"] = with_(M_VIEW, """SELECT ext.category, ext.extension, count(m.file_path) AS files FROM ext
+    LEFT JOIN m ON m.extension = ext.extension GROUP BY ALL""")
 UNIT = "CASE " + " ".join(
     f"WHEN bytes < {1024 ** (i + 1)} THEN {i}" for i in range(5)
 ) + " ELSE 5 END"
@@ -423,8 +422,11 @@ ORACLE["path_parts"] = with_(f"{F_VIEW}, p AS (SELECT file_path FROM f UNION ALL
 
 # ---- streaming ----
 
-ORACLE["stream_duplicates"] = """SELECT lang AS scan_id, sha256(text) AS hash, count(*) AS files, count(*) - 1 AS duplicates,
-    CAST(1 AS BIGINT) AS originals FROM documents GROUP BY 1, 2"""
+ORACLE["stream_duplicates"] = f"""WITH o AS (SELECT lang AS scan_id, sha256(text) AS hash, {DOC_PATH} AS file_path,
+    (doc_id * 7919) % 86400 AS arrived FROM documents),
+  p AS (SELECT *, first_value(file_path) OVER (PARTITION BY scan_id, hash ORDER BY arrived, {WALK}) AS original FROM o)
+  SELECT scan_id, hash, file_path, file_path <> original AS is_duplicate, CASE WHEN file_path <> original THEN original END AS duplicate_of
+  FROM p"""
 ACTIVITY = "ev AS (SELECT CAST(ts AS TIMESTAMP) AS ts, user_id, event_type AS type, CAST(round(value * 100) AS BIGINT) AS size FROM events)"
 ORACLE["activity_tumbling"] = with_(ACTIVITY, """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
     time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, type, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM ev GROUP BY ALL""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from stowage import functions as sf
 from stowage.operators import clash_classes, validate_actions, validate_files, validate_transactions
+from stowage.functions.categories import CATEGORIES
 from stowage.plans import dedupe, ledger, organize, report, rollback, scan
 from stowage.session import work_folder
-from stowage.sources import CatalogueStore, hash_files, list_files, partial_hash_files
+from stowage.sources import CatalogueStore, hash_files, list_each, list_files, partial_hash_files
+from stowage.streaming.duplicates import ARRIVALS, ROCKSDB, STATE_STORE
 from stowage.streaming import activity_by_session, activity_by_window, first_arrival_stream, resolve_originals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,10 +38,11 @@ def list_tree(spark, sf_dir):
 
 @query
 def list_flat(spark, sf_dir):
-    """Not recursive: one folder of the tree."""
-    root = fx.document_tree(spark, sf_dir) + "/en/s0"
-    found = list_files(spark, root, recursive=False)
-    return found.select(sf.basename("file_path").alias("name"), "size")
+    """Not recursive: every folder that a document lies in, hidden ones too."""
+    root = fx.document_tree(spark, sf_dir)
+    folders = fx.tree_files(spark, sf_dir, root).select(sf.dirname("file_path").alias("file_path"))
+    found, _ = list_each(folders)
+    return found.select(F.substring("file_path", len(root) + 1, 1 << 20).alias("path"), "size")
 
 
 @query
@@ -601,10 +605,12 @@ def category_dim(spark, sf_dir):
 
 @query
 def extensions_for_category(spark, sf_dir):
-    """Extensions of two categories with the documents that carry each."""
+    """Extensions of every category with the documents that carry each."""
     used = fx.manifest(spark, sf_dir).groupBy("extension").agg(F.count("*").alias("files"))
-    both = sf.extensions_for_category(spark, "Code").union(sf.extensions_for_category(spark, "Images"))
-    return both.join(used, "extension", "left").select("extension", F.coalesce("files", F.lit(0)).alias("files"))
+    every = reduce(DataFrame.union, [
+        sf.extensions_for_category(spark, c).withColumn("category", F.lit(c)) for c in CATEGORIES if c != "Others"
+    ])
+    return every.join(used, "extension", "left").select("category", "extension", F.coalesce("files", F.lit(0)).alias("files"))
 
 
 @query
@@ -655,10 +661,12 @@ def path_parts(spark, sf_dir):
 
 @query
 def stream_duplicates(spark, sf_dir):
-    """Documents as a stream of files; copies found by first arrival, counted per content."""
+    """Documents as a stream of files; each with its original, the first that arrived with its content."""
     folder = work_folder(spark, "stream")
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
     schema = fx.table(spark, sf_dir, "documents").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    docs = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")  # a glob takes a file as well as a folder
     rows = docs.selectExpr(
         "lang AS scan_id", "sha2(text, 256) AS hash", f"{fx.DOCUMENT_PATH} AS file_path",
         "CAST(octet_length(text) AS BIGINT) AS size",
@@ -670,11 +678,9 @@ def stream_duplicates(spark, sf_dir):
         .trigger(availableNow=True).start()
     )
     run.awaitTermination()
-    found = resolve_originals(spark.read.parquet(f"{folder}/rows"))
-    return found.groupBy("scan_id", "hash").agg(
-        F.count("*").alias("files"), F.count_if("is_duplicate").alias("duplicates"),
-        F.count_if(~F.col("is_duplicate")).alias("originals"),
-    )
+    spark.conf.set(STATE_STORE, before)
+    found = resolve_originals(spark.read.schema(ARRIVALS).parquet(f"{folder}/rows"))
+    return found.select("scan_id", "hash", "file_path", "is_duplicate", "duplicate_of")
 
 
 def _times(rows: DataFrame, *names: str) -> DataFrame:

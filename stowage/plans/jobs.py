@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stowage.functions.categories import CATEGORIES
 from stowage.functions.paths import order_key
 from stowage.operators.progress import with_progress
 from stowage.operators.skew import rank_within
@@ -23,7 +24,7 @@ from stowage.schemas import SUMMARY_FIELDS
 from stowage.session import cut_lineage
 from stowage.sources.contents import hash_files
 from stowage.sources.filesystem import is_remote
-from stowage.sources.listing import list_files
+from stowage.sources.listing import list_each, walk
 from stowage.sources.store import CatalogueStore
 
 
@@ -46,7 +47,9 @@ def run_scan(store: CatalogueStore, root: str, at: datetime.datetime, recursive:
     if not is_remote(root) and not os.path.isdir(root):
         raise ValueError(f"Directory does not exist: {root}")
     scan_id = _new_id(scan_id)
-    found = list_files(store.spark, root, recursive).withColumn("scan_id", F.lit(scan_id))
+    listed, failed = walk(store.spark, root, recursive)
+    store.append("scan_errors", failed.filter("NOT silent").withColumn("scan_id", F.lit(scan_id)))
+    found = listed.withColumn("scan_id", F.lit(scan_id))
     watched, progress = with_progress(hash_files(found), "size", F.col("error").isNotNull())
     hashed = cut_lineage(watched, "hashed")
     store.append("scan_errors", hashed.filter("error IS NOT NULL"))
@@ -83,6 +86,18 @@ def _save(store: CatalogueStore, actions: DataFrame, kind: str, transaction_id:
     return transaction_id
 
 
+def _files_now(store: CatalogueStore, scan_id: str) -> DataFrame:
+    """Files of a scan as earlier runs have left them."""
+    records = scan.records_of_scan(store.file_records(), scan_id)
+    return ledger.current_files(records, store.actions(), store.transactions())
+
+
+def _lying(store: CatalogueStore, folders: list[str]) -> DataFrame:
+    """Paths that lie in some folders now; folders that are not there hold nothing."""
+    files, _ = list_each(store.spark.createDataFrame([(f,) for f in folders], "file_path string"))
+    return files.select(F.col("file_path").alias("path"))
+
+
 def _recorded(planned: DataFrame, places: DataFrame, outcomes: DataFrame | None) -> DataFrame:
     """Actions after the run. ``places`` are the resolved names (from_path, final_path, error)."""
     if outcomes is None:
@@ -92,10 +107,14 @@ def _recorded(planned: DataFrame, places: DataFrame, outcomes: DataFrame | None)
 
 def run_dedupe(store: CatalogueStore, scan_id: str, at: datetime.datetime, strategy: str = dedupe.DEFAULT_STRATEGY,
                dry_run: bool = False, trash: str | None = None, outcomes: DataFrame | None = None,
-               transaction_id: str | None = None) -> str:
-    """Delete all but one copy of a scan's duplicates, into ``trash`` or for good."""
+               transaction_id: str | None = None, existing: DataFrame | None = None) -> str:
+    """Delete all but one copy of a scan's duplicates, into ``trash`` or for good.
+
+    Files deleted or moved by earlier runs are taken as those left them. ``existing`` (path) are the names in the trash; without
+    it the folder is listed.
+    """
     transaction_id = _new_id(transaction_id)
-    files = scan.records_of_scan(store.file_records(), scan_id)
+    files = _files_now(store, scan_id)
     planned = cut_lineage(
         dedupe.delete_actions(dedupe.removals(files, strategy), F.lit(transaction_id), trash), "removals"
     )
@@ -103,8 +122,8 @@ def run_dedupe(store: CatalogueStore, scan_id: str, at: datetime.datetime, strat
     if not dry_run:
         if trash:
             millis = int(at.replace(tzinfo=datetime.timezone.utc).timestamp() * 1000)
-            lying = files.filter(F.col("file_path").startswith(trash.rstrip("/") + "/"))
-            places = dedupe.trash_targets(planned, trash, millis, lying.select(F.col("file_path").alias("path")))
+            lying = _lying(store, [trash.rstrip("/")]) if existing is None else existing.select("path")
+            places = dedupe.trash_targets(planned, trash, millis, lying)
         else:
             places = planned.select("from_path", F.lit("").alias("final_path"), "error")
         actions = _recorded(planned, places, outcomes)
@@ -120,18 +139,24 @@ def _scanned_path(store: CatalogueStore, scan_id: str) -> str:
 
 
 def run_organize(store: CatalogueStore, scan_id: str, at: datetime.datetime, recursive: bool = False,
-                 dry_run: bool = False, outcomes: DataFrame | None = None, transaction_id: str | None = None) -> str:
-    """Move a scan's files into category folders below its root."""
+                 dry_run: bool = False, outcomes: DataFrame | None = None, transaction_id: str | None = None,
+                 existing: DataFrame | None = None) -> str:
+    """Move a scan's files into category folders below its root.
+
+    Files deleted or moved by earlier runs are taken as those left them. ``existing`` (path) are the names in the category folders;
+    without it these are listed.
+    """
     transaction_id = _new_id(transaction_id)
     root = _scanned_path(store, scan_id)
-    files = scan.records_of_scan(store.file_records(), scan_id)
+    files = _files_now(store, scan_id)
     plan = organize.organize_plan(files, F.lit(root), recursive)
     actions = organize.move_actions(
         plan.withColumn("final_path", F.lit(None).cast("string")).withColumn("error", F.lit(None).cast("string")),
         F.lit(transaction_id),
     ).withColumn("status", F.lit("pending"))
     if not dry_run:
-        places = organize.resolved_moves(plan, organize.settled_paths(files))
+        lying = _lying(store, [f"{root.rstrip('/')}/{c}" for c in CATEGORIES]) if existing is None else existing.select("path")
+        places = organize.resolved_moves(plan, organize.settled_paths(files).union(lying).distinct())
         actions = _recorded(actions, places, outcomes)
     return _save(store, _numbered(actions), "organize", transaction_id, root, dry_run, None, at)
 

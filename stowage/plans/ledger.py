@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stowage.functions.paths import basename
 from stowage.operators.skew import HOT_ROWS, lookup
+from stowage.session import cut_lineage
 
 # Error codes of the file system and their texts.
 ERROR_TEXTS = {"EACCES": "Permission denied", "EBUSY": "File is locked/busy", "ENOENT": "File not found"}
@@ -171,3 +173,40 @@ def open_actions(actions: DataFrame, transactions: DataFrame, hot_rows: int = HO
     able = transactions.filter(can_roll_back()).select("transaction_id", F.lit(True).alias("__able"))
     found = lookup(completed_actions(actions), able, ["transaction_id"], F.col("from_path"), hot_rows)
     return found.filter("__able").drop("__able")
+
+
+def current_files(records: DataFrame, actions: DataFrame, transactions: DataFrame) -> DataFrame:
+    """The records of files that are there now, under the paths they have now.
+
+    Completed moves, deletes and restores are followed from each file's path as scanned, in the order of their runs; a restore
+    counts when its outcome says so. A deleted file stays out unless it is restored from where it was moved to. Each round
+    takes all files one step further, so there are as many rounds as steps of the busiest file.
+    """
+    steps = cut_lineage(
+        actions.filter("status = 'completed' AND (type IN ('move', 'delete') OR type = 'restore' AND outcome = 'restored')")
+        .join(transactions.filter("NOT dry_run").select("transaction_id", F.col("created_at").alias("at")), "transaction_id")
+        .select(F.col("from_path").alias("now"), F.struct("at", "transaction_id", "seq").alias("step"), "to_path", "type"), "steps",
+    )
+    columns = records.columns
+    files = records.withColumn("now", F.col("file_path")).withColumn("gone", F.lit(False)).withColumn(
+        "done", F.struct(F.col("created_at").alias("at"), F.lit("").alias("transaction_id"), F.lit(-1).cast("bigint").alias("seq")))
+    files = files.withColumn("uid", F.monotonically_increasing_id())
+    paths = cut_lineage(files.select("uid", "now", "gone", "done"), "paths")
+    files = cut_lineage(files.drop("now", "gone", "done"), "files")
+    left = paths
+    settled = None
+    while not left.isEmpty():
+        found = left.join(steps, "now", "left").filter("step IS NULL OR step > done")
+        nxt = found.groupBy("uid").agg(F.min(F.struct("step", "to_path", "type")).alias("s"), F.count("step").alias("n")).filter("n > 0")
+        moved = cut_lineage(left.join(nxt, "uid").select(
+            "uid", F.col("s.to_path").alias("now"),
+            F.when(F.col("s.type") == "delete", True).when(F.col("s.type") == "restore", False).otherwise(F.col("gone")).alias("gone"),
+            F.col("s.step").alias("done")), "moved")
+        stay = left.join(moved.select("uid"), "uid", "left_anti").select("uid", "now", "gone")
+        settled = stay if settled is None else settled.union(stay)
+        left = moved
+    if settled is None:
+        return records
+    kept = cut_lineage(settled.filter("NOT gone"), "kept")
+    there = files.join(kept, "uid").withColumn("file_path", F.col("now")).withColumn("file_name", basename("now"))
+    return there.select(*columns)

@@ -102,17 +102,17 @@ def scan_rows(records: DataFrame, paths: DataFrame, at: Column) -> DataFrame:
 
 
 def directory_size(files: DataFrame) -> DataFrame:
-    """Bytes below every folder. Each file counts once for each folder above it; sums combine map-side."""
-    parts = F.split("file_path", "/")
-    depth = F.size(parts)
-    above = F.transform(
-        F.sequence(F.lit(1), depth - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")
+    """Bytes below every folder. Files are summed per folder first; only the folders count for each one above them."""
+    folder = F.regexp_extract("file_path", r"(?s)^(.*)/", 1)
+    own = files.filter(F.contains("file_path", F.lit("/"))).groupBy("scan_id", folder.alias("own")).agg(
+        F.count("*").alias("files"), F.sum("size").alias("size")
     )
+    parts = F.split("own", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     return (
-        files.filter(depth > 1)
-        .select("scan_id", "size", F.explode(above).alias("folder"))
+        own.select("scan_id", "files", "size", F.explode(above).alias("folder"))
         .groupBy("scan_id", F.when(F.col("folder") == "", F.lit("/")).otherwise(F.col("folder")).alias("folder"))
-        .agg(F.count("*").alias("files"), F.sum("size").alias("size"))
+        .agg(F.sum("files").alias("files"), F.sum("size").alias("size"))
     )
 
 

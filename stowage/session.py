@@ -11,12 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Shuffle partitions to start from: about this many bytes each, before adaptive execution merges small ones.
 PARTITION_BYTES = 256 << 20
-MAX_PARTITIONS = 100_000
 
 
 def shuffle_partitions(data_bytes: int) -> int:
     """Initial number of shuffle partitions for a job that shuffles ``data_bytes``."""
-    return max(200, min(MAX_PARTITIONS, -(-data_bytes // PARTITION_BYTES)))
+    return max(200, -(-data_bytes // PARTITION_BYTES))
 
 
 def build_session(app: str = "stowage", master: str | None = None, data_bytes: int | None = None, **conf) -> SparkSession:

@@ -16,7 +16,6 @@ from stowage.sources.filesystem import error_code, open_file
 
 CHUNK = 4 << 20
 BYTES_PER_TASK = 8 << 30
-MAX_TASKS = 50_000
 
 
 def _full(handle) -> str:
@@ -43,7 +42,7 @@ def _partial(handle) -> str:
 def _spread(files: DataFrame) -> DataFrame:
     """As many tasks as the bytes to read ask for, files scattered over them by path."""
     total = files.agg(F.sum("size")).first()[0] or 0
-    tasks = int(max(files.sparkSession.sparkContext.defaultParallelism, min(MAX_TASKS, total // BYTES_PER_TASK + 1)))
+    tasks = int(max(files.sparkSession.sparkContext.defaultParallelism, total // BYTES_PER_TASK + 1))
     return files.repartition(tasks, F.xxhash64("file_path"))
 
 

@@ -31,27 +31,31 @@ def _moment(seconds: float) -> datetime.datetime:
 
 
 def entries(folder: str) -> Iterator[tuple]:
-    """(path, is_dir, size, created, modified) of regular files and folders; links are left out."""
+    """(path, is_dir, size, created, modified, error) of regular files and folders; links are left out.
+
+    A file that goes or refuses to be looked at while it is listed comes with an error code and no values.
+    """
     if is_remote(folder):
         system, root = fs.FileSystem.from_uri(folder)
         prefix = folder[: len(folder) - len(root)] if folder.endswith(root) else ""
         for info in system.get_file_info(fs.FileSelector(root, recursive=False)):
             modified = info.mtime.replace(tzinfo=None) if info.mtime else None
             if info.type in (fs.FileType.File, fs.FileType.Directory):
-                yield prefix + info.path, info.type == fs.FileType.Directory, info.size or 0, modified, modified
+                yield prefix + info.path, info.type == fs.FileType.Directory, info.size or 0, modified, modified, None
         return
     with os.scandir(_local(folder)) as found:
         for entry in found:
-            is_dir = entry.is_dir(follow_symlinks=False)
-            if not is_dir and not entry.is_file(follow_symlinks=False):
-                continue
             path = f"{folder.rstrip('/')}/{entry.name}"
             try:
+                is_dir = entry.is_dir(follow_symlinks=False)
+                if not is_dir and not entry.is_file(follow_symlinks=False):
+                    continue
                 stat = entry.stat(follow_symlinks=False)
-            except OSError:
-                continue  # gone since it was listed
+            except OSError as problem:
+                yield path, False, None, None, None, error_code(problem)
+                continue
             created = getattr(stat, "st_birthtime", stat.st_mtime)
-            yield path, is_dir, stat.st_size, _moment(created), _moment(stat.st_mtime)
+            yield path, is_dir, stat.st_size, _moment(created), _moment(stat.st_mtime), None
 
 
 def create_file(path: str, content: bytes) -> None:

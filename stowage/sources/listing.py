@@ -21,7 +21,6 @@ from stowage.sources.filesystem import SILENT_ERRORS, entries, error_code
 ENTRY = "file_path string, is_dir boolean, size bigint, file_created_at timestamp_ntz, file_modified_at timestamp_ntz, error string"
 BATCH = 10_000
 FOLDERS_PER_TASK = 64
-MAX_TASKS = 20_000
 
 
 def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -38,7 +37,7 @@ def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for folder in batch["file_path"]:
             try:
                 for entry in entries(folder):
-                    rows.append((*entry, None))
+                    rows.append(entry)
                     if len(rows) >= BATCH:  # a huge folder leaves the worker in pieces
                         yield frame(rows)
                         rows = []
@@ -57,7 +56,7 @@ def _walk(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
     level = spark.createDataFrame([(root.rstrip("/") or "/",)], "file_path string")
     levels, folders = [], 1
     while folders:
-        tasks = max(1, min(MAX_TASKS, folders // FOLDERS_PER_TASK + 1))
+        tasks = folders // FOLDERS_PER_TASK + 1
         found = cut_lineage(level.repartition(tasks).mapInPandas(_list, ENTRY))
         levels.append(found)
         if not recursive:
@@ -67,17 +66,38 @@ def _walk(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
+def _files(found: DataFrame) -> DataFrame:
+    return found.filter("NOT is_dir AND error IS NULL").drop("is_dir", "error")
+
+
+def _errors(found: DataFrame) -> DataFrame:
+    failed = found.filter("error IS NOT NULL")
+    return failed.select("file_path", "error", (F.col("is_dir") & F.col("error").isin(*SILENT_ERRORS)).alias("silent"))
+
+
+def walk(spark: SparkSession, root: str, recursive: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Files (path, size, created, modified) and errors (path, error, silent) of one walk below ``root``."""
+    found = _walk(spark, root, recursive)
+    return _files(found), _errors(found)
+
+
 def list_files(spark: SparkSession, root: str, recursive: bool = True, keep: Column | None = None) -> DataFrame:
     """Regular files below ``root``: path, size, created, modified. ``keep`` is any boolean column."""
-    files = _walk(spark, root, recursive).filter("NOT is_dir").drop("is_dir", "error")
+    files = _files(_walk(spark, root, recursive))
     return files if keep is None else files.filter(keep)
 
 
+def list_each(folders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files and errors of every folder in a table (file_path), not recursive."""
+    spread = folders.select("file_path").distinct().repartition("file_path")
+    found = cut_lineage(spread.mapInPandas(_list, ENTRY), "listed")
+    return _files(found), _errors(found)
+
+
 def list_folders(spark: SparkSession, root: str) -> DataFrame:
     return _walk(spark, root, True).filter("is_dir AND error IS NULL").select("file_path")
 
 
 def list_errors(spark: SparkSession, root: str) -> DataFrame:
-    """Folders that could not be read. Missing permission is expected and marked ``silent``."""
-    failed = _walk(spark, root, True).filter("error IS NOT NULL")
-    return failed.select("file_path", "error", F.col("error").isin(*SILENT_ERRORS).alias("silent"))
+    """Folders and files that could not be read. Missing permission on a folder is expected and marked ``silent``."""
+    return _errors(_walk(spark, root, True))

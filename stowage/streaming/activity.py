@@ -29,13 +29,12 @@ def activity_by_window(events: DataFrame, length: str = "1 hour", slide: str | N
 def activity_by_session(events: DataFrame, gap: str = "30 minutes", lateness: str = LATENESS) -> DataFrame:
     """Sessions per user, closed by a pause of ``gap``.
 
-    A stream uses session windows, merged on the map side first. A batch table is cut into days per user,
-    so that even one very busy user is spread over tasks; what is left per user to join up at midnight is
-    bounded by the time covered, not by the rows.
+    A stream uses session windows; with ``LOCAL_MERGE`` set in the session they are merged on the map side first. A batch
+    table is cut into slices as long as the gap: the events of a user in one slice belong to one session, so they are
+    summed up before the shuffle, and what is left per user is bounded by the time covered, not by the rows.
     """
     if not events.isStreaming:
         return _sessions_of_table(events, gap)
-    events.sparkSession.conf.set(LOCAL_MERGE, "true")
     return (
         late_rows_dropped(events, lateness)
         .groupBy(F.session_window("ts", gap).alias("span"), "user_id")
@@ -58,11 +57,9 @@ def _merge(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _sessions_of_table(events: DataFrame, gap: str) -> DataFrame:
-    # Equal moments of a user are combined before anything is shuffled.
-    moments = events.groupBy("user_id", "ts").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    spans = moments.select(
-        "user_id", F.to_date("ts").alias("day"), F.col("ts").alias("first"),
-        (F.col("ts") + F.expr(f"INTERVAL {gap}")).alias("close"), "n", "size",
+    length = F.expr(f"INTERVAL {gap}")
+    slices = events.groupBy("user_id", F.window("ts", gap).alias("slice")).agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"), F.sum("size").alias("size")
     )
-    whole = _merge(_merge(spans, ["user_id", "day"]).drop("day"), ["user_id"])
-    return whole.select(F.col("first").alias("session_start"), F.col("close").alias("session_end"), "user_id", "n", "size")
+    spans = slices.select("user_id", "first", (F.col("last") + length).alias("close"), "n", "size")
+    return _merge(spans, ["user_id"]).select(F.col("first").alias("session_start"), F.col("close").alias("session_end"), "user_id", "n", "size")

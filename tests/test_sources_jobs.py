@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from stowage.plans import jobs, scan
+from stowage.plans import jobs, ledger, scan
 from stowage.session import checkpoint_root, cut_lineage
 from stowage.sources import CatalogueStore, hash_files, list_errors, list_files, list_folders, partial_hash_files
 
@@ -98,20 +98,22 @@ def test_whole_life_of_a_tree(spark, tree, tmp_path_factory):
     with pytest.raises(ValueError, match="not found"):
         jobs.run_rollback(store, "nope", present, AT)
 
-    moved = jobs.run_organize(store, scan_id, AT, recursive=True)
+    later = AT + datetime.timedelta(days=2)
+    moved = jobs.run_organize(store, scan_id, later, recursive=True)
     places = {r.from_path[len(tree) + 1:]: r.to_path[len(tree) + 1:] for r in store.actions().filter(F.col("transaction_id") == moved).collect()}
     assert places["a.txt"] == "Documents/a.txt" and places["sub dir/deep/a.txt"] == "Documents/a_1.txt"
     assert places["sub dir/c.PY"] == "Code/c.PY" and places["_x"] == "Others/_x"
     # Nothing is where it was moved to, so undoing skips every step and still closes the run.
-    lost = jobs.run_rollback(store, moved, spark.createDataFrame([], "path string"), AT)
+    lost = jobs.run_rollback(store, moved, spark.createDataFrame([], "path string"), later)
     row = store.transactions().filter(F.col("transaction_id") == lost).first()
     assert (row.status, row.summary.restored_count, row.summary.total_processed) == ("completed", 0, 7)
     assert {r.outcome for r in store.actions().filter(F.col("transaction_id") == lost).collect()} == {"skipped"}
     row = store.transactions().filter(F.col("transaction_id") == undo).first()
     assert (row.status, row.summary.restored_count) == ("completed", 3)
 
-    flat = jobs.run_organize(store, scan_id, AT, dry_run=True)
-    assert store.actions().filter(F.col("transaction_id") == flat).filter("status = 'pending'").count() == 4
+    # By the ledger the files are still in the category folders: nothing is left to organize.
+    flat = jobs.run_organize(store, scan_id, later, dry_run=True)
+    assert store.actions().filter(F.col("transaction_id") == flat).count() == 0
 
     report = jobs.run_report(store).first()
     assert report.overview.total_files_scanned == 7 and report.overview.total_transactions == 6
@@ -126,3 +128,73 @@ def test_a_missing_root_and_scan_are_refused(spark, tmp_path):
         jobs.run_scan(store, str(tmp_path / "none"), AT)
     with pytest.raises(ValueError, match="Scan not found"):
         jobs.run_organize(store, "none", AT)
+
+
+def test_runs_build_on_each_other(spark, tree, tmp_path_factory):
+    store = CatalogueStore(spark, str(tmp_path_factory.mktemp("store")))
+    os.makedirs(tree + "/Documents")
+    with open(tree + "/Documents/b.txt", "w") as handle:
+        handle.write("another b")
+    scan_id, _ = jobs.run_scan(store, tree, AT, recursive=False)  # does not see the folder
+    day = lambda n: AT + datetime.timedelta(days=n)
+    acts = lambda tx: {r.from_path[len(tree) + 1:]: r.to_path[len(tree) + 1:] for r in store.actions().filter(F.col("transaction_id") == tx).collect()}
+    first = jobs.run_dedupe(store, scan_id, day(1), "keep-largest")
+    assert acts(first) == {"b.txt": ""}
+    assert acts(jobs.run_dedupe(store, scan_id, day(2), "keep-largest")) == {}
+    moved = jobs.run_organize(store, scan_id, day(3))
+    assert acts(moved)["a.txt"] == "Documents/a.txt" and "b.txt" not in acts(moved)
+    now = ledger.current_files(scan.records_of_scan(store.file_records(), scan_id), store.actions(), store.transactions())
+    assert {r.file_path[len(tree) + 1:] for r in now.collect()} == {"Documents/a.txt", "Others/_x", "Others/.hidden"} and now.columns == store.file_records().columns
+    # Undone with everything in place, the files are back and can be organised again.
+    undo = jobs.run_rollback(store, moved, store.actions().filter(F.col("transaction_id") == moved).select(F.col("to_path").alias("path")), day(4))
+    assert store.actions().filter((F.col("transaction_id") == undo) & (F.col("outcome") == "restored")).count() == 3
+    again = jobs.run_organize(store, scan_id, day(5))
+    assert acts(again) == acts(moved)
+
+
+def test_existing_target_names_are_not_overwritten(spark, tree, tmp_path_factory):
+    store = CatalogueStore(spark, str(tmp_path_factory.mktemp("store")))
+    os.makedirs(tree + "/Documents")
+    with open(tree + "/Documents/a.txt", "w") as handle:
+        handle.write("another a")
+    scan_id, _ = jobs.run_scan(store, tree, AT, recursive=False)
+    moved = jobs.run_organize(store, scan_id, AT)
+    places = {r.from_path[len(tree) + 1:]: r.to_path[len(tree) + 1:] for r in store.actions().filter(F.col("transaction_id") == moved).collect()}
+    assert places["a.txt"] == "Documents/a_1.txt" and places["b.txt"] == "Documents/b.txt"
+
+
+def test_folder_errors_are_saved_and_a_vanished_file_is_named(spark, tree, tmp_path, monkeypatch):
+    from stowage.sources import filesystem, list_each
+
+    files, errors = list_each(spark.createDataFrame([(tree,), (str(tmp_path / "none"),)], "file_path string"))
+    assert names(tree, files) == sorted([".hidden", "_x", "a.txt", "b.txt"])
+    assert [tuple(r) for r in errors.collect()] == [(str(tmp_path / "none"), "ENOENT", False)]
+
+    class Entry:
+        name = "lost"
+
+        def is_dir(self, follow_symlinks):
+            return False
+
+        def is_file(self, follow_symlinks):
+            return True
+
+        def stat(self, follow_symlinks):
+            raise OSError(2, "gone")
+
+    class Scan(list):
+        __enter__ = lambda self: self
+        __exit__ = lambda self, *a: None
+
+    monkeypatch.setattr(filesystem.os, "scandir", lambda _: Scan([Entry()]))
+    assert list(filesystem.entries("/x")) == [("/x/lost", False, None, None, None, "ENOENT")]
+
+
+def test_work_tables_are_discarded(spark):
+    from stowage.session import discard
+
+    cut = cut_lineage(spark.range(10))
+    folder = cut.work_folder
+    assert os.path.isdir(folder.removeprefix("file:"))
+    discard(cut, spark.range(1))
+    assert not os.path.exists(folder.removeprefix("file:"))
