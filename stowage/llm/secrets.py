@@ -78,10 +78,10 @@ def train(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     for name, words in (("random", random), ("ordinary", ordinary)):
         pairs = cut_lineage(transitions(words, name), name)
         ends = [pairs.groupBy(F.substring("pair", at, 1).alias(c)).agg(F.sum(name).alias(f"{name}_{c}")) for at, c in ((1, "head"), (2, "tail"))]
-        total = pairs.agg(F.coalesce(F.sum(name), F.lit(0)).alias(f"{name}_all"))  # one row
-        table = table.join(pairs, "pair", "left").join(ends[0], "head", "left").join(ends[1], "tail", "left").join(F.broadcast(total))
+        total = pairs.agg(F.sum(name)).first()[0] or 0
+        table = table.join(pairs, "pair", "left").join(ends[0], "head", "left").join(ends[1], "tail", "left")
         count = lambda c: F.coalesce(c, F.lit(0))
-        single = (count(f"{name}_tail") + 1) / (F.col(f"{name}_all") + len(ALPHABET))
+        single = (count(f"{name}_tail") + 1) / (total + len(ALPHABET))
         shares.append((count(name) + BACKOFF * single) / (count(f"{name}_head") + BACKOFF))
     return cut_lineage(table.select("pair", (F.log(shares[0]) - F.log(shares[1])).alias("ratio")), "transitions")
 
