@@ -21,7 +21,7 @@ END = 0
 #: Pieces that one task packs together. A group leaves about one underfull sequence, so this also bounds the waste.
 GROUP_ROWS = 4000
 #: Words, and parts of words, whose ids a Python worker remembers; it starts anew beyond.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Pieces of a bin that the two-for-one exchange looks at in pairs.
 PAIR_ITEMS = 48
 #: The search tries to empty this many of the emptiest bins at a time, and stops after so many exchanges in a group.
