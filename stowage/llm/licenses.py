@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,13 +11,13 @@ from stowage.llm.common import whole_text
 from stowage.session import cut_lineage
 
 SHINGLE = 5
-#: Words of a window and between windows: each shingle lies in exactly one window, with WINDOW - SHINGLE others.
-WINDOW, STEP = 6, 2
-#: Bands of one MinHash. A window that shares one of its two shingles with a template window agrees in a band with
-#: probability 1/2 at least, so it is missed with probability 2 ** -BANDS at most.
-BANDS = 20
+#: A window is WINDOW words and starts at every word: it holds two shingles, and each shingle lies in two windows.
+WINDOW = 6
+#: Bands of one MinHash. A window that shares one of its two shingles with a template window agrees with it in a band
+#: with probability 1/2 at least; a lone shared shingle is missed by both of its windows with probability 4 ** -BANDS at most.
+BANDS = 10
 CONTAINMENT = 0.8
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 
 # Public license notices and opening paragraphs.
 TEMPLATES = [
@@ -43,26 +45,39 @@ TEMPLATES = [
 
 def words(text: Column) -> Column:
     """Runs of ASCII letters and digits, A-Z lowered."""
-    return F.split(F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", " ")), " ")
-
+    return F.split(F.trim(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " "))), " ")
 
-def _shingle(at: Column) -> Column:
-    """Hash of the shingle that starts at a word, null where the text ends before."""
-    return F.when(at + SHINGLE <= F.col("n"), F.xxhash64(*[F.get("words", at + k) for k in range(SHINGLE)]))
 
+def windows(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, at, s0, s1) of the shingle hashes in each window; the last window repeats its only shingle.
 
-def windows(texts: DataFrame, keys: list[str], step: int = STEP) -> DataFrame:
-    """Rows (keys, at, s0, s1, ...) of the shingle hashes in each window."""
-    placed = texts.select(*keys, words(F.col("text")).alias("words")).withColumn("n", F.size("words")).filter(F.col("n") >= SHINGLE)
-    at = F.explode(F.expr(f"sequence(0, n - {SHINGLE}, {step})")).alias("at")
-    return placed.select(*keys, "words", "n", at).select(*keys, "at", *[_shingle(F.col("at") + k).alias(f"s{k}") for k in range(WINDOW - SHINGLE + 1)])
+    Hashes are made inside the row: an array that stays beside an exploded one is copied into every row of it.
+    """
+    shingle = ", ".join(f"get(words, i + {k})" for k in range(SHINGLE))
+    hashed = texts.select(*keys, words(F.col("text")).alias("words")).select(*keys, F.expr(
+        f"if(size(words) < {SHINGLE}, array(), transform(sequence(0, size(words) - {SHINGLE}), i -> xxhash64({shingle})))").alias("h"))
+    pairs = F.arrays_zip(F.col("h").alias("s0"), F.slice("h", 2, F.size("h")).alias("s1"))
+    return hashed.select(*keys, F.posexplode(pairs).alias("at", "w")).select(
+        *keys, "at", F.col("w.s0").alias("s0"), F.coalesce("w.s1", "w.s0").alias("s1"))
 
 
-SHINGLES = [f"s{k}" for k in range(WINDOW - SHINGLE + 1)]
+SHINGLES = ["s0", "s1"]
 
 
 def _least(band: int) -> Column:
-    return F.least(*[F.when(F.col(s).isNotNull(), F.xxhash64(F.lit(band), s)) for s in SHINGLES])
+    """MinHash of a window: hashes under a mask of the band stand for a permutation."""
+    mask = F.lit(0x9E3779B97F4A7C15 * (band + 1) % (1 << 63)).cast("bigint")
+    return F.least(*[F.xxhash64(F.col(s).bitwiseXOR(mask)) for s in SHINGLES])
+
+
+def _is_one_of(value: Column, known: list[int]) -> Column:
+    """Membership in a fixed list; a table of the 12 low bits, 32 to a number, rules out nearly all values before the list
+    is asked."""
+    table = [0] * 128
+    for v in known:
+        table[(v >> 5) & 127] |= 1 << (v & 31)
+    word = F.get(F.expr(f"array({','.join(f'{t}L' for t in table)})"), F.shiftright(value, 5).bitwiseAND(F.lit(127).cast("bigint")).cast("int"))
+    return (F.getbit(word, value.bitwiseAND(F.lit(31).cast("bigint")).cast("int")) == 1) & value.isin(known)
 
 
 def licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
@@ -79,17 +94,22 @@ def licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, text
     spark = docs.sparkSession
     known = spark.createDataFrame([(i, name, body) for i, (name, body) in enumerate(templates)], "template int, license string, text string")
     # Every place of a template, as documents may cut it anywhere.
-    pieces = windows(known, ["template", "license"], 1)
+    pieces = windows(known, ["template", "license"])
     bands = pieces.select("template", *[_least(b).alias(f"b{b}") for b in range(BANDS)]).collect()
     each = pieces.select("template", "license", F.col("s0").alias("shingle")).distinct().collect()
     narrow = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", whole_text(text).alias("text"))
-    met = [_least(b).isin(sorted({r[f"b{b}"] for r in bands}) or [0]) for b in range(BANDS)]
+    met = [_is_one_of(_least(b), sorted({r[f"b{b}"] for r in bands}) or [0]) for b in range(BANDS)]
     shingles = sorted({r.shingle for r in each}) or [0]
-    held = F.lit(False)
-    for s in SHINGLES:
-        held = held | F.coalesce(F.col(s).isin(shingles), F.lit(False))
-    kept = windows(narrow, ["uid", "doc_id"]).withColumn("in_band", F.array_contains(F.array(*met), True)).filter(F.col("in_band") | held)
-    kept = cut_lineage(kept, "windows")
+    in_band = reduce(Column.__or__, met)
+    held = reduce(Column.__or__, [_is_one_of(F.col(s), shingles) for s in SHINGLES])
+    # The test of all bands makes one method too long for the JVM to compile if it is fused with its neighbours; below this
+    # limit Spark cuts it into short ones. The setting holds for this one job.
+    before = spark.conf.get(METHOD_LIMIT)
+    spark.conf.set(METHOD_LIMIT, "8000")
+    try:
+        kept = cut_lineage(windows(narrow, ["uid", "doc_id"]).filter(in_band | held).withColumn("in_band", in_band), "windows")
+    finally:
+        spark.conf.set(METHOD_LIMIT, before)
     band_table = spark.createDataFrame([(b, r[f"b{b}"], r.template) for r in bands for b in range(BANDS)], "band int, least bigint, template int").distinct()
     candidates = (
         kept.filter("in_band").select("uid", F.posexplode(F.array(*[_least(b) for b in range(BANDS)])).alias("band", "least"))
@@ -100,10 +120,10 @@ def licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, text
         sizes[r.template] = sizes.get(r.template, 0) + 1
     shingle_table = spark.createDataFrame([(r.shingle, r.template, r.license, sizes[r.template]) for r in each], "shingle bigint, template int, license string, total int")
     hits = (
-        kept.select("uid", "doc_id", "at", F.posexplode(F.array(*SHINGLES)).alias("k", "shingle"))
+        kept.select("uid", "doc_id", "at", F.col("s0").alias("shingle"))  # every shingle is the first of one window
         .join(F.broadcast(shingle_table), "shingle")
         .groupBy("uid", "doc_id", "template", "license", "total")
-        .agg(F.count_distinct("shingle").alias("n_shingles"), F.min(F.col("at") + F.col("k")).alias("first_word"), F.max(F.col("at") + F.col("k") + SHINGLE).alias("last_word"))
+        .agg(F.count_distinct("shingle").alias("n_shingles"), F.min("at").alias("first_word"), (F.max("at") + SHINGLE).alias("last_word"))
     )
     checked = hits.join(candidates, ["uid", "template"]).withColumn("containment", F.col("n_shingles") / F.col("total")).filter(F.col("containment") >= containment)
     best = F.max_by(F.struct("containment", "n_shingles", "first_word", "last_word"), F.struct("containment", "n_shingles", -F.col("template")))

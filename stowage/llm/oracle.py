@@ -1,9 +1,9 @@
 """The queries that SQL can express, for DuckDB."""
 
-from stowage.llm.licenses import LOWER, TEMPLATES, UPPER
+from stowage.llm.licenses import TEMPLATES
 
 _TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(TEMPLATES))
-_WORDS = f"string_split(trim(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ')"
+_WORDS = "string_split(trim(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'))), ' ')"
 _SHINGLES = "unnest(range(len(w) - 4)) AS k"
 
 ORACLE = {
