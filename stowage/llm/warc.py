@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stowage.session import cut_lineage
+
 #: Payloads below this are stored every time.
 REVISIT_BYTES = 100
 #: A file ends after the record that reaches this: the reader holds one file in a task.
@@ -53,10 +55,10 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_B
     """
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("html"), F.sha2(payload, 256).alias("digest"))
-    firsts = (
+    firsts = cut_lineage(
         rows.filter(F.octet_length("html") >= revisit_bytes).groupBy("digest")
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    )
+        .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "firsts",
+    )  # written first, so that its size decides whether payloads have to move
     marked = rows.join(firsts, "digest", "left").withColumn(
         "first", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
     )
