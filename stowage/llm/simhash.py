@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from itertools import repeat
 
 import numpy as np
@@ -16,13 +17,16 @@ from stowage.llm.common import components, whole_text
 from stowage.session import cut_lineage, discard
 
 SEED = 42
-#: A bucket with more fingerprints than this is cut further by the bits that its key does not hold.
+#: A bucket with more fingerprints than this is cut further: of 64 bits by the bits that its key does not hold, of more
+#: bits into blocks, every two of which are compared together, so that no pair is lost.
 BUCKET_ROWS = 4096
 #: Up to this size all pairs of a bucket are compared at once; beyond it a spanning forest is grown.
 PAIR_ROWS = 32
-#: Long fingerprints: tables of so many random bits each. A pair that agrees in a share p of its bits meets with
-#: probability 1 - (1 - p ** KEY_BITS) ** TABLES: 0.96 at p = 0.867 (Jaccard 0.8 for most texts), 0.999 at 0.9.
-TABLES, KEY_BITS, MORE_BITS, MORE = 96, 24, 12, 4
+#: Long fingerprints: tables of so many random bits each. Two that differ in d of n bits meet with probability
+#: 1 - (1 - C(n - d, KEY_BITS) / C(n, KEY_BITS)) ** TABLES.
+TABLES, KEY_BITS = 128, 20
+#: So many of its nearest candidates of each document are verified before all that lie between two components.
+NEAREST = 4
 CHUNK = 1 << 15
 
 
@@ -32,13 +36,18 @@ def simhash(text: str | None, words: int, size: int) -> bytes:
     A-Z are lowered, words are runs of anything but ASCII blanks, shingles are ``words`` words with repeats (the whole
     sequence when there are fewer). A bit is one when over half of the shingle hashes have it. No word: all zero.
     """
+    shingles = _shingles(text, words)
+    return _majority(shingles, size) if shingles else bytes(8 * size)
+
+
+def _shingles(text: str | None, words: int) -> list[bytes]:
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return bytes(8 * size)
     if len(tokens) <= words:
-        shingles = [b" ".join(tokens)]
-    else:
-        shingles = list(map(b" ".join, zip(*(tokens[i:] for i in range(words)))))
+        return [b" ".join(tokens)] if tokens else []
+    return list(map(b" ".join, zip(*(tokens[i:] for i in range(words)))))
+
+
+def _majority(shingles: list[bytes], size: int) -> bytes:
     counts = np.zeros(64 * size, np.int64)
     for start in range(0, len(shingles), CHUNK):
         part = shingles[start:start + CHUNK]
@@ -57,6 +66,32 @@ def fingerprints(text: Column, words: int = 3, size: int = 1) -> Column:
     return of(text)
 
 
+def _distinct_hashes(shingles: list[bytes]) -> np.ndarray:
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles)))
+
+
+def sketches(text: Column, words: int, size: int) -> Column:
+    """Struct (fp, digest, n) of the distinct shingles: their fingerprint, a digest that equal sets share, their number."""
+    @F.pandas_udf("fp binary, digest binary, n int")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            distinct = list(set(_shingles(t, words)))
+            digest = blake2b(_distinct_hashes(distinct).tobytes(), digest_size=16).digest()
+            rows.append((_majority(distinct, size) if distinct else bytes(8 * size), digest, len(distinct)))
+        return pd.DataFrame(rows, columns=["fp", "digest", "n"])
+
+    return of(text)
+
+
+def shingle_sets(text: Column, words: int) -> Column:
+    @F.pandas_udf("array<bigint>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([_distinct_hashes(_shingles(t, words)).view(np.int64) for t in texts], dtype=object)
+
+    return of(text)
+
+
 def chain_keys(reps: DataFrame) -> DataFrame:
     """Rows (key, node, fp, rest) of the 64-bit fingerprints: any two within 3 bits share a key.
 
@@ -92,13 +127,13 @@ def _chain_more() -> Column:
 @lru_cache
 def _tables(bits: int) -> np.ndarray:
     deal = np.random.default_rng(SEED)
-    return np.stack([deal.permutation(bits)[:KEY_BITS + MORE * MORE_BITS] for _ in range(TABLES)])
+    return np.stack([deal.permutation(bits)[:KEY_BITS] for _ in range(TABLES)])
 
 
 def table_keys(reps: DataFrame, bits: int) -> DataFrame:
     """Rows (key, node) of long fingerprints: one key of random bits for each table."""
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = _tables(bits)[:, :KEY_BITS]
+        tables = _tables(bits)
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.iloc[at:at + 1000]
@@ -112,20 +147,19 @@ def table_keys(reps: DataFrame, bits: int) -> DataFrame:
     return reps.select("node", "fp").mapInPandas(emit, "key bigint, node bigint")
 
 
-def table_more(crowded: DataFrame, bits: int) -> DataFrame:
-    """Rows (key, node, fp) of crowded buckets under longer keys: ``MORE`` choices of further bits of the table."""
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = _tables(bits)[:, KEY_BITS:]
-        wide = 1 << np.arange(MORE_BITS, dtype=np.int64)
-        for batch in batches:
-            key = batch["key"].to_numpy(np.int64)
-            one = np.unpackbits(np.frombuffer(b"".join(batch["fp"]), np.uint8).reshape(len(batch), -1), axis=1)
-            chosen = np.take_along_axis(one, tables[key >> KEY_BITS], axis=1).astype(np.int64)
-            value = chosen.reshape(len(batch), MORE, MORE_BITS) @ wide
-            longer = (1 << 62) + (((key[:, None] * MORE) + np.arange(MORE)) << MORE_BITS) + value
-            yield pd.DataFrame({"key": longer.ravel(), "node": np.repeat(batch["node"].to_numpy(), MORE), "fp": np.repeat(batch["fp"].to_numpy(), MORE)})
+def _block_keys(bucket_rows: int) -> Column:
+    """Keys of a row of a crowded bucket: its rows are dealt into blocks, and every two blocks make up a smaller bucket."""
+    blocks = F.ceil(2 * F.col("__n") / bucket_rows).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda y: y != own)
+    return F.transform(others, lambda y: F.xxhash64(F.lit("blocks"), "key", F.least(own, y), F.greatest(own, y)))
 
-    return crowded.select("key", "node", "fp").mapInPandas(emit, "key bigint, node bigint, fp binary")
+
+def _bucket_rows(keyed: DataFrame, reps: DataFrame, bucket_rows: int) -> DataFrame:
+    """Rows of the buckets of long fingerprints that hold several nodes, with the columns of ``reps``."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("__n")).filter("__n > 1")
+    keys = F.when(F.col("__n") > bucket_rows, _block_keys(bucket_rows)).otherwise(F.array("key"))
+    return keyed.join(sizes, "key").select(F.explode(keys).alias("key"), "node").join(reps, "node")
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -196,47 +230,94 @@ def _bucket_edges(radius: int):
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return _stars(join(a), join(b))
 
-    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return _by_bucket(of)
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.uint16)
+
+
+def _bucket_candidates(radius: int, similarity: float, nearest: bool):
+    """Pairs (a, b, d) of a bucket within the radius, of different labels, whose sizes allow the similarity: all, or of a
+    large bucket the two nearest of each row."""
+    def of(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> pd.DataFrame:
+        def allowed(i, j):
+            n, m = sizes[i], sizes[j]
+            return (labels[i] != labels[j]) & (np.minimum(n, m) >= similarity * np.maximum(n, m))
+
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        count = np.diff(np.r_[starts, len(keys)])
+        found = []
+        small = np.repeat(count <= PAIR_ROWS, count)
+        for lag in range(1, min(PAIR_ROWS, int(count.max(initial=1)))):
+            i = np.flatnonzero((keys[lag:] == keys[:-lag]) & small[lag:])
+            i = i[allowed(i, i + lag)]
+            d = _distances(fps[i], fps[i + lag])
+            found.append((nodes[i[d <= radius]], nodes[i[d <= radius] + lag], d[d <= radius]))
+        for start, end in zip(starts[count > PAIR_ROWS], (starts + count)[count > PAIR_ROWS]):
+            if (labels[start:end] == labels[start]).all():
+                continue
+            every = np.arange(start, end)
+            for at in range(start, end, 64):
+                i = every[at - start:at - start + 64, None]
+                d = _distances(fps[i], fps[None, every])
+                d[~allowed(i, every[None, :]) | (d > radius)] = np.iinfo(np.uint16).max
+                if nearest:
+                    j = np.argpartition(d, 1, axis=1)[:, :2]
+                    d = np.take_along_axis(d, j, axis=1)
+                    row, place = np.nonzero(d <= radius)
+                    found.append((nodes[i[row, 0]], nodes[every[j[row, place]]], d[row, place]))
+                else:
+                    row, place = np.nonzero((d <= radius) & (every[None, :] > i))
+                    found.append((nodes[i[row, 0]], nodes[every[place]], d[row, place]))
+        a, b, d = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "d": d.astype(np.int32)})
+        return out[out["a"] != out["b"]].drop_duplicates()
+
+    return _by_bucket(of)
+
+
+def _by_bucket(of):
+    """Hands whole buckets to ``of``: arrays of the keys, nodes, fingerprints and whatever columns follow."""
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by key; the last bucket of a batch waits for the next one."""
         held: list[tuple] = []
         for batch in batches:
             if not len(batch):
                 continue
             keys = batch["key"].to_numpy(np.int64)
-            nodes = batch["node"].to_numpy(np.int64)
             fps = np.frombuffer(b"".join(batch["fp"]), np.uint64).reshape(len(batch), -1)
+            rows = (keys, batch["node"].to_numpy(np.int64), fps, *(batch[c].to_numpy(np.int64) for c in batch.columns[3:]))
             cut = int(np.searchsorted(keys, keys[-1], side="left"))
             if held and (cut or keys[0] != held[-1][0][-1]):
                 first = int(np.searchsorted(keys, held[-1][0][-1], side="right")) if keys[0] == held[-1][0][-1] else 0
-                held.append((keys[:first], nodes[:first], fps[:first]))
+                held.append(tuple(x[:first] for x in rows))
                 yield of(*(np.concatenate(x) for x in zip(*held)))
                 held = []
                 if cut > first:
-                    yield of(keys[first:cut], nodes[first:cut], fps[first:cut])
+                    yield of(*(x[first:cut] for x in rows))
             elif cut:
-                yield of(keys[:cut], nodes[:cut], fps[:cut])
-            held.append((keys[cut:], nodes[cut:], fps[cut:]))
+                yield of(*(x[:cut] for x in rows))
+            held.append(tuple(x[cut:] for x in rows))
         if held:
             yield of(*(np.concatenate(x) for x in zip(*held)))
 
-    return edges
+    return found
 
 
 def near_links(reps: DataFrame, size: int, radius: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Edges (a, b) that connect every two of the rows (node, fp) that are within the radius and share a bucket.
 
     Only keys and nodes go through the first shuffle; fingerprints join them once buckets of one node are gone. Buckets above
-    ``bucket_rows`` are cut by their further keys.
+    ``bucket_rows`` are cut by their further keys, those of long fingerprints into blocks.
     """
     keyed = cut_lineage(chain_keys(reps) if size == 1 else table_keys(reps, 64 * size), "keys")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("__n")).filter("__n > 1")
-    shared = keyed.join(sizes, "key")
-    crowded = F.col("__n") > bucket_rows
     if size == 1:
-        rows = shared.select(F.explode(F.when(crowded, _chain_more()).otherwise(F.array("key"))).alias("key"), "node", "fp")
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("__n")).filter("__n > 1")
+        crowded = F.col("__n") > bucket_rows
+        rows = keyed.join(sizes, "key").select(F.explode(F.when(crowded, _chain_more()).otherwise(F.array("key"))).alias("key"), "node", "fp")
     else:
-        shared = shared.join(reps, "node")
-        rows = shared.filter(~crowded).select("key", "node", "fp").union(table_more(shared.filter(crowded), 64 * size))
+        rows = _bucket_rows(keyed, reps, bucket_rows).select("key", "node", "fp")
     edges = cut_lineage(rows.repartition("key").sortWithinPartitions("key").mapInPandas(_bucket_edges(radius), "a bigint, b bigint"), "links")
     discard(keyed)
     return edges
@@ -264,14 +345,72 @@ def near_duplicates(
     return rows.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-#: The pipeline's setting: 5-word shingles and 256 bits. Of texts with a Jaccard similarity of 0.8 about 33 bits differ,
-#: with 0.9 about 25, with no relation 128.
-STAGE = {"words": 5, "size": 4, "radius": 35}
+#: The pipeline's setting: distinct 5-word shingles and 256 bits. Of two sets of equal size 256 * acos(2J / (1 + J)) / pi
+#: bits differ on average: 38.8 at a Jaccard similarity J of 0.8 with a standard deviation of 5.7, 26.6 at 0.9, 128 with no
+#: relation. The radius is three deviations above the mean at 0.8; what lies within it is verified.
+STAGE = {"words": 5, "size": 4, "radius": 56, "similarity": 0.8}
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float, text: str) -> DataFrame:
+    """The pairs (a, b) of ids whose texts have the Jaccard similarity."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    narrow = docs.select("doc_id", whole_text(text).alias("text"))
+    sets = cut_lineage(narrow.join(wanted, "doc_id", "left_semi").select("doc_id", shingle_sets(F.col("text"), words).alias("s")), "sets")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    alike = both.filter(shared / (F.size("sa") + F.size("sb") - shared) >= similarity)
+    links = cut_lineage(alike.select("a", "b"), "verified")
+    discard(sets)
+    return links
+
+
+def similar_documents(
+    docs: DataFrame, words: int, size: int, radius: int, similarity: float, text: str = "text", bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """One row (node, component) per id that is linked with another: ids are linked if the distinct shingles of their texts have
+    the Jaccard similarity; a component is named by its smallest id. Rows without doc_id are left out.
+
+    Pairs whose fingerprints are within the radius and share a bucket are candidates, and every link is verified on the
+    texts. First the nearest candidates of each id are; then all others whose ends are not yet in one component, so
+    the pairs of a large group are not listed one by one.
+    """
+    docs = docs.filter("doc_id IS NOT NULL")
+    rows = cut_lineage(docs.select("doc_id", sketches(whole_text(text), words, size).alias("s")).select("doc_id", "s.*"), "sketches")
+    first = rows.groupBy("digest").agg(F.min("doc_id").cast("bigint").alias("node"), F.min("fp").alias("fp"), F.min("n").alias("n"))
+    reps = cut_lineage(first, "representatives")
+    same = rows.join(reps.select("digest", "node"), "digest").filter("doc_id <> node").select(F.col("doc_id").cast("bigint").alias("a"), F.col("node").alias("b"))
+    keyed = cut_lineage(table_keys(reps, 64 * size), "keys")
+
+    def candidates(labelled: DataFrame, keys: DataFrame, nearest: bool) -> DataFrame:
+        held = _bucket_rows(keys, labelled, bucket_rows).select("key", "node", "fp", "n", "label")
+        found = held.repartition("key").sortWithinPartitions("key")
+        return found.mapInPandas(_bucket_candidates(radius, similarity, nearest), "a bigint, b bigint, d int")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _verified(pairs, docs, words, similarity, text)
+
+    near = candidates(reps.select("node", "fp", "n", F.col("node").alias("label")), keyed, True).distinct()
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other"))))
+    best = near.select("d", ends.alias("e")).groupBy("e.node").agg(F.slice(F.sort_array(F.collect_set(F.struct("d", "e.other"))), 1, NEAREST).alias("best"))
+    best = best.select("node", F.explode("best.other").alias("other"))
+    tried = cut_lineage(best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "tried")
+    links = verified(tried)
+    parts = cut_lineage(components(links), "parts")
+    labelled = cut_lineage(reps.join(parts, "node", "left").select("node", "fp", "n", F.coalesce("component", "node").alias("label")), "labels")
+    mixed = keyed.join(labelled.select("node", "label"), "node").groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    rest = candidates(labelled, keyed.join(mixed.select("key"), "key"), False).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    rest = cut_lineage(rest, "rest")
+    more = verified(rest)
+    edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more).union(same)
+    out = cut_lineage(components(edges), "components")
+    for table in (keyed, tried, rest, links, more, parts, labelled, reps, rows):
+        discard(table)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """The documents that stay, all columns as they are: the smallest doc_id of each group. Documents without a word and
     rows without doc_id say nothing about likeness and stay."""
-    groups = near_duplicates(docs.filter(F.trim(F.regexp_replace(whole_text(), r"[\x09-\x0D]", " ")) != ""), **{**STAGE, **settings})
-    gone = groups.filter("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
+    groups = similar_documents(docs.filter(F.trim(F.regexp_replace(whole_text(), r"[\x09-\x0D]", " ")) != ""), **{**STAGE, **settings})
+    gone = groups.filter("node <> component").select(F.col("node").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti")

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from stowage.llm.common import components
-from stowage.llm.simhash import _links, drop_near_duplicates, near_duplicates, near_links, simhash
+from stowage.llm.simhash import _bucket_edges, _bucket_rows, _links, drop_near_duplicates, near_duplicates, near_links, simhash
 
 SCHEMA = "doc_id bigint, text string, fp int, component string"
 
@@ -110,3 +110,51 @@ def test_long_fingerprints_meet_in_crowded_buckets_too(spark):
     for limit in (4096, 5):
         found = {r.node: r.component for r in components(near_links(reps, 4, 35, limit)).collect()}
         assert found == {i: 0 for i in range(120)}
+
+
+def test_stage_finds_pairs_at_the_required_similarity_and_only_those(spark):
+    """Against brute force: pairs of texts of 400 distinct words whose shingles have a known Jaccard similarity."""
+    rng = random.Random(21)
+    shingles = lambda t: {tuple(t[i:i + 5]) for i in range(len(t) - 4)}
+    for target, least in ((0.80, 0.88), (0.82, 0.91), (0.85, 0.95), (0.90, 0.98)):
+        rows, alike = [], set()
+        for i in range(150):
+            a = [f"w{i}x{rng.randrange(10 ** 6)}" for _ in range(400)]
+            b, places = list(a), rng.sample(range(2, 78), 40)
+            for place in places:  # 5 shingles each
+                changed = b[:]
+                changed[5 * place] = "new"
+                x, y = shingles(a), shingles(changed)
+                if len(x & y) / len(x | y) < target:
+                    break
+                b = changed
+            x, y = shingles(a), shingles(b)
+            assert target <= len(x & y) / len(x | y) < target + 0.03
+            alike.add(2 * i + 1)
+            below = b[:]
+            for place in sorted(set(range(2, 78)) - set(places))[:20]:
+                below[5 * place] = "other"
+            z = shingles(below)
+            assert max(len(x & z) / len(x | z), len(y & z) / len(y | z)) < 0.8
+            rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b)), (10_000 + i, " ".join(below))]
+        kept = {r.doc_id for r in drop_near_duplicates(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA)).collect()}
+        gone = {i for i, _ in rows} - kept
+        assert gone <= alike
+        assert len(gone) >= least * len(alike)
+
+
+def test_crowded_buckets_lose_no_pair(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(100):
+        a = rng.getrandbits(256)
+        b = a
+        for bit in rng.sample(range(256), 34):
+            b ^= 1 << bit
+        rows += [(2 * i, a.to_bytes(32, "big")), (2 * i + 1, b.to_bytes(32, "big"))]
+    reps = spark.createDataFrame(rows, "node bigint, fp binary")
+    keyed = reps.selectExpr("node", "cast(7 AS bigint) AS key")  # all in one bucket
+    for limit in (4096, 10):
+        held = _bucket_rows(keyed, reps, limit).select("key", "node", "fp").repartition("key").sortWithinPartitions("key")
+        found = {tuple(sorted((r.a, r.b))) for r in held.mapInPandas(_bucket_edges(35), "a bigint, b bigint").collect()}
+        assert found == {(2 * i, 2 * i + 1) for i in range(100)}
