@@ -40,9 +40,59 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
                 "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    # Cut so short that another version or kind of the license holds less than CONTAINMENT of them.
+    ("GPL-2.0", "GNU General Public License, version 2."),
+    ("GPL-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("GPL-3.0", "GNU General Public License, version 3."),
+    ("LGPL-2.1", "GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("LGPL-3.0", "GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("AGPL-3.0", "GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+                     "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+                     "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+                     "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+                     "derived from this software without specific prior written permission."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
+    ("ISC", "Licensed under the ISC License."),
+    ("Apache-2.0", "Released under the Apache License, Version 2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+                  "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+                  "commercial or non-commercial, and by any means."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC0-1.0", "Licensed under CC0 1.0."),
+    ("CC0-1.0", "Licensed under CC0 1.0 Universal."),
+    ("CC0-1.0", "Licensed under the Creative Commons CC0 1.0 Universal License."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 ]
 
 
+def _creative_commons() -> list[tuple[str, str]]:
+    """Short and long notices of the six Creative Commons licenses in all their versions."""
+    out = []
+    for version, kind in (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic"), ("1.0", "Generic")):
+        none = "NoDerivatives" if version == "4.0" else "NoDerivs"
+        for parts in (("BY",), ("BY", "SA"), ("BY", "NC"), ("BY", "ND"), ("BY", "NC", "SA"), ("BY", "NC", "ND")):
+            if version == "1.0" and parts == ("BY", "NC", "ND"):
+                title = "NoDerivs-NonCommercial"  # its title has the other order
+            else:
+                title = "-".join({"SA": "ShareAlike", "NC": "NonCommercial", "ND": none}[p] for p in parts[1:])
+            full = f"Attribution-{title}" if title else "Attribution"
+            name = f"CC-{'-'.join(parts)}-{version}"
+            out.append((name, f"Licensed under CC {'-'.join(parts)} {version}."))
+            out.append((name, f"Licensed under a Creative Commons {full} {version} {kind} License."))
+            out.append((name, f"Licensed under the Creative Commons {full} {version} {kind} License."))
+    return out
+
+
+TEMPLATES += _creative_commons()
+
+
 def words(text: Column) -> Column:
     """Runs of ASCII letters and digits, A-Z lowered."""
     return F.split(F.trim(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " "))), " ")

@@ -1,6 +1,9 @@
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from stowage.llm.licenses import TEMPLATES, licenses
 
 SCHEMA = "doc_id bigint, text string, uid int, license string, template int"
@@ -54,3 +57,24 @@ def test_empty_table_and_odd_templates(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert licenses(df).count() == 0
     assert licenses(spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string"), [("X", "a b c")]).count() == 0
+
+
+def test_every_license_line_of_documents_gets_a_row(spark):
+    """The lines are found by a plain search, not by the templates."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter(F.col("text").rlike("(?i)licen[sc]e"))
+    found = {r.doc_id for r in licenses(docs).collect()}
+    assert {r.doc_id for r in docs.collect()} == found and found
+
+
+@pytest.mark.parametrize("line, name", [
+    ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("This text is licensed under CC BY-SA 3.0, see below.", "CC-BY-SA-3.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License.", "CC-BY-NC-ND-3.0"),
+    ("This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+    ("Licensed under CC0 1.0.", "CC0-1.0"), ("Licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("Licensed under the GNU General Public License, version 3.", "GPL-3.0"), ("Licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("Licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
+])
+def test_common_license_lines(spark, line, name):
+    df = spark.createDataFrame([(1, f"some words before it. {line} And after.")], "doc_id bigint, text string")
+    assert [r.license for r in licenses(df).collect()] == [name]
