@@ -371,8 +371,8 @@ def similar_documents(
     the Jaccard similarity; a component is named by its smallest id. Rows without doc_id are left out.
 
     Pairs whose fingerprints are within the radius and share a bucket are candidates, and every link is verified on the
-    texts. First the nearest candidates of each id are; then all others whose ends are not yet in one component, so
-    the pairs of a large group are not listed one by one.
+    texts. First the nearest candidates of each id are; then all others whose ends are not yet in one component:
+    a group that the nearest links join costs little, but one of many candidates below the similarity is listed pair by pair.
     """
     docs = docs.filter("doc_id IS NOT NULL")
     rows = cut_lineage(docs.select("doc_id", sketches(whole_text(text), words, size).alias("s")).select("doc_id", "s.*"), "sketches")
