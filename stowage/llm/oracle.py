@@ -36,4 +36,16 @@ ORACLE = {
         )
         SELECT doc_id, license, containment, n_shingles, first_word, last_word FROM r WHERE place = 1
     """,
+    "op11_neighbours": """
+        WITH v AS (
+            SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), p AS (
+            SELECT q.r, q.vec_id AS query_id, c.vec_id,
+                list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) AS score
+            FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+        ), n AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank FROM p)
+        SELECT query_id, rank, vec_id, score FROM n WHERE rank <= 5
+    """,
 }
