@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm import (
-    chat, decontaminate, exact_dedup, licenses, neighbours, packing, periodic, secrets, simhash, suffix_dedup, toxicity, warc,
+    chat, conversations, decontaminate, exact_dedup, licenses, neighbours, packing, periodic, secrets, simhash, suffix_dedup, toxicity, warc,
 )
 from stowage.llm.common import table
 from stowage.session import work_folder
@@ -89,11 +89,15 @@ def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(table(spark, sf_dir, "documents"), rewrite=True)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_secrets, op2_toxicity, op3_exact_dedup, op4_suffix_dedup, op5_warc, op6_decontaminate, op7_simhash, op8_licenses,
-    op9_packing, op10_chat, op11_neighbours, op13_periodic_runs,
+    op9_packing, op10_chat, op11_neighbours, op12_repair, op13_periodic_runs,
 )}

@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables a
 
 
 def test_all_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(queries()) and set(ORACLE) <= set(oracle_sql())
 
 
@@ -31,7 +31,7 @@ def test_equals_sql(spark, name):
     assert normal(df.columns, [tuple(r) for r in df.collect()]) == normal(columns, cursor.fetchall())
 
 
-@pytest.mark.parametrize("name", ["op1_secrets", "op2_toxicity", "op4_suffix_dedup", "op7_simhash"])
+@pytest.mark.parametrize("name", ["op1_secrets", "op2_toxicity", "op4_suffix_dedup", "op7_simhash", "op13_periodic_runs"])
 def test_one_row_per_document(spark, name):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     rows = QUERIES[name](spark, SF_DIR)
