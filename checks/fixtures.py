@@ -176,6 +176,24 @@ def present_paths(actions: DataFrame) -> DataFrame:
     return moved.union(actions.filter("seq % 6 = 0").select("from_path")).distinct()
 
 
+SHELF = "array('a.txt', 'a_1.txt', 'b', 'b_2', 'c.x', 'd')"
+
+
+def shared_steps(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The actions on few paths for each part, so that transactions want the same places, and the paths that are there before."""
+    parted = actions.withColumns({
+        "part": F.regexp_extract("from_path", r"^(/data/p\d+)/", 1), "tx": F.expr("CAST(substring(transaction_id, 4) AS BIGINT)")})
+    moved = f"concat(part, '/', element_at({SHELF}, CAST((tx * 5 + seq * 7 + 1) % 6 AS INT) + 1))"
+    steps = parted.withColumns({
+        "from_path": F.expr(f"concat(part, '/', element_at({SHELF}, CAST((tx + seq) % 6 AS INT) + 1))"),
+        "to_path": F.expr(f"CASE WHEN to_path = '' THEN '' WHEN type = 'delete' THEN concat(part, '/.trash/', tx % 4) ELSE {moved} END"),
+    }).drop("part", "tx")
+    parts = parted.select("part", F.expr("CAST(substring(part, 8) AS BIGINT)").alias("n")).distinct()
+    shelf = parts.selectExpr("part", "n", f"posexplode({SHELF}) AS (i, name)").filter("(n + i) % 3 = 0").selectExpr("concat(part, '/', name) AS path")
+    trash = parts.selectExpr("part", "explode(sequence(0, 2)) AS i").selectExpr("concat(part, '/.trash/', i) AS path")
+    return steps, shelf.union(trash)
+
+
 TREE_PATH = """concat('/', lang, CASE doc_id % 11 WHEN 3 THEN '/.cache' WHEN 5 THEN '/node_modules' ELSE '' END,
     '/s', CAST(doc_id % 20 AS STRING), '/', CASE WHEN doc_id % 9 = 0 THEN '.' ELSE '' END, 'doc ', CAST(doc_id AS STRING), '.txt')"""
 

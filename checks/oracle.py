@@ -367,6 +367,32 @@ ORACLE["rollback_nonrestored"] = with_(JUDGED, """SELECT transaction_id, seq, ou
 
 # ---- report ----
 
+SHELF = "['a.txt', 'a_1.txt', 'b', 'b_2', 'c.x', 'd']"
+SERIES = f"left(from_path, length(from_path) - length({ext_of(name_of('from_path'))})) || '_' || i || {ext_of(name_of('from_path'))}"
+ORACLE["rollback_batch"] = with_(JUDGED + f""",
+sh0 AS (SELECT transaction_id, seq, type, t.created_at, tx_key, l_partkey AS part, concat('/data/p', l_partkey, '/') AS dir,
+    concat(dir, {SHELF}[(tx_key + seq) % 6 + 1]) AS from_path, CASE WHEN open.to_path = '' THEN ''
+      WHEN open.type = 'delete' THEN concat(dir, '.trash/', tx_key % 4) ELSE concat(dir, {SHELF}[(tx_key * 5 + seq * 7 + 1) % 6 + 1]) END AS to_path
+    FROM (SELECT transaction_id, seq, type, tx_key, l_partkey, to_path FROM open) open JOIN (SELECT tx_key AS k, created_at FROM t) t ON t.k = open.tx_key),
+sh AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY created_at DESC, tx_key, seq DESC) AS turn FROM sh0),
+run AS (
+  SELECT DISTINCT part, CAST(0 AS BIGINT) AS turn, CAST(NULL AS VARCHAR) AS transaction_id, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS from_path,
+    CAST(NULL AS VARCHAR) AS to_path, '' AS why, CAST(NULL AS VARCHAR) AS pick, list_concat(
+      list_transform(list_filter(range(6), lambda i: (part + i) % 3 = 0), lambda i: concat(dir, {SHELF}[i + 1])),
+      list_transform(range(3), lambda i: concat(dir, '.trash/', i))) AS taken FROM sh
+  UNION ALL
+  SELECT part, turn, transaction_id, seq, from_path, to_path, why, pick,
+    CASE WHEN pick IS NULL THEN taken ELSE list_append(list_filter(taken, lambda x: x <> to_path), pick) END FROM (
+    SELECT *, CASE WHEN why <> '' THEN NULL WHEN NOT list_contains(taken, from_path) THEN from_path ELSE
+        list_filter(list_transform(range(1, least(len(taken) + 2, 1000)), lambda i: {SERIES}), lambda c: NOT list_contains(taken, c))[1] END AS pick FROM (
+      SELECT sh.part, sh.turn, sh.transaction_id, sh.seq, sh.from_path, sh.to_path, run.taken, CASE
+        WHEN type = 'move' AND NOT list_contains(taken, sh.to_path) THEN 'File no longer exists at moved location'
+        WHEN type = 'move' AND list_contains(taken, sh.from_path) THEN 'Original location is no longer available (file exists)'
+        WHEN type = 'delete' AND NOT list_contains(taken, sh.to_path) THEN 'File was permanently deleted or trash file not found'
+        WHEN type = 'restore' THEN 'Unknown action type: restore' ELSE '' END AS why
+      FROM run JOIN sh ON sh.part = run.part AND sh.turn = run.turn + 1)))""", """SELECT transaction_id, seq, from_path, to_path,
+    CASE WHEN why = '' THEN 'restored' ELSE 'skipped' END AS outcome, why AS error, coalesce(pick, '') AS final_path FROM run WHERE turn > 0""", recursive=True)
+
 SAVED = """sv AS (SELECT coalesce(CAST(sum(saved_bytes) FILTER (status IN ('completed', 'partially_completed')) AS BIGINT), 0) AS kept,
     coalesce(CAST(sum(saved_bytes) FILTER (status = 'rolled_back') AS BIGINT), 0) AS undone
   FROM ts WHERE type = 'dedupe' AND NOT dry_run)"""

@@ -13,6 +13,7 @@ from stowage import functions as sf
 from stowage.operators import clash_classes, validate_actions, validate_files, validate_transactions
 from stowage.functions.categories import CATEGORIES
 from stowage.plans import dedupe, ledger, organize, report, rollback, scan
+from stowage.plans import rollback_batch as rollback_batch_plan
 from stowage.session import work_folder
 from stowage.sources import CatalogueStore, hash_files, list_each, list_files, partial_hash_files
 from stowage.streaming.duplicates import ARRIVALS, ROCKSDB, STATE_STORE
@@ -532,6 +533,17 @@ def rollback_nonrestored(spark, sf_dir):
     )
 
 
+@query
+def rollback_batch(spark, sf_dir):
+    """All open transactions undone one after another, newest first, on paths that many of them share."""
+    steps, present = fx.shared_steps(_open_actions(spark, sf_dir))
+    newest_first = fx.ledger_store(spark, sf_dir).transactions().selectExpr(
+        "transaction_id", "CAST(substring(transaction_id, 4) AS BIGINT) - unix_date(CAST(created_at AS DATE)) * 10000000000 AS place")
+    judged = rollback_batch_plan.outcomes_in_order(steps, newest_first, present)
+    return judged.select("transaction_id", "seq", "from_path", "to_path", "outcome", F.coalesce("outcome_error", F.lit("")).alias("error"),
+                         F.coalesce("final_path", F.lit("")).alias("final_path"))
+
+
 # ---- report ----
 
 def _stores(spark, sf_dir):
