@@ -2,7 +2,8 @@
 
 No run renames or deletes a file. Dedupe and organize write what has to be done (``dry_run``) or record
 what was done: ``outcomes`` holds what the file system said about each step; without it every step
-counts as done.
+counts as done. A run is seen as a whole or not at all: repeated under its id after a crash it doubles nothing, and
+when it was saved already, nothing is done.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 import datetime
 import os
 import re
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,17 +19,13 @@ from stowage.functions.categories import CATEGORIES
 from stowage.functions.paths import order_key
 from stowage.operators.progress import with_progress
 from stowage.operators.skew import rank_within
-from stowage.plans import dedupe, ledger, organize, report, rollback, scan
+from stowage.plans import dedupe, ledger, organize, report, rollback, rollback_batch, scan
 from stowage.schemas import SUMMARY_FIELDS
-from stowage.session import cut_lineage
+from stowage.session import cut_lineage, discard
 from stowage.sources.contents import hash_files
 from stowage.sources.filesystem import is_remote
 from stowage.sources.listing import list_each, walk
-from stowage.sources.store import CatalogueStore
-
-
-def _new_id(given: str | None) -> str:
-    return given or str(uuid.uuid4())
+from stowage.sources.store import CatalogueStore, Run
 
 
 def clean_root(root: str) -> str:
@@ -42,22 +38,27 @@ def clean_root(root: str) -> str:
 
 def run_scan(store: CatalogueStore, root: str, at: datetime.datetime, recursive: bool = True,
              scan_id: str | None = None) -> tuple[str, dict]:
-    """List, hash and flag a tree, and save it. Returns the scan id and the job's row, byte and error counts."""
+    """List, hash and flag a tree, and save it. Returns the scan id and the job's row, byte and error counts (none if a scan of
+    this id is saved already)."""
     root = clean_root(root)
     if not is_remote(root) and not os.path.isdir(root):
         raise ValueError(f"Directory does not exist: {root}")
-    scan_id = _new_id(scan_id)
+    run = store.begin(scan_id)
+    scan_id = run.run_id
+    if run.done:
+        return scan_id, {}
     listed, failed = walk(store.spark, root, recursive)
-    store.append("scan_errors", failed.filter("NOT silent").withColumn("scan_id", F.lit(scan_id)))
+    run.append("scan_errors", failed.filter("NOT silent").withColumn("scan_id", F.lit(scan_id)))
     found = listed.withColumn("scan_id", F.lit(scan_id))
     watched, progress = with_progress(hash_files(found), "size", F.col("error").isNotNull())
     hashed = cut_lineage(watched, "hashed")
-    store.append("scan_errors", hashed.filter("error IS NOT NULL"))
+    run.append("scan_errors", hashed.filter("error IS NOT NULL"))
     readable = hashed.filter("error IS NULL").drop("error")
-    store.append("file_records", scan.file_records(scan.build_manifest(readable), at))
+    run.append("file_records", scan.file_records(scan.build_manifest(readable), at))
     path = store.spark.createDataFrame([(scan_id, root)], "scan_id string, scanned_path string")
-    mine = scan.records_of_scan(store.file_records(), scan_id)
-    store.append("scans", scan.scan_rows(mine, path, F.lit(at)))
+    run.append("scans", scan.scan_rows(run.read("file_records"), path, F.lit(at)))
+    run.commit()
+    discard(hashed)
     return scan_id, progress.get
 
 
@@ -67,22 +68,23 @@ def _numbered(actions: DataFrame) -> DataFrame:
     return rank_within(plain, ["transaction_id"], [order_key("from_path")], "seq")
 
 
-def _save(store: CatalogueStore, actions: DataFrame, kind: str, transaction_id: str, target: str, dry_run: bool,
-          strategy: str | None, at: datetime.datetime) -> str:
-    store.append("actions", actions)
-    # Every run writes files of its own, so the statistics in them rule out all others.
-    saved = store.actions().filter(F.col("transaction_id") == transaction_id)
-    head = store.spark.createDataFrame(
+def _save(run: Run, actions: DataFrame, kind: str, target: str, dry_run: bool, strategy: str | None, at: datetime.datetime) -> str:
+    """Actions, counted header and whatever the run has written before, made visible together."""
+    transaction_id = run.run_id
+    run.append("actions", actions)
+    saved = run.read("actions")
+    head = run.store.spark.createDataFrame(
         [(transaction_id, kind, target, dry_run, strategy)],
         "transaction_id string, type string, target_path string, dry_run boolean, strategy string",
     )
     counted = ledger.transaction_summary(head, saved)
-    store.append("transactions", counted.select(
+    run.append("transactions", counted.select(
         "transaction_id", F.lit(None).alias("scan_id"), "type",
         ledger.outcome_status(F.col("dry_run"), F.col("failed_count")).alias("status"),
         F.struct(*SUMMARY_FIELDS).alias("summary"), "target_path", "dry_run", "strategy", F.lit(at).alias("created_at"),
         F.when(~F.col("dry_run"), F.lit(at)).alias("completed_at"),
     ))
+    run.commit()
     return transaction_id
 
 
@@ -113,7 +115,10 @@ def run_dedupe(store: CatalogueStore, scan_id: str, at: datetime.datetime, strat
     Files deleted or moved by earlier runs are taken as those left them. ``existing`` (path) are the names in the trash; without
     it the folder is listed.
     """
-    transaction_id = _new_id(transaction_id)
+    run = store.begin(transaction_id)
+    transaction_id = run.run_id
+    if run.done:
+        return transaction_id
     files = _files_now(store, scan_id)
     planned = cut_lineage(
         dedupe.delete_actions(dedupe.removals(files, strategy), F.lit(transaction_id), trash), "removals"
@@ -128,7 +133,7 @@ def run_dedupe(store: CatalogueStore, scan_id: str, at: datetime.datetime, strat
             places = planned.select("from_path", F.lit("").alias("final_path"), "error")
         actions = _recorded(planned, places, outcomes)
     root = _scanned_path(store, scan_id)
-    return _save(store, _numbered(actions), "dedupe", transaction_id, root, dry_run, strategy, at)
+    return _save(run, _numbered(actions), "dedupe", root, dry_run, strategy, at)
 
 
 def _scanned_path(store: CatalogueStore, scan_id: str) -> str:
@@ -146,7 +151,10 @@ def run_organize(store: CatalogueStore, scan_id: str, at: datetime.datetime, rec
     Files deleted or moved by earlier runs are taken as those left them. ``existing`` (path) are the names in the category folders;
     without it these are listed.
     """
-    transaction_id = _new_id(transaction_id)
+    run = store.begin(transaction_id)
+    transaction_id = run.run_id
+    if run.done:
+        return transaction_id
     root = _scanned_path(store, scan_id)
     files = _files_now(store, scan_id)
     plan = organize.organize_plan(files, F.lit(root), recursive)
@@ -158,31 +166,49 @@ def run_organize(store: CatalogueStore, scan_id: str, at: datetime.datetime, rec
         lying = _lying(store, [f"{root.rstrip('/')}/{c}" for c in CATEGORIES]) if existing is None else existing.select("path")
         places = organize.resolved_moves(plan, organize.settled_paths(files).union(lying).distinct())
         actions = _recorded(actions, places, outcomes)
-    return _save(store, _numbered(actions), "organize", transaction_id, root, dry_run, None, at)
+    return _save(run, _numbered(actions), "organize", root, dry_run, None, at)
 
 
 def run_rollback(store: CatalogueStore, transaction_id: str, present_paths: DataFrame, at: datetime.datetime,
                  failures: DataFrame | None = None, rollback_id: str | None = None) -> str:
     """Undo one transaction. ``present_paths`` is the set of paths that exist now."""
-    rollback_id = _new_id(rollback_id)
+    return run_rollbacks(store, [transaction_id], present_paths, at, failures, rollback_id and [rollback_id])[0]
+
+
+def run_rollbacks(store: CatalogueStore, transaction_ids: list[str], present_paths: DataFrame, at: datetime.datetime,
+                  failures: DataFrame | None = None, rollback_ids: list[str] | None = None) -> list[str]:
+    """Undo transactions one after another, in the order given, each with a rollback of its own.
+
+    Every step is judged against the paths as the steps before it leave them. Nothing is saved when one of the transactions
+    cannot be rolled back. Under the same ids after a crash it saves the rollbacks that are missing; ``present_paths`` are still
+    those from before the first of them.
+    """
     spark = store.spark
+    runs = [store.begin(i) for i in rollback_ids or [None] * len(transaction_ids)]
     states = ledger.current_state(store.transactions(), store.status_events())
-    asked = spark.createDataFrame([(transaction_id,)], "transaction_id string")
-    reason = rollback.eligibility(asked, ledger.by_id(states, transaction_id)).first()["reason"]
-    if reason:
-        raise ValueError(reason)
-    target = ledger.by_id(states, transaction_id).first()["target_path"]
-    mine = store.actions().filter(F.col("transaction_id") == transaction_id)
-    judged = cut_lineage(rollback.outcomes(mine, present_paths, failures), "judged")
-    places = rollback.restored_paths(judged, present_paths).select("seq", "final_path")
-    undo = rollback.rollback_actions(judged, F.lit(rollback_id)).join(places, "seq", "left")
-    # The last action is undone first, so its step is number one.
-    last = mine.agg(F.max("seq")).first()[0] or 0
-    steps = undo.withColumn("to_path", F.coalesce("final_path", "to_path")).withColumn("seq", F.lit(last + 1) - F.col("seq"))
-    _save(store, steps, "rollback", rollback_id, target, False, None, at)
-    # The original is closed even when it had no step to undo.
-    store.append("status_events", rollback.closing_events(asked, F.lit(rollback_id), F.lit(at)))
-    return rollback_id
+    asked = spark.createDataFrame([(t, i) for i, t in enumerate(transaction_ids)], "transaction_id string, place bigint")
+    named = states.join(asked.select("transaction_id"), "transaction_id", "left_semi")
+    reasons = {r["transaction_id"]: r["reason"] for r in rollback.eligibility(asked, named).collect()}
+    for i, (one, run) in enumerate(zip(transaction_ids, runs)):
+        reason = reasons[one] or (rollback.ALREADY_DONE + one if one in transaction_ids[:i] else None)
+        if reason and not run.done:
+            raise ValueError(reason)
+    targets = {r["transaction_id"]: r["target_path"] for r in named.select("transaction_id", "target_path").collect()}
+    mine = store.actions().join(asked.select("transaction_id"), "transaction_id", "left_semi")
+    judged = cut_lineage(rollback_batch.outcomes_in_order(mine, asked, present_paths, failures), "undone")
+    for one, run in zip(transaction_ids, runs):
+        if run.done:
+            continue
+        steps = judged.filter(F.col("transaction_id") == one)
+        undo = rollback.rollback_actions(steps, F.lit(run.run_id)).join(steps.select("seq", "final_path"), "seq")
+        # The last action is undone first, so its step is number one.
+        last = mine.filter(F.col("transaction_id") == one).agg(F.max("seq")).first()[0] or 0
+        undo = undo.withColumn("to_path", F.coalesce("final_path", "to_path")).withColumn("seq", F.lit(last + 1) - F.col("seq"))
+        # The original is closed even when it had no step to undo.
+        run.append("status_events", rollback.closing_events(asked.filter(F.col("transaction_id") == one), F.lit(run.run_id), F.lit(at)))
+        _save(run, undo, "rollback", targets[one], False, None, at)
+    discard(judged)
+    return [run.run_id for run in runs]
 
 
 def run_report(store: CatalogueStore) -> DataFrame:

@@ -1,8 +1,9 @@
-"""What undoing transactions would do, for any number of transactions at once.
+"""What undoing a transaction would do, each one looked at by itself.
 
 Steps of one run do not depend on each other: targets of moves are unique and never a source of the
 same run, so every step is judged against the set of present paths. Only restored deletes can clash
-with each other; they get their names in rollback order.
+with each other; they get their names in rollback order. Any number of transactions can be looked at in one job as long as no
+two of them touch one path; :mod:`stowage.plans.rollback_batch` undoes those that do, one after another.
 """
 
 from __future__ import annotations
