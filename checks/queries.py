@@ -16,8 +16,7 @@ from stowage.plans import dedupe, ledger, organize, report, rollback, scan
 from stowage.plans import rollback_batch as rollback_batch_plan
 from stowage.session import work_folder
 from stowage.sources import CatalogueStore, hash_files, list_each, list_files, partial_hash_files
-from stowage.streaming.duplicates import ARRIVALS, ROCKSDB, STATE_STORE
-from stowage.streaming import activity_by_session, activity_by_window, first_arrival_stream, resolve_originals
+from stowage.streaming import ArrivalLog, activity_by_session, activity_by_window, first_arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -674,25 +673,17 @@ def path_parts(spark, sf_dir):
 @query
 def stream_duplicates(spark, sf_dir):
     """Documents as a stream of files; each with its original, the first that arrived with its content."""
-    folder = work_folder(spark, "stream")
-    before = spark.conf.get(STATE_STORE)
-    spark.conf.set(STATE_STORE, ROCKSDB)
     schema = fx.table(spark, sf_dir, "documents").schema
-    docs = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")  # a glob takes a file as well as a folder
+    # A pattern with one match takes a file as well as a folder.
+    docs = spark.readStream.schema(schema).parquet(f"{sf_dir}/document[s].parquet")
     rows = docs.selectExpr(
         "lang AS scan_id", "sha2(text, 256) AS hash", f"{fx.DOCUMENT_PATH} AS file_path",
         "CAST(octet_length(text) AS BIGINT) AS size",
         "timestampadd(SECOND, (doc_id * 7919) % 86400, TIMESTAMP_NTZ'2024-01-01 00:00:00') AS arrived_at",
     )
-    run = (
-        first_arrival_stream(rows).writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows")
-        .trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
-    spark.conf.set(STATE_STORE, before)
-    found = resolve_originals(spark.read.schema(ARRIVALS).parquet(f"{folder}/rows"))
-    return found.select("scan_id", "hash", "file_path", "is_duplicate", "duplicate_of")
+    log = ArrivalLog(spark, work_folder(spark, "stream"))
+    first_arrivals(rows, log).trigger(availableNow=True).start().awaitTermination()
+    return log.rows().select("scan_id", "hash", "file_path", "is_duplicate", "duplicate_of")
 
 
 def _times(rows: DataFrame, *names: str) -> DataFrame:
