@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions.paths import from_order_key, order_key
-from stowage.operators.skew import HOT_ROWS, largest_groups, salted_left_join
+from stowage.operators.skew import HOT_ROWS, largest_groups, may_hold, salted_left_join
 
 GROUP = ["scan_id", "hash"]
 _LATE = (1 << 63) - 1
@@ -31,29 +31,40 @@ def keep_order(strategy: str) -> list[Column]:
     return [F.coalesce(STRATEGIES[strategy](), F.lit(_LATE)), order_key("file_path")]
 
 
-def kept_files(files: DataFrame, strategy: str = "keep-oldest", keys: list[str] = GROUP) -> DataFrame:
+def kept_files(files: DataFrame, strategy: str = "keep-oldest", keys: list[str] = GROUP, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per group of two or more: copies, bytes, the kept path and its size.
 
-    ``min`` of a struct is combined on the map side, so a group of any size sends one row per task.
+    Counts and the deciding number come first, numbers only, combined on the map side. Paths are looked at in the second step alone, by
+    the rows of groups with copies that have that number, of which every task hands on one for each group.
     """
     first, walk = keep_order(strategy)
-    return (
-        files.groupBy(*keys)
-        .agg(
-            F.count("*").alias("copies"),
-            F.sum("size").alias("total_size"),
-            F.min(F.struct(first.alias("first"), walk.alias("walk"), F.col("size").alias("size"))).alias("kept"),
-        )
-        .filter("copies > 1")
-        .select(
-            *keys, "copies", "total_size",
-            from_order_key("kept.walk").alias("kept_path"), F.col("kept.size").alias("kept_size"),
-        )
-    )
+    rows = files.select(*keys, first.alias("__first"), walk.alias("__walk"), "size")
+    groups = rows.groupBy(*keys).agg(
+        F.count("*").alias("copies"), F.sum("size").alias("total_size"), F.min("__first").alias("__least")
+    ).filter("copies > 1")
+    if may_hold(files, hot_rows):
+        hot = largest_groups(groups, keys, "copies", hot_rows)
+        members = salted_left_join(rows, groups, keys, hot, F.col("__walk"))
+    else:
+        members = rows.join(groups, keys)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("__walk", "size"))
+    kept = members.filter("__first = __least").withColumn("__place", place).filter("__place = 1")
+    return kept.select(*keys, "copies", "total_size", from_order_key("__walk").alias("kept_path"), F.col("size").alias("kept_size"))
 
 
 def attach_kept(files: DataFrame, strategy: str, keys: list[str] = GROUP, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every file with ``kept_path`` of its group, null when it has no copy."""
-    kept = kept_files(files, strategy, keys)
-    hot = largest_groups(kept, keys, "copies", hot_rows).select(*keys, "kept_path")
-    return salted_left_join(files, kept.select(*keys, "kept_path"), keys, hot, F.col("file_path"))
+    kept = kept_files(files, strategy, keys, hot_rows)
+    found = kept.select(*keys, "kept_path")
+    if not may_hold(files, hot_rows):
+        return files.join(found, keys, "left")
+    return salted_left_join(files, found, keys, largest_groups(kept, keys, "copies", hot_rows).select(*keys, "kept_path"), F.col("file_path"))
+
+
+def with_copies(files: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The files whose key occurs at least twice. Counting takes the keys alone."""
+    groups = files.groupBy(*keys).agg(F.count("*").alias("__copies")).filter("__copies > 1")
+    if not may_hold(files, hot_rows):
+        return files.join(groups.select(*keys), keys, "left_semi").select(*files.columns)
+    hot = largest_groups(groups, keys, "__copies", hot_rows)
+    return salted_left_join(files, groups, keys, hot, F.col("file_path")).filter("__copies IS NOT NULL").drop("__copies")

@@ -18,6 +18,17 @@ HOT_KEYS = 4096
 SAMPLE_FRACTION = 1 / 64
 #: Ranges of a hot group hold about this share of ``hot_rows`` rows.
 RANGE_SHARE = 4
+#: A row of any table here takes at least so many bytes of a file.
+ROW_BYTES = 16
+
+
+def may_hold(df: DataFrame, hot_rows: int) -> bool:
+    """Whether a key of the table could be hot, by the optimizer's estimate of its bytes; it costs no job.
+
+    Like the number of hot keys, this only decides about the plan.
+    """
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(estimate)) >= hot_rows * ROW_BYTES
 
 
 def largest_groups(counts: DataFrame, keys: list[str], size: str, hot_rows: int) -> DataFrame:
@@ -35,8 +46,10 @@ def local_hot_keys(counts: DataFrame, keys: list[str], size: str, hot_rows: int
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """Hot keys of any table, counted on a seeded sample of its key columns.
 
-    Only these statistics are sampled, never results.
+    Only these statistics are sampled, never results. A table too small for a hot key is not looked at.
     """
+    if not may_hold(df, hot_rows):
+        return None
     fraction = SAMPLE_FRACTION if hot_rows * SAMPLE_FRACTION >= 1000 else 1.0
     sample = df.select(*keys)
     if fraction < 1.0:

@@ -11,7 +11,7 @@ from stowage.functions.formats import round_half_up
 from stowage.functions.hashing import action_id
 from stowage.functions.paths import basename, order_key
 from stowage.operators.collisions import resolve_names
-from stowage.operators.keepone import GROUP, attach_kept, keep_order, kept_files
+from stowage.operators.keepone import GROUP, attach_kept, keep_order, kept_files, with_copies
 from stowage.operators.skew import HOT_ROWS, hot_keys, lookup_with, rank_with
 from stowage.session import cut_lineage
 
@@ -94,13 +94,8 @@ def progressive_candidates(
     partial hash are read whole. ``partial`` adds ``partial_hash``, ``full`` adds ``hash``. Rows that move
     between the steps are paths and sizes, never contents.
     """
-    same_size = _shared(files, ["scan_id", "size"])
+    same_size = with_copies(files, ["scan_id", "size"])
     # Cut here, or every later use of the hashes would read the files again.
     ends = cut_lineage(partial(same_size))
-    same_ends = _shared(ends, ["scan_id", "size", "partial_hash"])
+    same_ends = with_copies(ends, ["scan_id", "size", "partial_hash"])
     return cut_lineage(full(same_ends.drop("partial_hash")))
-
-
-def _shared(files: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Rows whose key occurs at least twice."""
-    return attach_kept(files, "keep-largest", keys, hot_rows).filter("kept_path IS NOT NULL").drop("kept_path")
