@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions.paths import from_order_key, order_key
-from stowage.operators.skew import HOT_ROWS, largest_groups, may_hold, salted_left_join
+from stowage.operators.skew import HOT_ROWS, hot_keys, lookup_with
 
 GROUP = ["scan_id", "hash"]
 _LATE = (1 << 63) - 1
@@ -34,37 +34,48 @@ def keep_order(strategy: str) -> list[Column]:
 def kept_files(files: DataFrame, strategy: str = "keep-oldest", keys: list[str] = GROUP, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per group of two or more: copies, bytes, the kept path and its size.
 
-    Counts and the deciding number come first, numbers only, combined on the map side. Paths are looked at in the second step alone, by
-    the rows of groups with copies that have that number, of which every task hands on one for each group.
+    Without hot groups it is one shuffle and one window over it. With them, counts and the deciding number come first, numbers only, combined
+    on the map side; paths are looked at by the rows of groups with copies that have that number, of which every task hands on one
+    for each group.
     """
+    return _kept(files, strategy, keys, hot_keys(files, keys, hot_rows))
+
+
+def _kept(files: DataFrame, strategy: str, keys: list[str], hot: DataFrame | None) -> DataFrame:
     first, walk = keep_order(strategy)
     rows = files.select(*keys, first.alias("__first"), walk.alias("__walk"), "size")
-    groups = rows.groupBy(*keys).agg(
-        F.count("*").alias("copies"), F.sum("size").alias("total_size"), F.min("__first").alias("__least")
-    ).filter("copies > 1")
-    if may_hold(files, hot_rows):
-        hot = largest_groups(groups, keys, "copies", hot_rows)
-        members = salted_left_join(rows, groups, keys, hot, F.col("__walk"))
+    group = Window.partitionBy(*keys)
+    if hot is None:
+        place = F.row_number().over(group.orderBy("__first", "__walk", "size"))
+        ranked = rows.withColumns({"copies": F.count("*").over(group), "total_size": F.sum("size").over(group), "__place": place})
+        kept = ranked.filter("__place = 1 AND copies > 1")
     else:
-        members = rows.join(groups, keys)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("__walk", "size"))
-    kept = members.filter("__first = __least").withColumn("__place", place).filter("__place = 1")
+        groups = rows.groupBy(*keys).agg(
+            F.count("*").alias("copies"), F.sum("size").alias("total_size"), F.min("__first").alias("__least")
+        ).filter("copies > 1")
+        members = lookup_with(rows, groups, keys, F.col("__walk"), hot).filter("__first = __least")
+        kept = members.withColumn("__place", F.row_number().over(group.orderBy("__walk", "size"))).filter("__place = 1")
     return kept.select(*keys, "copies", "total_size", from_order_key("__walk").alias("kept_path"), F.col("size").alias("kept_size"))
 
 
 def attach_kept(files: DataFrame, strategy: str, keys: list[str] = GROUP, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Every file with ``kept_path`` of its group, null when it has no copy."""
-    kept = kept_files(files, strategy, keys, hot_rows)
-    found = kept.select(*keys, "kept_path")
-    if not may_hold(files, hot_rows):
-        return files.join(found, keys, "left")
-    return salted_left_join(files, found, keys, largest_groups(kept, keys, "copies", hot_rows).select(*keys, "kept_path"), F.col("file_path"))
+    """Every file with ``kept_path`` of its group, null when it has no copy. One shuffle when no group is hot."""
+    hot = hot_keys(files, keys, hot_rows)
+    if hot is not None:
+        return lookup_with(files, _kept(files, strategy, keys, hot).select(*keys, "kept_path"), keys, F.col("file_path"), hot)
+    group = Window.partitionBy(*keys)
+    there = F.lit(True)
+    for k in keys:
+        there = there & F.col(k).isNotNull()
+    kept = F.first("file_path").over(group.orderBy(*keep_order(strategy)))
+    return files.withColumn("kept_path", F.when(there & (F.count("*").over(group) > 1), kept))
 
 
 def with_copies(files: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The files whose key occurs at least twice. Counting takes the keys alone."""
+    """The files whose key occurs at least twice. Only keys are counted, and only the keys that pass meet the rows, so that a broadcast or
+    a runtime Bloom filter of them can keep the others from the shuffle."""
     groups = files.groupBy(*keys).agg(F.count("*").alias("__copies")).filter("__copies > 1")
-    if not may_hold(files, hot_rows):
+    hot = hot_keys(files, keys, hot_rows)
+    if hot is None:
         return files.join(groups.select(*keys), keys, "left_semi").select(*files.columns)
-    hot = largest_groups(groups, keys, "__copies", hot_rows)
-    return salted_left_join(files, groups, keys, hot, F.col("file_path")).filter("__copies IS NOT NULL").drop("__copies")
+    return lookup_with(files, groups, keys, F.col("file_path"), hot).filter("__copies IS NOT NULL").drop("__copies")

@@ -19,7 +19,7 @@ SAMPLE_FRACTION = 1 / 64
 #: Ranges of a hot group hold about this share of ``hot_rows`` rows.
 RANGE_SHARE = 4
 #: A row of any table here takes at least so many bytes of a file.
-ROW_BYTES = 16
+ROW_BYTES = 32
 
 
 def may_hold(df: DataFrame, hot_rows: int) -> bool:

@@ -11,6 +11,7 @@ from checks.queries import QUERIES
 from stowage.functions import with_category
 from stowage.operators import lookup
 from stowage.operators.collisions import _parents
+from stowage.operators.keepone import kept_files
 from stowage.plans import dedupe, report, scan
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -43,12 +44,19 @@ def test_totals_shuffle_files_once_and_hash_aggregate(spark):
 
 def test_keep_one_combines_before_the_shuffle(spark):
     text = plan(scan.duplicate_groups(fx.listing(spark, SF_DIR)))
+    assert "SortAggregate" not in text and text.count("Exchange") == 1
+    for strategy in ("keep-latest", "keep-oldest", "keep-largest"):
+        flagged = plan(dedupe.removals(fx.listing(spark, SF_DIR), strategy))
+        assert "SortAggregate" not in flagged and flagged.count("Exchange") == 1
+
+
+def test_keep_one_of_hot_groups_combines_before_the_shuffle(spark):
+    files = fx.listing(spark, SF_DIR).withColumn("hash", F.lit("hot"))
+    text = plan(kept_files(files, hot_rows=10))
     # Numbers are combined in hash aggregates; a task hands on one path for each group.
-    assert "partial_min" in text and "SortAggregate" not in text and text.count("WindowGroupLimit") == 2
+    assert "SortAggregate" not in text and text.count("WindowGroupLimit") == 2
     counted = next(l for l in text.splitlines() if "partial_min" in l)
     assert "HashAggregate" in counted and "file_path" not in counted and "__walk" not in counted
-    for strategy in ("keep-latest", "keep-oldest", "keep-largest"):
-        assert "SortAggregate" not in plan(dedupe.removals(fx.listing(spark, SF_DIR), strategy))
 
 
 def test_one_scan_reads_one_partition(spark):
