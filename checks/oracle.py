@@ -416,6 +416,46 @@ ORACLE["report_recent_scans"] = with_(SCANS, "SELECT * FROM s ORDER BY created_a
 ORACLE["report_recent_activity"] = with_(COUNTERS, f"""SELECT transaction_id, type, status, moved_count, deleted_count, restored_count,
     saved_bytes, created_at FROM ts {NEWEST} LIMIT 10""")
 
+ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S.%g')"
+
+
+def rows_of(key: str, columns: str, order: str) -> str:
+    """A section of the report as an ordered list of structs."""
+    fields = ", ".join(f"'{c}': {ISO.format(c) if c == 'created_at' else c}" for c in columns.split())
+    return f"(SELECT list({{{fields}}} ORDER BY {order}) FROM ({BODIES[key]}))"
+
+
+BODIES = {k: ORACLE[f"report_{k}"] for k in ("recent_scans", "category_breakdown", "extension_stats", "recent_activity", "top_dup_ext")}
+ONE = {k: ORACLE[f"report_{k}"] for k in ("overview", "duplicate_stats")}
+ORACLE["report_json"] = f"""SELECT CAST(to_json({{
+    'overview': (SELECT o FROM ({ONE['overview']}) o),
+    'recent_scans': {rows_of('recent_scans', 'scan_id scanned_path total_files total_size duplicates_count duplicates_size created_at', 'created_at DESC, scan_id')},
+    'category_breakdown': {rows_of('category_breakdown', 'category file_count total_size percentage', 'total_size DESC, category')},
+    'extension_stats': {rows_of('extension_stats', 'extension count total_size', 'count DESC, extension')},
+    'recent_activity': {rows_of('recent_activity', 'transaction_id type status moved_count deleted_count restored_count saved_bytes created_at',
+                                'created_at DESC, transaction_id')},
+    'top_duplicated_extensions': {rows_of('top_dup_ext', 'extension count', 'count DESC, extension')},
+    'duplicate_stats': (SELECT d FROM ({ONE['duplicate_stats']}) d)}}) AS VARCHAR) AS report"""
+FILE_FIELDS = f"""'path': file_path, 'name': file_name, 'hash': hash, 'extension': extension, 'category': category, 'size': size,
+    'createdAt': {ISO.format('file_created_at')}, 'modifiedAt': {ISO.format('file_modified_at')}, 'isDuplicate': is_duplicate, 'duplicateOf': duplicate_of"""
+ORACLE["scan_documents"] = with_(f"""{SCANS}, rn AS (SELECT r.*, f.file_created_at, f.file_modified_at, row_number() OVER (PARTITION BY scan_id ORDER BY {WALK}) AS n
+      FROM r JOIN f USING (scan_id, file_path)),
+    pg AS (SELECT scan_id, (n - 1) // 50 AS page, list({{{FILE_FIELDS}}} ORDER BY n) AS files FROM rn GROUP BY ALL),
+    cg AS (SELECT scan_id, map(list(category ORDER BY category), list({{'count': c, 'size': z}} ORDER BY category)) AS categories
+      FROM (SELECT scan_id, category, count(*) AS c, CAST(sum(size) AS BIGINT) AS z FROM r GROUP BY ALL) GROUP BY scan_id)""",
+    """SELECT scan_id, page, CAST(to_json({'scanId': scan_id, 'scannedPath': scanned_path, 'totalFiles': total_files, 'totalSize': total_size,
+    'duplicatesCount': duplicates_count, 'duplicatesSize': duplicates_size, 'categories': categories, 'page': page, 'files': files}) AS VARCHAR) AS document
+    FROM s JOIN pg USING (scan_id) JOIN cg USING (scan_id)""")
+SUMMARY_JSON = ", ".join(f"'{n}': {c}" for c, n in (
+    ("moved_count", "movedCount"), ("deleted_count", "deletedCount"), ("restored_count", "restoredCount"), ("failed_count", "failedCount"),
+    ("saved_bytes", "savedBytes"), ("total_processed", "totalProcessed")))
+ORACLE["run_documents"] = with_(f"""{COUNTERS}, pg AS (SELECT transaction_id, (seq - 1) // 4 AS page,
+      list({{'from': from_path, 'to': to_path, 'status': status, 'error': error, 'size': file_size}} ORDER BY seq) AS actions FROM a GROUP BY ALL)""",
+    f"""SELECT transaction_id, coalesce(page, 0) AS page, CAST(to_json({{'transactionId': transaction_id, 'type': type, 'status': status,
+    'targetPath': concat('/data/p', o_custkey), 'dryRun': dry_run, 'strategy': CASE WHEN type = 'dedupe' THEN 'keep-latest' END,
+    'summary': {{{SUMMARY_JSON}}}, 'page': coalesce(page, 0), 'actions': coalesce(actions, [])}}) AS VARCHAR) AS document
+    FROM ts JOIN orders ON o_orderkey = tx_key LEFT JOIN pg USING (transaction_id)""")
+
 # ---- scalar functions ----
 
 ORACLE["file_extension"] = f"""SELECT path, lower({ext_of(name_of('path'))}) AS extension FROM (SELECT DISTINCT unnest([p_name, '.' || p_name,

@@ -12,7 +12,7 @@ from checks import fixtures as fx
 from stowage import functions as sf
 from stowage.operators import clash_classes, validate_actions, validate_files, validate_transactions
 from stowage.functions.categories import CATEGORIES
-from stowage.plans import dedupe, ledger, organize, report, rollback, scan
+from stowage.plans import dedupe, documents, ledger, organize, report, rollback, scan
 from stowage.plans import rollback_batch as rollback_batch_plan
 from stowage.session import work_folder
 from stowage.sources import CatalogueStore, hash_files, list_each, list_files, partial_hash_files
@@ -91,6 +91,20 @@ def report_json(spark, sf_dir):
     return report.report_json(store.file_records(), store.scans(), fx.ledger_store(spark, sf_dir).transactions())
 
 
+@query
+def scan_documents(spark, sf_dir):
+    """In pages of 50 files."""
+    store = fx.records_store(spark, sf_dir)
+    return documents.scan_documents(store.scans(), store.file_records(), 50)
+
+
+@query
+def run_documents(spark, sf_dir):
+    """In pages of 4 steps."""
+    store = fx.ledger_store(spark, sf_dir)
+    return documents.run_documents(store.transactions(), store.actions(), 4)
+
+
 # ---- projections, filters, lookups ----
 
 RECORD_COLUMNS = ["scan_id", "file_path", "hash", "extension", "category", "size", "is_duplicate", "duplicate_of"]
@@ -217,7 +231,7 @@ def scan_summary(spark, sf_dir):
 
 @query
 def scan_categories(spark, sf_dir):
-    return scan.scan_categories(fx.manifest(spark, sf_dir))
+    return scan.categories_by_size(fx.manifest(spark, sf_dir))
 
 
 @query

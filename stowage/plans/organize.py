@@ -34,7 +34,9 @@ def organize_plan(files: DataFrame, root: Column, recursive: bool = False) -> Da
 
 
 def by_category(plan: DataFrame) -> DataFrame:
-    return plan.groupBy("scan_id", "category").agg(F.count("*").alias("files"))
+    """Planned moves per category, for each scan the largest number first."""
+    counts = plan.groupBy("scan_id", "category").agg(F.count("*").alias("files"))
+    return counts.orderBy("scan_id", F.desc("files"), "category")
 
 
 def plan_preview(plan: DataFrame, limit: int = 20) -> DataFrame:

@@ -89,10 +89,11 @@ def recent_activity(transactions: DataFrame, limit: int = 10) -> DataFrame:
     )
 
 
-def duplicate_stats(records: DataFrame, scans: DataFrame) -> DataFrame:
-    """Groups, files and wasted bytes of the newest scan, zero when there is no scan."""
+def duplicate_stats(records: DataFrame, scans: DataFrame, newest: DataFrame | None = None) -> DataFrame:
+    """Groups, files and wasted bytes of the newest scan, zero when there is no scan. ``newest`` are its records, if known."""
+    newest = _of_latest(records, scans) if newest is None else newest
     totals = one_row([
-        _of_latest(records, scans).filter("is_duplicate").agg(F.countDistinct("hash").alias("total_groups")),
+        newest.filter("is_duplicate").agg(F.countDistinct("hash").alias("total_groups")),
         latest_scan(scans).select(
             F.col("duplicates_count").alias("total_duplicate_files"), F.col("duplicates_size").alias("total_wasted_space")
         ),
@@ -100,9 +101,10 @@ def duplicate_stats(records: DataFrame, scans: DataFrame) -> DataFrame:
     return totals.select(*[default_count(c).alias(c) for c in totals.columns])
 
 
-def top_duplicated_extensions(records: DataFrame, scans: DataFrame, limit: int = 5) -> DataFrame:
+def top_duplicated_extensions(records: DataFrame, scans: DataFrame, limit: int = 5, newest: DataFrame | None = None) -> DataFrame:
+    newest = _of_latest(records, scans) if newest is None else newest
     return (
-        _of_latest(records, scans).filter("is_duplicate")
+        newest.filter("is_duplicate")
         .groupBy("extension").agg(F.count("*").alias("count"))
         .orderBy(F.desc("count"), "extension").limit(limit)
         .select(label_extension("extension").alias("extension"), "count")
@@ -122,18 +124,19 @@ def full_report(records: DataFrame, scans: DataFrame, transactions: DataFrame) -
         key = F.col(column)
         return rows.withColumn("__down", -(F.unix_micros(key.cast("timestamp")) if column == "created_at" else key))
 
+    newest = _of_latest(records, scans)
     sections = {
         "recent_scans": (falling(recent_scan_rows(scans), "created_at"), ["__down", "scan_id"]),
         "category_breakdown": (falling(category_breakdown(scans), "total_size"), ["__down", "category"]),
         "extension_stats": (falling(extension_stats(records, scans), "count"), ["__down", "extension"]),
         "recent_activity": (falling(recent_activity(transactions), "created_at"), ["__down", "transaction_id"]),
         "top_duplicated_extensions": (
-            falling(top_duplicated_extensions(records, scans), "count"), ["__down", "extension"]
+            falling(top_duplicated_extensions(records, scans, newest=newest), "count"), ["__down", "extension"]
         ),
     }
     parts = [overview(records, scans, transactions).select(F.struct("*").alias("overview"))]
     parts += [_document(rows, name, order) for name, (rows, order) in sections.items()]
-    parts.append(duplicate_stats(records, scans).select(F.struct("*").alias("duplicate_stats")))
+    parts.append(duplicate_stats(records, scans, newest).select(F.struct("*").alias("duplicate_stats")))
     return one_row(parts)
 
 

@@ -89,6 +89,11 @@ def scan_categories(files: DataFrame) -> DataFrame:
     )
 
 
+def categories_by_size(files: DataFrame) -> DataFrame:
+    """The categories of each scan, the largest first."""
+    return scan_categories(files).orderBy("scan_id", F.desc("size"), "category")
+
+
 def scan_rows(records: DataFrame, paths: DataFrame, at: Column) -> DataFrame:
     """Scan headers: totals plus the map of categories. ``paths`` has scan_id and scanned_path."""
     entry = F.struct(F.col("count"), F.col("size"))

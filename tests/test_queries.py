@@ -12,7 +12,7 @@ from checks.compare import TABLES, normal
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
-NO_SQL = {"report_json"}
+NO_SQL = set()
 
 
 @pytest.fixture(scope="module")
