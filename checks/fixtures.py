@@ -12,7 +12,7 @@ import os
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import action_id
@@ -176,6 +176,31 @@ def present_paths(actions: DataFrame) -> DataFrame:
     return moved.union(actions.filter("seq % 6 = 0").select("from_path")).distinct()
 
 
+def four_runs(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Transactions and actions that move, delete, restore and move again parts of the scanned files, by their size."""
+    n, path = F.col("size") % 1155, F.col("file_path")
+    first = F.when(n % 3 == 0, F.concat(path, F.lit(".m1"))).otherwise(path)
+    bin_ = F.when(n % 2 == 0, "").otherwise(F.concat(F.lit("/t"), first))
+    back = (n % 5 != 0) | (n % 4 == 1)
+    runs = [
+        ("run1", "organize", "move", n % 3 == 0, path, F.concat(path, F.lit(".m1")), F.lit("completed"), F.lit(None)),
+        ("run2", "dedupe", "delete", n % 5 == 0, first, bin_, F.lit("completed"), F.lit(None)),
+        ("run3", "rollback", "restore", n % 5 == 0, F.when(bin_ == "", first).otherwise(bin_), first, F.lit("completed"),
+         F.when((n % 4 == 1), "restored").otherwise("skipped")),
+        ("run4", "organize", "move", back & (n % 7 == 0), first, F.concat(first, F.lit(".m4")), F.when(n % 11 == 0, "failed").otherwise("completed"), F.lit(None)),
+    ]
+    rows = None
+    for run, _, kind, which, source, to, status, outcome in runs:
+        part = records.filter(which).select(
+            F.lit(run).alias("transaction_id"), F.row_number().over(Window.partitionBy("scan_id").orderBy("file_path")).cast("bigint").alias("seq"),
+            F.lit(kind).alias("type"), source.alias("from_path"), to.alias("to_path"), status.alias("status"), outcome.cast("string").alias("outcome"))
+        rows = part if rows is None else rows.unionByName(part)
+    heads = records.sparkSession.createDataFrame(
+        [(r[0], r[1], False, RUN_AT + datetime.timedelta(days=i)) for i, r in enumerate(runs, 1)],
+        "transaction_id string, type string, dry_run boolean, created_at timestamp_ntz")
+    return heads, rows
+
+
 SHELF = "array('a.txt', 'a_1.txt', 'b', 'b_2', 'c.x', 'd')"
 
 

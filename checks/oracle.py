@@ -416,6 +416,11 @@ ORACLE["report_recent_scans"] = with_(SCANS, "SELECT * FROM s ORDER BY created_a
 ORACLE["report_recent_activity"] = with_(COUNTERS, f"""SELECT transaction_id, type, status, moved_count, deleted_count, restored_count,
     saved_bytes, created_at FROM ts {NEWEST} LIMIT 10""")
 
+ORACLE["catalogue_current"] = with_(f"""{FLAGGED}, c0 AS (SELECT *, size % 1155 AS n,
+    CASE WHEN size % 1155 % 3 = 0 THEN file_path || '.m1' ELSE file_path END AS p1 FROM r),
+  c1 AS (SELECT *, n % 5 = 0 AND NOT (n % 2 <> 0 AND n % 4 = 1) AS gone,
+    CASE WHEN n % 7 = 0 AND n % 11 <> 0 THEN p1 || '.m4' ELSE p1 END AS now FROM c0)""",
+    f"SELECT scan_id, now AS file_path, {name_of('now')} AS file_name, original_path FROM c1 WHERE NOT gone")
 ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S.%g')"
 
 

@@ -91,6 +91,14 @@ def report_json(spark, sf_dir):
     return report.report_json(store.file_records(), store.scans(), fx.ledger_store(spark, sf_dir).transactions())
 
 
+@query
+def catalogue_current(spark, sf_dir):
+    """The files of all scans as four runs have left them."""
+    records = fx.records_store(spark, sf_dir).file_records()
+    heads, steps = fx.four_runs(records)
+    return ledger.current_files(records, steps, heads).select("scan_id", "file_path", "file_name", "original_path")
+
+
 @query
 def scan_documents(spark, sf_dir):
     """In pages of 50 files."""

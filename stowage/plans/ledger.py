@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stowage.functions.paths import basename
 from stowage.operators.skew import HOT_ROWS, lookup
-from stowage.session import cut_lineage
+from stowage.session import cut_lineage, discard
 
 # Error codes of the file system and their texts.
 ERROR_TEXTS = {"EACCES": "Permission denied", "EBUSY": "File is locked/busy", "ENOENT": "File not found"}
@@ -195,6 +195,7 @@ def current_files(records: DataFrame, actions: DataFrame, transactions: DataFram
     files = cut_lineage(files.drop("now", "gone", "done"), "files")
     left = paths
     settled = None
+    written = [steps, paths]
     while not left.isEmpty():
         found = left.join(steps, "now", "left").filter("step IS NULL OR step > done")
         nxt = found.groupBy("uid").agg(F.min(F.struct("step", "to_path", "type")).alias("s"), F.count("step").alias("n")).filter("n > 0")
@@ -204,9 +205,12 @@ def current_files(records: DataFrame, actions: DataFrame, transactions: DataFram
             F.col("s.step").alias("done")), "moved")
         stay = left.join(moved.select("uid"), "uid", "left_anti").select("uid", "now", "gone")
         settled = stay if settled is None else settled.union(stay)
-        left = moved
+        # Nothing follows a deletion for good; the blank path of all of them is never joined.
+        left = moved.filter("NOT gone OR now <> ''")
+        written.append(moved)
     if settled is None:
         return records
     kept = cut_lineage(settled.filter("NOT gone"), "kept")
+    discard(*written)
     there = files.join(kept, "uid").withColumn("file_path", F.col("now")).withColumn("file_name", basename("now"))
     return there.select(*columns)
