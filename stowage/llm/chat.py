@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from decimal import Decimal
+from math import isfinite
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,19 +20,51 @@ _TYPES = {
 CALL = "struct<call_no:int,id:string,name:string,error:string,after:array<string>>"
 
 
+def _number(value: float) -> str:
+    """The shortest digits that give the double back, laid out as in JavaScript."""
+    if value == 0:
+        return "0"
+    sign, digits, exponent = Decimal(repr(value)).as_tuple()
+    text = "".join(map(str, digits)).rstrip("0")
+    point = len(digits) + exponent  # place of the decimal point after the first digit's place
+    if len(text) <= point <= 21:
+        out = text + "0" * (point - len(text))
+    elif 0 < point <= 21:
+        out = f"{text[:point]}.{text[point:]}"
+    elif -6 < point <= 0:
+        out = "0." + "0" * -point + text
+    else:
+        out = text[0] + (f".{text[1:]}" if len(text) > 1 else "") + f"e{point - 1:+d}"
+    return ("-" if sign else "") + out
+
+
 def canonical(value) -> str:
-    """One spelling for equal values: keys sorted, no blanks, letters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """JSON as RFC 8785 spells it: keys by UTF-16 units, no blanks, letters as they are, doubles in their shortest form, so 1.0 is 1 and
+    -0.0 is 0. Integers keep all their digits, also those that a double cannot hold."""
+    if isinstance(value, dict):
+        keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
+        return "{" + ",".join(f"{canonical(k)}:{canonical(value[k])}" for k in keys) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(canonical, value)) + "]"
+    return _number(value) if isinstance(value, float) else json.dumps(value, ensure_ascii=False)
+
+
+def _is(value, kind: str) -> bool:
+    """Whether a value is of a JSON type; 1.0 is an integer, true is no number."""
+    if kind == "integer" and isinstance(value, float):
+        return value.is_integer()
+    return isinstance(value, _TYPES[kind]) and not (isinstance(value, bool) and kind in ("integer", "number"))
 
 
 def violation(value, schema: dict, at: str = "arguments") -> str | None:
     """The first way in which a value breaks a schema; None when it keeps it.
 
-    Understands type, enum, properties, required, additionalProperties (false) and items.
+    Understands type (one or a list), enum, properties, required, additionalProperties (false) and items.
     """
-    kind = schema.get("type")
-    if kind and (not isinstance(value, _TYPES[kind]) or isinstance(value, bool) and kind in ("integer", "number")):
-        return f"{at} is not of type {kind}"
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_is(value, k) for k in kinds):
+        return f"{at} is not of type {' or '.join(kinds)}"
     if "enum" in schema and value not in schema["enum"]:
         return f"{at} is none of the values allowed"
     if isinstance(value, dict):
@@ -55,8 +89,16 @@ def _refuse(name: str):
     raise ValueError(name)
 
 
+def _double(text: str) -> float:
+    value = float(text)
+    return value if isfinite(value) else _refuse(text)
+
+
 def _parse(text: str):
-    return json.loads(text, parse_constant=_refuse)
+    """The JSON value. Numbers beyond a double, lone surrogates and values nested too deeply to be written again are refused."""
+    value = json.loads(text, parse_constant=_refuse, parse_float=_double)
+    canonical([[[[value]]]]).encode()
+    return value
 
 
 def read_message(role: str | None, text: str | None, calls: str | None, call_id: str | None, tools: dict[str, dict]) -> tuple[str, list[tuple], str | None]:

@@ -20,6 +20,14 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def free_name(rows: DataFrame, name: str) -> str:
+    """A column name that the table does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in rows.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def fingerprint_of(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
     return int(row[0]), int(row[1])

@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.common import whole_text
@@ -160,7 +160,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
     return reduce(DataFrame.union, map(one_pass, range(blocks)))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The documents in which no item is found, all columns as they are."""
-    gone = contaminated(docs, benchmark, **settings).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, text: str = "text", block_chars: int = BLOCK_CHARS
+) -> DataFrame:
+    """The documents in which no item is found, all columns as they are. Each row is judged by its own text, whatever its id; documents
+    are neither shuffled nor joined."""
+    texts = benchmark.select("text").filter("text IS NOT NULL").distinct()
+    total = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_chars))
+
+    def clean(block: int) -> Column:
+        part = texts.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()  # about ``block_chars``, each text once
+        items = Items([(i, r["text"]) for i, r in enumerate(part)], error_rate)
+
+        @F.pandas_udf("boolean")
+        def none_in(found: pd.Series) -> pd.Series:
+            return pd.Series([not items.matches(t) for t in found], dtype=bool)
+
+        return none_in(whole_text(text))
+
+    return reduce(DataFrame.filter, map(clean, range(blocks)), docs)

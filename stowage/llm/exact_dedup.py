@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import BLANKS, whole_text
+from stowage.llm.common import BLANKS, free_name, whole_text
 from stowage.session import cut_lineage
 
 SLOTS = 4
@@ -196,6 +196,8 @@ def exact_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stay, all columns as they are. Repeated rows of the id that stays are kept."""
-    gone = exact_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_digest() == F.col("__sha"))
-    return docs.join(gone.distinct(), same, "left_anti")
+    gone = exact_duplicates(docs).filter("NOT kept").select("doc_id", "text_sha256").distinct()
+    id_, sha = (free_name(docs, n) for n in ("id", "sha"))
+    gone = gone.select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (text_digest() == F.col(sha))
+    return docs.join(gone, same, "left_anti")

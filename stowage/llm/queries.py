@@ -58,18 +58,21 @@ TOOLS = {
 def with_tools(conversations: DataFrame) -> DataFrame:
     """The conversations with tool traffic derived from them, as the given ones have none.
 
-    Each assistant turn calls a tool with words of its own text: every seventh with a limit of the wrong type, every eleventh
-    of a tool that does not exist; turns that leave 3 modulo 4 wait for the call two turns before. The tool answers with the length of the
+    Each assistant turn calls a tool with its whole text: every seventh with a limit of the wrong type, every eleventh
+    of a tool that does not exist. Of eight turns, turn 1 waits for the call of turn 3, that for the one of turn 5, and turn 7 too; in each
+    nineteenth conversation turns 1 and 3 wait for each other. The tool answers with the length of the
     text, but not in each thirteenth conversation; each seventeenth has an answer to no call.
     """
     rows = conversations.select("conv_id", "turn", "role", "text")
     name = F.when(F.col("turn") % 11 == 10, "search").when(F.col("turn") % 2 == 1, "lookup").otherwise("measure")
-    word = F.substring(F.coalesce("text", F.lit("")), 1, 40)
+    word = F.coalesce("text", F.lit(""))
     key = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
     arguments = F.when(name == "measure", F.to_json(F.struct(word.alias("text"), F.lit("char").alias("unit")))).when(
         F.col("turn") % 7 == 5, F.to_json(F.struct(word.alias("query"), F.lit("3").alias("limit")))
     ).otherwise(F.to_json(F.struct(word.alias("query"), (F.col("turn") % 5).cast("int").alias("limit"))))
-    after = F.when(F.col("turn") % 4 == 3, F.array(key(F.col("turn") - 2))).otherwise(F.array().cast("array<string>"))
+    turn, ring = F.col("turn") % 8, F.coalesce("conv_id", F.lit(1)) % 19 == 0
+    waits = F.when((turn == 1) | (turn == 3) & ~ring, F.col("turn") + 2).when((turn == 7) | (turn == 3), F.col("turn") - 2)
+    after = F.when(waits.isNotNull(), F.array(key(waits))).otherwise(F.array().cast("array<string>"))
     calls = F.to_json(F.array(F.struct(key(F.col("turn")).alias("id"), name.alias("name"), arguments.alias("arguments"), after.alias("after"))))
     asks = F.col("role") == "assistant"
     said = rows.select("conv_id", "turn", "role", "text", F.when(asks, calls).alias("tool_calls"), F.lit(None).cast("string").alias("tool_call_id"))

@@ -368,14 +368,18 @@ def similar_documents(
     docs: DataFrame, words: int, size: int, radius: int, similarity: float, text: str = "text", bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """One row (node, component) per id that is linked with another: ids are linked if the distinct shingles of their texts have
-    the Jaccard similarity; a component is named by its smallest id. Rows without doc_id are left out.
+    the Jaccard similarity; a component is named by its smallest id. Rows without doc_id are left out, as are ids that name
+    several texts of different shingles.
 
     Pairs whose fingerprints are within the radius and share a bucket are candidates, and every link is verified on the
     texts. First the nearest candidates of each id are; then all others whose ends are not yet in one component:
     a group that the nearest links join costs little, but one of many candidates below the similarity is listed pair by pair.
     """
     docs = docs.filter("doc_id IS NOT NULL")
-    rows = cut_lineage(docs.select("doc_id", sketches(whole_text(text), words, size).alias("s")).select("doc_id", "s.*"), "sketches")
+    sketched = cut_lineage(docs.select("doc_id", sketches(whole_text(text), words, size).alias("s")).select("doc_id", "s.*"), "sketches")
+    print_ = F.xxhash64("digest")
+    several = sketched.groupBy("doc_id").agg(F.min(print_).alias("low"), F.max(print_).alias("high")).filter("low < high")
+    rows = sketched.join(several.select("doc_id"), "doc_id", "left_anti")
     first = rows.groupBy("digest").agg(F.min("doc_id").cast("bigint").alias("node"), F.min("fp").alias("fp"), F.min("n").alias("n"))
     reps = cut_lineage(first, "representatives")
     same = rows.join(reps.select("digest", "node"), "digest").filter("doc_id <> node").select(F.col("doc_id").cast("bigint").alias("a"), F.col("node").alias("b"))
@@ -403,14 +407,14 @@ def similar_documents(
     more = verified(rest)
     edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more).union(same)
     out = cut_lineage(components(edges), "components")
-    for table in (keyed, tried, rest, links, more, parts, labelled, reps, rows):
+    for table in (keyed, tried, rest, links, more, parts, labelled, reps, sketched):
         discard(table)
     return out
 
 
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
-    """The documents that stay, all columns as they are: the smallest doc_id of each group. Documents without a word and
-    rows without doc_id say nothing about likeness and stay."""
+    """The documents that stay, all columns as they are: the smallest doc_id of each group. Documents without a word,
+    rows without doc_id and rows whose id names several different texts say nothing about likeness and stay."""
     groups = similar_documents(docs.filter(F.trim(F.regexp_replace(whole_text(), r"[\x09-\x0D]", " ")) != ""), **{**STAGE, **settings})
     gone = groups.filter("node <> component").select(F.col("node").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti")

@@ -23,6 +23,7 @@ DATE = "1970-01-01T00:00:00Z"
 END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 TYPES = {"warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation"}
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -82,6 +83,12 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_B
         .write.partitionBy("part").option("lineSep", END.decode()).text(folder)
     )
 
+MAGIC = b"\x1f\x8b\x08"
+#: Where a member or a record may start.
+START = re.compile(re.escape(MAGIC) + b"|" + VERSION.pattern)
+#: Members are unzipped by pieces of so many bytes.
+PIECE = 1 << 16
+
 
 @dataclass
 class Gap:
@@ -109,8 +116,10 @@ def parse_record(data: bytes, at: int) -> Record | str:
     if not VERSION.match(data, at):
         return "no version line"
     head_end = data.find(END, at)
-    if head_end < 0:
+    if head_end < 0 or VERSION.search(data, at + 1, head_end):
         return "headers do not end"
+    if CONTROL.search(data, at, head_end):
+        return "bad header line"
     headers = {}
     for line in data[at:head_end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
@@ -135,65 +144,74 @@ def parse_record(data: bytes, at: int) -> Record | str:
     return found
 
 
-def salvage_plain(data: bytes) -> Iterator[Record | Gap]:
-    """Records of an uncompressed archive in order. After a failed check the next version line that starts a valid record
-    is looked for; the bytes up to it are a gap."""
-    at = 0
-    while at < len(data):
-        found = parse_record(data, at)
-        if isinstance(found, str):
-            start, reason = at, found
-            while isinstance(found, str):
-                line = VERSION.search(data, at + 1)
-                if line is None:
-                    yield Gap(start, len(data), reason)
-                    return
-                at = line.start()
-                found = parse_record(data, at)
-            yield Gap(start, at, reason)
-        yield found
-        at = found.end
-
-
-def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
-    """Content and end of the gzip member at an offset, or why there is none."""
-    if data[at:at + 3] != b"\x1f\x8b\x08":
-        return "no member header"
-    unzip = zlib.decompressobj(31)
-    try:
-        out = unzip.decompress(data[at:]) + unzip.flush()
-    except zlib.error as error:
-        return f"bad member: {error}"
-    return (out, len(data) - len(unzip.unused_data)) if unzip.eof else "member cut short"
-
-
-def salvage_members(data: bytes) -> Iterator[Record | Gap]:
-    """The same for an archive of gzip members; offsets are those of the members."""
+def _unzipped(data: memoryview, at: int) -> tuple[bytes, int | None, str]:
+    """Content of the gzip member at an offset, its end, and what is wrong with it. A failed member has no end, but what came out
+    of it before the failure is kept."""
+    unzip, out, start = zlib.decompressobj(31), [], at
+    while not unzip.eof:
+        piece = data[at:at + PIECE]
+        if not len(piece):
+            return b"".join(out), None, "member cut short"
+        before = unzip.copy()
+        try:
+            out.append(unzip.decompress(piece))
+        except zlib.error as error:
+            for i in range(len(piece)):  # again byte by byte, up to the one that fails
+                try:
+                    out.append(before.decompress(piece[i:i + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), None, f"bad member: {error}"
+        at += len(piece)
+    return b"".join(out), max(start + 1, at - len(unzip.unused_data)), ""
+
+
+def _found(data: bytes, at: int) -> tuple[list[Record | Gap], int | None, str]:
+    """What starts at an offset, where it ends if it is whole, and what is wrong with it."""
+    if data[at:at + len(MAGIC)] != MAGIC:
+        record = parse_record(data, at)
+        return ([], None, record) if isinstance(record, str) else ([record], record.end, "")
+    content, end, fault = _unzipped(memoryview(data), at)
+    parts = list(salvage(content))
+    if end is None:
+        # They lie at the start of the member and account for none of its bytes.
+        return [Record(at, at, p.headers, p.block) for p in parts if isinstance(p, Record)], None, fault
+    if not any(isinstance(p, Record) for p in parts) and content:
+        return [], None, "member without a record"
+    return [Gap(at, end, p.reason) if isinstance(p, Gap) else Record(at, end, p.headers, p.block) for p in parts], end, ""
+
+
+def salvage(data: bytes) -> Iterator[Record | Gap]:
+    """Records in order, of an archive that is plain, made of gzip members, or both.
+
+    After a failed check the search goes on at the nearer of the next member and the next version line, until one of
+    them is whole; the bytes up to it are a gap. A member that fails late still gives the records that came out of it, and a member may
+    hold several. Offsets of records in members are those of the member.
+    """
     at = 0
     while at < len(data):
-        found, start, reason = _member(data, at), at, ""
-        while isinstance(found, str):
-            reason = reason or found
-            at = data.find(b"\x1f\x8b\x08", at + 1)
-            if at < 0:
+        parts, end, reason = _found(data, at)
+        yield from parts
+        if end is not None:
+            at = end
+            continue
+        start = at
+        while end is None:
+            mark = START.search(data, at + 1)
+            if mark is None:
                 yield Gap(start, len(data), reason)
                 return
-            found = _member(data, at)
-        if at > start:
-            yield Gap(start, at, reason)
-        content, end = found
-        for part in salvage_plain(content):
-            if isinstance(part, Gap):
-                yield Gap(at, end, part.reason)
-            else:
-                yield Record(at, end, part.headers, part.block)
+            at = mark.start()
+            parts, end, fault = _found(data, at)
+            if parts and end is None:  # the gap so far, then what this member has given up
+                yield Gap(start, at, reason)
+                start, reason = at, fault
+                yield from parts
+        yield Gap(start, at, reason)
+        yield from parts
         at = end
 
 
-def salvage(data: bytes) -> Iterator[Record | Gap]:
-    return salvage_members(data) if data[:2] == b"\x1f\x8b" else salvage_plain(data)
-
-
 ROWS = (
     "path string, start bigint, end bigint, gap string, record_type string, record_id string, refers_to string, url string, "
     "declared_digest string, payload_bytes bigint, payload_digest string, payload binary"
@@ -241,7 +259,10 @@ def page_of(column: str):
 
 
 def archived_pages(pages: DataFrame, folder: str) -> DataFrame:
-    """Write the pages, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write the pages, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to. Damage in between is an error;
+    :func:`read_archives` is what reads damaged archives."""
     write_archives(pages, folder)
-    rows = read_archives(pages.sparkSession, folder, payloads=False).filter("gap IS NULL")
+    rows = read_archives(pages.sparkSession, folder, payloads=False)
+    lost = F.raise_error(F.concat_ws(" ", F.lit("bytes without a record:"), "path", F.col("start").cast("string"), F.col("end").cast("string"), "gap"))
+    rows = rows.filter(F.when(F.col("gap").isNotNull(), lost.cast("boolean")).otherwise(True))
     return rows.select(page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of("refers_to").alias("refers_to"))

@@ -72,3 +72,33 @@ def test_schemas():
     assert violation([], TOOLS["sum"]) == "arguments is not of type object"
     assert violation({"query": "a", "limit": True}, TOOLS["search"]) == "arguments.limit is not of type integer"
     assert canonical({"b": 1, "a": {"d": "é", "c": None}}) == '{"a":{"c":null,"d":"é"},"b":1}'
+
+
+def test_numbers_keys_and_text_are_spelled_one_way():
+    same = [1e21, 1e-7, 123456789012345680000.0, 5e-324, 1.5, -0.0, 1.0, 0.000001, 333333333.33333329, 2.0 ** 60, -1e23]
+    assert canonical(same) == "[1e+21,1e-7,123456789012345680000,5e-324,1.5,0,1,0.000001,333333333.3333333,1152921504606847000,-1e+23]"
+    assert canonical({"": 1, "\U00010000": 2, "a": [True, None, 10 ** 25]}) == '{"a":[true,null,10000000000000000000000000],"\U00010000":2,"":1}'
+    assert canonical([1, 1.0]) == "[1,1]" and json.loads(canonical({"x": 0.1})) == {"x": 0.1}
+
+
+def test_lists_of_types_and_whole_doubles():
+    schema = {"type": ["integer", "null"]}
+    assert violation(1.0, schema) is None and violation(None, schema) is None
+    assert violation("x", schema) == "arguments is not of type integer or null" and violation(True, schema)
+
+
+def test_numbers_and_text_that_json_cannot_hold_are_errors(spark):
+    deep = "[" * 3000 + "]" * 3000
+    rows = [
+        (1, 0, "assistant", "x", '[{"id":"a","name":"sum","arguments":{"of":[1e400]}}]', None),
+        (1, 1, "assistant", "x", '[{"id":"b","name":"search","arguments":{"query":"\\ud800"}}]', None),
+        (1, 2, "assistant", "x", json.dumps([{"id": "c", "name": "sum", "arguments": '{"of":[-1e999]}'}]), None),
+        (1, 3, "assistant", "x", f'[{{"id":"d","name":"sum","arguments":{deep}}}]', None),
+        (1, 4, "assistant", "x", '[{"id":"e","name":"sum","arguments":{"of":[NaN]}}]', None),
+        (1, 5, "assistant", "x", '[{"id":"f","name":"sum","arguments":{"of":[1.0,-0.0,1e2]}}]', None),
+    ]
+    found = {r[2]: r for r in chats(spark, rows)}
+    assert {t: found[t][10] for t in range(6)} == {
+        0: "calls are no JSON list of objects", 1: "calls are no JSON list of objects", 2: "arguments are no JSON",
+        3: "calls are no JSON list of objects", 4: "calls are no JSON list of objects", 5: None}
+    assert '"of":[1,0,100]' in found[5][4]

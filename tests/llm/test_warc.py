@@ -3,6 +3,9 @@ import hashlib
 import os
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from stowage.llm.warc import Gap, Record, archived_pages, gaps, read_archives, record, salvage, write_archives
 
 SCHEMA = "page_id bigint, url string, html string, digest int, first string, part int, value string"
@@ -77,7 +80,56 @@ def test_salvage_of_members():
     bad = bytearray(members[2])
     bad[len(bad) // 2] ^= 255
     ids, holes = kept(members[0] + members[1] + bytes(bad) + members[3] + b"junk" + members[4][:-9])
-    assert ids == ["<urn:page:0>", "<urn:page:1>", "<urn:page:3>"] and len(holes) == 2
+    # The last member lacks its end, but its record is whole.
+    assert ids == ["<urn:page:0>", "<urn:page:1>", "<urn:page:3>", "<urn:page:4>"] and len(holes) == 3
+
+
+def test_salvage_after_damage_at_the_start():
+    members = [gzip.compress(p) for p in archive(5)]
+    every = [f"<urn:page:{i}>" for i in range(5)]
+    ids, holes = kept(b"\x00" + b"".join(members)[1:])
+    assert ids == every[1:] and len(holes) == 1 and holes[0].start == 0
+    ids, holes = kept(b"junk" + b"".join(members))
+    assert ids == every and holes == [Gap(0, 4, "no version line")]
+
+
+def test_salvage_of_mixed_archives():
+    plain = archive(6)
+    parts = [gzip.compress(p) if i % 2 else p for i, p in enumerate(plain)]
+    every = [f"<urn:page:{i}>" for i in range(6)]
+    assert kept(b"".join(parts)) == (every, [])
+    parts[2] = parts[2][:40]
+    parts[3] = parts[3][:20] + b"\xff\xff" + parts[3][22:]
+    ids, holes = kept(b"".join(parts))
+    assert ids == every[:2] + every[4:] and len(holes) >= 1
+
+
+def test_a_member_gives_up_what_came_before_its_failure():
+    plain = archive(5)
+    every = [f"<urn:page:{i}>" for i in range(5)]
+    three = bytearray(gzip.compress(b"".join(plain[1:4])))
+    three[-6] ^= 255  # the checksum
+    ids, holes = kept(gzip.compress(plain[0]) + bytes(three) + gzip.compress(plain[4]))
+    assert ids == every and len(holes) == 1
+    rng = random.Random(1)
+    noise = bytes(rng.randrange(33, 127) for _ in range(200_000)).decode()
+    long = record(9, "u", noise, hashlib.sha256(noise.encode()).hexdigest(), None).encode() + b"\r\n\r\n"
+    member = bytearray(gzip.compress(plain[0] + plain[1] + long + plain[2]))
+    assert kept(bytes(member[:len(member) * 2 // 3]) + plain[4])[0] == [every[0], every[1], every[4]]
+    member[len(member) * 2 // 3] ^= 255  # may spoil the long record alone
+    ids, holes = kept(bytes(member) + plain[4])
+    assert set(ids) in ({every[0], every[1], every[4]}, {every[0], every[1], every[2], every[4]}) and len(holes) == 1
+    parts = salvage(gzip.compress(b"".join(plain)[:-9]) + plain[0])  # records of one member share its place
+    assert [p.headers["warc-record-id"] for p in parts if isinstance(p, Record)] == every[:4] + every[:1]
+
+
+def test_pages_lost_in_between_are_an_error(spark, tmp_path, monkeypatch):
+    from stowage.llm import warc
+
+    plain = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda *a, **k: plain(*a, **k).withColumn("gap", F.when(F.rand(1) < 2, "cut short")))
+    with pytest.raises(Exception, match="bytes without a record"):
+        archived_pages(spark.createDataFrame(pages(), "page_id bigint, url string, html string"), str(tmp_path / "a")).collect()
 
 
 def test_random_damage_never_invents_records():
