@@ -140,8 +140,8 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     Bounded samples only: documents with the smallest hashes of their ids, ``TOXIC_DOCS`` and ``ORDINARY_DOCS`` of them with
     ``DOC_WINDOWS`` windows of ``TRAIN_CHARS`` characters from anywhere in the text, and ``CALIBRATION_DOCS`` whole ones of both
     classes. They are chosen from the labels alone and sent to the documents, whose texts are not shuffled. Labels other than 0
-    and 1 and rows without id are left out; a doc_id labelled both ways counts both ways, one that names several
-    documents stands for all of them. Without samples of both classes the model scores every text 0.
+    and 1 and rows without id are left out; a doc_id labelled both ways counts both ways, of an id that names
+    several documents one row counts, the least, so that ids bound what is collected. Without samples of both classes the model scores every text 0.
     """
     marks = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").filter(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     first = lambda rows, n, use: rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(n).withColumn("use", F.lit(use))
@@ -153,20 +153,23 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     texts = docs.select("doc_id", whole_text().alias("text"))
     picked = lambda use: texts.join(F.broadcast(chosen.filter(F.col("__use") == use)), F.col("doc_id") == F.col("__id"))
     count = F.greatest(F.ceil(F.length("text") / TRAIN_CHARS), F.lit(1))
-    places = F.explode(F.expr(f"transform(sequence(1, {DOC_WINDOWS}), i -> xxhash64(doc_id, i))"))
+    places = F.posexplode(F.expr(f"transform(sequence(1, {DOC_WINDOWS}), i -> xxhash64(doc_id, i))"))
     windows = (
-        picked("words").filter("text <> ''").select("__toxic", "text", count.alias("n"), places.alias("at"))
-        .select("__toxic", F.substring("text", (F.pmod("at", "n") * TRAIN_CHARS + 1).cast("int"), F.lit(TRAIN_CHARS)).alias("w"))
+        picked("words").filter("text <> ''").select("__id", "__toxic", "text", count.alias("n"), places.alias("i", "at"))
+        .select("__id", "__toxic", "i", F.substring("text", (F.pmod("at", "n") * TRAIN_CHARS + 1).cast("int"), F.lit(TRAIN_CHARS)).alias("w"))
+        .groupBy("__id", "__toxic", "i").agg(F.min("w").alias("w")).select("__toxic", "w")
     )
     sample: tuple[set[bytes], set[bytes]] = (set(), set())
-    for r in windows.collect():  # at most DOC_WINDOWS for each chosen document
+    for r in windows.collect():  # at most DOC_WINDOWS for each chosen id
         sample[r[0]].add(r.w.lower().encode("utf-8", "surrogatepass"))
     if not sample[0] or not sample[1]:
         return ToxicModel(b"", b"")
     ordinary, toxic = sorted(sample[0]), sorted(sample[1])
     model = ToxicModel(_ordinary_dictionary(ordinary), _toxic_dictionary(toxic, ordinary))
-    known = picked("fit").select("__toxic", _features(model, F.col("text")).alias("x")).collect()
-    x, y = np.array([r.x for r in known]), np.array([r[0] for r in known], float)
+    fit = picked("fit").select("__id", "__toxic", _features(model, F.col("text")).alias("x"))
+    known = fit.groupBy("__id", "__toxic").agg(F.min("x").alias("x")).collect()  # one for each chosen id
+    known.sort(key=lambda r: (r["__toxic"], r["x"]))  # sums of doubles depend on the order
+    x, y = np.array([r["x"] for r in known]), np.array([r["__toxic"] for r in known], float)
     if not 0 < y.sum() < len(y):
         return ToxicModel(b"", b"")
     mean, scale, weights = _fit(x, y)

@@ -67,3 +67,12 @@ def test_windows_cover_the_whole_text():
         assert max(s + WINDOW for s in starts) >= n
     tail, other = "an the " * 300 + "so vilekrag zumpfh", b"krobbish vilekrag zumpfh vilekrag zumpfh krobbish "
     assert features(tail, b"an the ed tion " * 20, other)[2] > features(tail[:-18], b"an the ed tion " * 20, other)[2]
+
+
+def test_an_id_on_many_rows_counts_once(spark):
+    """What reaches the driver is bounded by ids, however many rows they name; nothing changes for ids of one row."""
+    rows = [(i, f"plain words {i} about the weather and the sea " * 4 + ("vile scum moron " * 6 if i % 3 == 0 else "")) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    one = train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    many = spark.createDataFrame(rows + rows[1:2] * 500 + rows[3:4] * 500, "doc_id long, text string").repartition(5)
+    assert train(many, labels) == one and one.weights
