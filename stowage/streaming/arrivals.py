@@ -10,42 +10,25 @@ from stowage.functions.paths import order_key
 from stowage.operators.keepone import GROUP
 from stowage.operators.skew import HOT_ROWS, lookup
 from stowage.session import cut_lineage, discard
+from stowage.streaming.batchlog import MERGE_EVERY, BatchLog
 
-#: After so many batches their heads are merged into one table.
-MERGE_EVERY = 64
 HEADS = "scan_id string, hash string, original string"
 ROWS = "scan_id string, hash string, file_path string, size bigint, arrived_at timestamp_ntz, is_duplicate boolean, duplicate_of string"
 
 
-class ArrivalLog:
+class ArrivalLog(BatchLog):
     """Tables below one shared folder: the rows of each batch with their originals, and the heads, one row per content.
 
-    A batch writes the heads of new content first and its rows last, each in a folder of its own that appears when
-    it is complete. A batch that is handed in again after a crash reads only the heads of the batches before it, so it writes
-    the same; if its rows are there already, nothing is done.
+    A batch writes the heads of new content first and its rows last. Handed in again, it does nothing if its rows are there.
     """
 
     def __init__(self, spark: SparkSession, folder: str, hot_rows: int = HOT_ROWS, merge_every: int = MERGE_EVERY):
-        self.spark, self.folder, self.hot_rows, self.merge_every = spark, folder.rstrip("/"), hot_rows, merge_every
-
-    def _written(self, kind: str) -> list[int]:
-        """Numbers of the complete folders ``<folder>/<kind>/<number>``."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}/*/_SUCCESS")
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
-        return sorted(int(s.getPath().getParent().getName()) for s in found)
-
-    def _read(self, kind: str, numbers: list[int], schema: str) -> DataFrame:
-        folders = [f"{self.folder}/{kind}/{n}" for n in numbers]
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
-
-    def _write(self, rows: DataFrame, kind: str, number: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{kind}/{number}")
+        super().__init__(spark, folder, merge_every)
+        self.hot_rows = hot_rows
 
     def heads(self, before: int) -> DataFrame:
         """Originals known before a batch: the newest merged table and the heads of the batches since."""
-        merged = max((n for n in self._written("merged") if n < before), default=-1)
-        since = [n for n in self._written("heads") if merged < n < before]
-        return self._read("merged", [merged] if merged >= 0 else [], HEADS).union(self._read("heads", since, HEADS))
+        return self._since_merge("merged", "heads", before, HEADS)
 
     def add(self, batch: DataFrame, number: int) -> None:
         """One batch. The group sizes matter nowhere: first rows are found by a combining aggregate, and the join to
@@ -63,7 +46,7 @@ class ArrivalLog:
         copy = F.col("original") != F.col("file_path")
         self._write(found.withColumn("is_duplicate", copy).withColumn("duplicate_of", F.when(copy, F.col("original"))).drop("original"), "rows", number)
         discard(rows, batch_heads)
-        if number % self.merge_every == self.merge_every - 1:
+        if self._merges(number):
             self._write(self.heads(number + 1), "merged", number)
 
     def rows(self) -> DataFrame:
