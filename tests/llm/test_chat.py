@@ -1,6 +1,8 @@
 import json
 
-from stowage.llm.chat import canonical, format_chats, violation
+from stowage.llm.chat import canonical, format_chats, read_message, violation
+from stowage.llm.queries import TOOLS as QUERY_TOOLS
+from stowage.llm.queries import op10_chat, with_tools
 
 TOOLS = {
     "search": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query"], "additionalProperties": False},
@@ -102,3 +104,48 @@ def test_numbers_and_text_that_json_cannot_hold_are_errors(spark):
         0: "calls are no JSON list of objects", 1: "calls are no JSON list of objects", 2: "arguments are no JSON",
         3: "calls are no JSON list of objects", 4: "calls are no JSON list of objects", 5: None}
     assert '"of":[1,0,100]' in found[5][4]
+
+
+def plain_chats(rows):
+    """The order of each conversation, one message after another. Ids are used once, and a turn has one call and one result at most."""
+    out = []
+    for conv in {r[0] for r in rows}:
+        found = []
+        for _, turn, role, text, calls, call_id in (r for r in rows if r[0] == conv):
+            text_json, listed, error = read_message(role, text, calls, call_id, QUERY_TOOLS)
+            found.append({"turn": turn, "role": role, "json": text_json, "calls": listed, "error": error, "answers": call_id if role == "tool" else None})
+        callers = {c[1]: m for m in found for c in m["calls"]}
+        answers = {m["answers"]: m for m in found if m["answers"] in callers}
+        waits = {id(m): [callers[a] for c in m["calls"] for a in c[4] if a in callers and callers[a] is not m] for m in found}
+        level = {id(m): (m["turn"], 0) for m in found if not waits[id(m)]}
+        step = 0
+        while True:
+            step += 1
+            ready = {id(m): (max([m["turn"], *(level[id(w)][0] for w in waits[id(m)])]), step)
+                     for m in found if id(m) not in level and all(id(w) in level for w in waits[id(m)])}
+            if not ready:
+                break
+            level.update(ready)
+
+        def place(m):
+            call = callers.get(m["answers"]) if m["role"] == "tool" else None
+            at = call or m
+            return (*level.get(id(at), (at["turn"], 0)), at["turn"], 1 if call or m["calls"] else 0, 1 if call else 0, m["role"], m["json"])
+
+        for position, m in enumerate(sorted(found, key=place), 1):
+            call = callers.get(m["answers"]) if m["role"] == "tool" else None
+            status = ("ring" if id(m) not in level else "call" if m["calls"] else "result" if call else "orphan" if m["role"] == "tool" else "plain")
+            error = m["error"] or next((c[3] for c in m["calls"] if c[3]), None)
+            out.append((conv, position, m["turn"], m["role"], m["json"], len(m["calls"]), sum(c[3] is None for c in m["calls"]),
+                        sum(c[1] in answers for c in m["calls"]), call and call["turn"], status, error))
+    return sorted(out, key=repr)
+
+
+def test_registered_query_equals_a_plain_model(spark):
+    folder = "/root/testdata/sf0.01"
+    got = sorted(map(tuple, op10_chat(spark, folder).collect()), key=repr)
+    want = plain_chats([tuple(r) for r in with_tools(spark.read.parquet(f"{folder}/conversations.parquet")).collect()])
+    assert got == want
+    # Messages move forward, some wait for each other, and whole texts are in the calls.
+    in_order = [g[2] for g in sorted(got, key=lambda g: (g[0], g[1]))]
+    assert in_order != sorted(in_order) and {g[9] for g in got} == {"plain", "call", "result", "orphan", "ring"} and max(len(g[4]) for g in got) > 2000
