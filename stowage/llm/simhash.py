@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 from itertools import repeat
+from math import erf, log
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,10 @@ PAIR_ROWS = 32
 #: Long fingerprints: tables of so many random bits each. Two that differ in d of n bits meet with probability
 #: 1 - (1 - C(n - d, KEY_BITS) / C(n, KEY_BITS)) ** TABLES.
 TABLES, KEY_BITS = 128, 20
-#: So many of its nearest candidates of each document are verified before all that lie between two components.
-NEAREST = 4
+#: Correlation of the votes on a bit at a Jaccard similarity of 0.8, by which the tables of a row are chosen.
+SAME_BIT = 0.889
+#: Candidates of one component are verified together in tasks of at most about this many shingle hashes.
+GROUP_SHINGLES = 1 << 21
 CHUNK = 1 << 15
 
 
@@ -48,6 +51,10 @@ def _shingles(text: str | None, words: int) -> list[bytes]:
 
 
 def _majority(shingles: list[bytes], size: int) -> bytes:
+    return np.packbits(2 * _bit_counts(shingles, size) > len(shingles)).tobytes()
+
+
+def _bit_counts(shingles: list[bytes], size: int) -> np.ndarray:
     counts = np.zeros(64 * size, np.int64)
     for start in range(0, len(shingles), CHUNK):
         part = shingles[start:start + CHUNK]
@@ -55,7 +62,7 @@ def _majority(shingles: list[bytes], size: int) -> bytes:
         for k in range(size):
             hashes[:, k] = np.fromiter(map(xxhash.xxh64_intdigest, part, repeat(SEED + k)), np.uint64, len(part))
         counts += np.unpackbits(hashes.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint32)
-    return np.packbits(2 * counts > len(shingles)).tobytes()
+    return counts
 
 
 def fingerprints(text: Column, words: int = 3, size: int = 1) -> Column:
@@ -71,15 +78,18 @@ def _distinct_hashes(shingles: list[bytes]) -> np.ndarray:
 
 
 def sketches(text: Column, words: int, size: int) -> Column:
-    """Struct (fp, digest, n) of the distinct shingles: their fingerprint, a digest that equal sets share, their number."""
-    @F.pandas_udf("fp binary, digest binary, n int")
+    """Struct (fp, margins, digest, n) of the distinct shingles: their fingerprint, one byte for each bit that tells how far
+    its vote was from a tie (in 64ths of a standard deviation), a digest that equal sets share, their number."""
+    @F.pandas_udf("fp binary, margins binary, digest binary, n int")
     def of(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             distinct = list(set(_shingles(t, words)))
             digest = blake2b(_distinct_hashes(distinct).tobytes(), digest_size=16).digest()
-            rows.append((_majority(distinct, size) if distinct else bytes(8 * size), digest, len(distinct)))
-        return pd.DataFrame(rows, columns=["fp", "digest", "n"])
+            votes = 2 * _bit_counts(distinct, size) - len(distinct)
+            margins = np.minimum(np.abs(votes) * 64 / max(1, len(distinct)) ** 0.5, 255).astype(np.uint8)
+            rows.append((np.packbits(votes > 0).tobytes(), margins.tobytes(), digest, len(distinct)))
+        return pd.DataFrame(rows, columns=["fp", "margins", "digest", "n"])
 
     return of(text)
 
@@ -147,6 +157,57 @@ def table_keys(reps: DataFrame, bits: int) -> DataFrame:
     return reps.select("node", "fp").mapInPandas(emit, "key bigint, node bigint")
 
 
+def table_plan(rows: int) -> tuple[int, int, int]:
+    """Bits of a key, keys of each row and tables to choose them from, for so many fingerprints.
+
+    Up to 2 ** 24 rows share tables of 20 bits; beyond, the width grows with the logarithm of the rows, so that the number of
+    unrelated rows in a bucket does not, and the keys by a fourth power of two for each bit, as a bit agrees with
+    probability 0.85 at the similarity asked for.
+    """
+    bits = max(20, int(np.ceil(np.log2(max(rows, 2)))) - 4)
+    keys = int(np.ceil(72 * 2 ** (0.25 * (bits - 20))))
+    return bits, keys, 16 * keys
+
+
+@lru_cache
+def _certain_tables(size: int, bits: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bits of each table, the same as a matrix of 0 and 1, and the price of a bit by its margin."""
+    deal = np.random.default_rng(SEED)
+    tables = np.stack([deal.permutation(size)[:bits] for _ in range(count)])
+    member = np.zeros((size, count), np.float32)
+    member[tables.T, np.arange(count)] = 1
+    slope = SAME_BIT / (1 - SAME_BIT ** 2) ** 0.5
+    price = np.array([round(-1000 * log(0.5 * (1 + erf(slope * m / 64 / 2 ** 0.5)))) for m in range(256)], np.float32)
+    return tables, member, price
+
+
+def certain_keys(reps: DataFrame, bits: int, keys: int, tables: int) -> DataFrame:
+    """Rows (key, node, fp): the keys of each row in those tables whose bits it is surest of.
+
+    A near copy flips the bits whose votes were close. The price of a bit is minus the logarithm of its chance to stay
+    in a text at the required similarity; each row takes its cheapest tables, near copies mostly the same ones. So half
+    the keys give the recall of tables taken without a look, and unrelated rows mostly take different tables.
+    """
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at:at + 500]
+                margins = np.frombuffer(b"".join(part["margins"]), np.uint8).reshape(len(part), -1)
+                places, member, price = _certain_tables(margins.shape[1], bits, tables)
+                # Sums of whole numbers, the same on every machine; equal prices go by table.
+                cost = (price[margins] @ member).astype(np.int64) * tables + np.arange(tables)
+                chosen = np.argpartition(cost, keys - 1, axis=1)[:, :keys]
+                one = np.unpackbits(np.frombuffer(b"".join(part["fp"]), np.uint8).reshape(len(part), -1), axis=1)
+                key = chosen.astype(np.int64) << bits
+                for k in range(bits):
+                    key |= np.take_along_axis(one, places[chosen, k], axis=1).astype(np.int64) << k
+                yield pd.DataFrame({
+                    "key": key.ravel(), "node": np.repeat(part["node"].to_numpy(), keys), "fp": np.repeat(part["fp"].to_numpy(), keys),
+                })
+
+    return reps.select("node", "fp", "margins").mapInPandas(emit, "key bigint, node bigint, fp binary")
+
+
 def _block_keys(bucket_rows: int) -> Column:
     """Keys of a row of a crowded bucket: its rows are dealt into blocks, and every two blocks make up a smaller bucket."""
     blocks = F.ceil(2 * F.col("__n") / bucket_rows).cast("int")
@@ -233,48 +294,103 @@ def _bucket_edges(radius: int):
     return _by_bucket(of)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.uint16)
+def _bucket_stars(radius: int, bucket_rows: int):
+    """Edges (a, b) that connect the rows of a bucket within the radius. The rows of a bucket above ``bucket_rows`` come
+    back as they are, with their key: they are counted and cut into blocks afterwards, and the worker never holds them."""
+    edges = _bucket_edges(radius)
 
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows, large = [], 0, None
 
-def _bucket_candidates(radius: int, similarity: float, nearest: bool):
-    """Pairs (a, b, d) of a bucket within the radius, of different labels, whose sizes allow the similarity: all, or of a
-    large bucket the two nearest of each row."""
-    def of(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> pd.DataFrame:
-        def allowed(i, j):
-            n, m = sizes[i], sizes[j]
-            return (labels[i] != labels[j]) & (np.minimum(n, m) >= similarity * np.maximum(n, m))
+        def whole(parts: list[pd.DataFrame]) -> pd.DataFrame:
+            stars = pd.concat([*edges(iter(parts))] or [pd.DataFrame({"a": [], "b": []}, dtype=np.int64)])
+            return stars.assign(key=None, fp=None)
 
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        count = np.diff(np.r_[starts, len(keys)])
-        found = []
-        small = np.repeat(count <= PAIR_ROWS, count)
-        for lag in range(1, min(PAIR_ROWS, int(count.max(initial=1)))):
-            i = np.flatnonzero((keys[lag:] == keys[:-lag]) & small[lag:])
-            i = i[allowed(i, i + lag)]
-            d = _distances(fps[i], fps[i + lag])
-            found.append((nodes[i[d <= radius]], nodes[i[d <= radius] + lag], d[d <= radius]))
-        for start, end in zip(starts[count > PAIR_ROWS], (starts + count)[count > PAIR_ROWS]):
-            if (labels[start:end] == labels[start]).all():
-                continue
-            every = np.arange(start, end)
-            for at in range(start, end, 64):
-                i = every[at - start:at - start + 64, None]
-                d = _distances(fps[i], fps[None, every])
-                d[~allowed(i, every[None, :]) | (d > radius)] = np.iinfo(np.uint16).max
-                if nearest:
-                    j = np.argpartition(d, 1, axis=1)[:, :2]
-                    d = np.take_along_axis(d, j, axis=1)
-                    row, place = np.nonzero(d <= radius)
-                    found.append((nodes[i[row, 0]], nodes[every[j[row, place]]], d[row, place]))
+        def passed(part: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"a": part["node"], "b": None, "key": part["key"], "fp": part["fp"]})
+
+        for batch in batches:
+            keys = batch["key"].to_numpy(np.int64)
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(batch) else []
+            ends = np.r_[starts[1:], len(keys)] if len(batch) else []
+            ready = []
+            for start, end in zip(starts, ends):
+                part = (start, end)
+                if start == 0 and large == keys[0]:
+                    yield passed(batch.iloc[start:end])
+                    continue
+                if start == 0 and held and held[-1]["key"].iloc[-1] == keys[0]:
+                    held.append(batch.iloc[start:end])
+                    rows += end - start
                 else:
-                    row, place = np.nonzero((d <= radius) & (every[None, :] > i))
-                    found.append((nodes[i[row, 0]], nodes[every[place]], d[row, place]))
-        a, b, d = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "d": d.astype(np.int32)})
-        return out[out["a"] != out["b"]].drop_duplicates()
+                    if held:
+                        yield whole(held)
+                    held, rows = [], 0
+                    if end < len(keys) and end - start <= bucket_rows:
+                        if end - start > 1:
+                            ready.append(part)
+                        continue
+                    held, rows = [batch.iloc[start:end]], end - start
+                if rows > bucket_rows:
+                    large = keys[start]
+                    yield from map(passed, held)
+                    held, rows = [], 0
+            if ready:
+                yield whole([batch.iloc[np.concatenate([np.arange(x, y) for x, y in ready])]])
+        if held:
+            yield whole(held)
+
+    return found
 
-    return _by_bucket(of)
+
+def _similar_edges(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Spanning forest of the rows whose sets have the Jaccard similarity, among those whose fingerprints are within the radius."""
+    sizes = np.array([len(x) for x in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = np.split(ids, np.cumsum(sizes)[:-1])
+    held = np.zeros(1 + max((int(x.max()) for x in ids if len(x)), default=0), bool)
+    found, left, todo = [], np.arange(1, len(nodes)), [0]
+    while todo or len(left):
+        if not todo:
+            todo, left = [left[0]], left[1:]
+        at = todo.pop()
+        other = left[sizes[left] > 0]
+        other = other[np.minimum(sizes[other], sizes[at]) / np.maximum(sizes[other], sizes[at]) >= similarity]
+        other = other[_near(fps[other], fps[at][None, :], radius)] if len(other) else other
+        if not len(other):
+            continue
+        held[ids[at]] = True
+        shared = np.add.reduceat(held[np.concatenate([ids[o] for o in other])].astype(np.int64), np.r_[0, np.cumsum(sizes[other])[:-1]])
+        held[ids[at]] = False
+        reached = other[shared / (sizes[other] + sizes[at] - shared) >= similarity]
+        found += [(int(nodes[at]), int(nodes[r])) for r in reached]
+        todo += reached.tolist()
+        left = np.setdiff1d(left, reached, assume_unique=True)
+    return found
+
+
+def _group_links(radius: int, similarity: float):
+    """Rows (key, node, fp, s) come sorted by key; a key's rows are a bounded group and are verified together."""
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+
+        def edges() -> pd.DataFrame:
+            nodes, fps, sets = zip(*held)
+            prints = np.frombuffer(b"".join(fps), np.uint64).reshape(len(fps), -1)
+            links = _similar_edges(np.array(nodes, np.int64), prints, [np.asarray(s, np.int64) for s in sets], radius, similarity)
+            return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+        for batch in batches:
+            for row in zip(batch["key"], batch["node"], batch["fp"], batch["s"]):
+                if row[0] != key:
+                    if len(held) > 1:
+                        yield edges()
+                    key, held = row[0], []
+                held.append(row[1:])
+        if len(held) > 1:
+            yield edges()
+
+    return found
 
 
 def _by_bucket(of):
@@ -351,63 +467,53 @@ def near_duplicates(
 STAGE = {"words": 5, "size": 4, "radius": 56, "similarity": 0.8}
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float, text: str) -> DataFrame:
-    """The pairs (a, b) of ids whose texts have the Jaccard similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    narrow = docs.select("doc_id", whole_text(text).alias("text"))
-    sets = cut_lineage(narrow.join(wanted, "doc_id", "left_semi").select("doc_id", shingle_sets(F.col("text"), words).alias("s")), "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    alike = both.filter(shared / (F.size("sa") + F.size("sb") - shared) >= similarity)
-    links = cut_lineage(alike.select("a", "b"), "verified")
-    discard(sets)
-    return links
+def candidate_groups(reps: DataFrame, radius: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Rows (node, component): components of the rows (node, fp, margins) that are within the radius and share a key.
+
+    Keys and fingerprints go through one shuffle, and only stars of edges leave it. Buckets above ``bucket_rows`` are cut
+    into blocks, every two of which meet.
+    """
+    keyed = certain_keys(reps, *table_plan(reps.count())).repartition("key").sortWithinPartitions("key")
+    stars = cut_lineage(keyed.mapInPandas(_bucket_stars(radius, bucket_rows), "a bigint, b bigint, key bigint, fp binary"), "stars")
+    crowded = stars.filter("b IS NULL").select("key", F.col("a").alias("node"), "fp")
+    sizes = crowded.groupBy("key").agg(F.count("*").alias("__n"))
+    blocks = crowded.join(sizes, "key").select(F.explode(_block_keys(bucket_rows)).alias("key"), "node", "fp")
+    more = blocks.repartition("key").sortWithinPartitions("key").mapInPandas(_bucket_edges(radius), "a bigint, b bigint")
+    groups = cut_lineage(components(stars.filter("b IS NOT NULL").select("a", "b").union(more)), "groups")
+    discard(stars)
+    return groups
 
 
 def similar_documents(
-    docs: DataFrame, words: int, size: int, radius: int, similarity: float, text: str = "text", bucket_rows: int = BUCKET_ROWS
+    docs: DataFrame, words: int, size: int, radius: int, similarity: float, text: str = "text", bucket_rows: int = BUCKET_ROWS,
+    group_shingles: int = GROUP_SHINGLES,
 ) -> DataFrame:
     """One row (node, component) per id that is linked with another: ids are linked if the distinct shingles of their texts have
     the Jaccard similarity; a component is named by its smallest id. Rows without doc_id are left out, as are ids that name
     several texts of different shingles.
 
-    Pairs whose fingerprints are within the radius and share a bucket are candidates, and every link is verified on the
-    texts. First the nearest candidates of each id are; then all others whose ends are not yet in one component:
-    a group that the nearest links join costs little, but one of many candidates below the similarity is listed pair by pair.
+    Rows whose fingerprints are within the radius and share a key are candidates. Each component of candidates is one group:
+    the shingles of its texts go to one task, and a forest of verified links is grown there, so no pair is listed. Groups
+    above ``group_shingles`` are dealt into blocks, every two of which make up a task.
     """
     docs = docs.filter("doc_id IS NOT NULL")
     sketched = cut_lineage(docs.select("doc_id", sketches(whole_text(text), words, size).alias("s")).select("doc_id", "s.*"), "sketches")
     print_ = F.xxhash64("digest")
     several = sketched.groupBy("doc_id").agg(F.min(print_).alias("low"), F.max(print_).alias("high")).filter("low < high")
     rows = sketched.join(several.select("doc_id"), "doc_id", "left_anti")
-    first = rows.groupBy("digest").agg(F.min("doc_id").cast("bigint").alias("node"), F.min("fp").alias("fp"), F.min("n").alias("n"))
+    first = rows.groupBy("digest").agg(F.min("doc_id").cast("bigint").alias("node"), *[F.min(c).alias(c) for c in ("fp", "margins", "n")])
     reps = cut_lineage(first, "representatives")
     same = rows.join(reps.select("digest", "node"), "digest").filter("doc_id <> node").select(F.col("doc_id").cast("bigint").alias("a"), F.col("node").alias("b"))
-    keyed = cut_lineage(table_keys(reps, 64 * size), "keys")
-
-    def candidates(labelled: DataFrame, keys: DataFrame, nearest: bool) -> DataFrame:
-        held = _bucket_rows(keys, labelled, bucket_rows).select("key", "node", "fp", "n", "label")
-        found = held.repartition("key").sortWithinPartitions("key")
-        return found.mapInPandas(_bucket_candidates(radius, similarity, nearest), "a bigint, b bigint, d int")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return _verified(pairs, docs, words, similarity, text)
-
-    near = candidates(reps.select("node", "fp", "n", F.col("node").alias("label")), keyed, True).distinct()
-    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other"))))
-    best = near.select("d", ends.alias("e")).groupBy("e.node").agg(F.slice(F.sort_array(F.collect_set(F.struct("d", "e.other"))), 1, NEAREST).alias("best"))
-    best = best.select("node", F.explode("best.other").alias("other"))
-    tried = cut_lineage(best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "tried")
-    links = verified(tried)
-    parts = cut_lineage(components(links), "parts")
-    labelled = cut_lineage(reps.join(parts, "node", "left").select("node", "fp", "n", F.coalesce("component", "node").alias("label")), "labels")
-    mixed = keyed.join(labelled.select("node", "label"), "node").groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    rest = candidates(labelled, keyed.join(mixed.select("key"), "key"), False).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    rest = cut_lineage(rest, "rest")
-    more = verified(rest)
-    edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more).union(same)
-    out = cut_lineage(components(edges), "components")
-    for table in (keyed, tried, rest, links, more, parts, labelled, reps, sketched):
+    groups = candidate_groups(reps, radius, bucket_rows).join(reps.select("node", "fp", "n"), "node")
+    large = groups.groupBy("component").agg(F.sum("n").alias("__n")).filter(F.col("__n") > group_shingles)
+    keys = F.when(F.col("__n").isNotNull(), _block_keys(group_shingles)).otherwise(F.array(F.xxhash64(F.lit("group"), "key")))
+    dealt = groups.withColumnRenamed("component", "key").join(large.withColumnRenamed("component", "key"), "key", "left")
+    dealt = cut_lineage(dealt.select(F.col("node").alias("doc_id"), "fp", keys.alias("keys")), "dealt")
+    sets = docs.select("doc_id", whole_text(text).alias("text")).join(dealt, "doc_id").select("doc_id", "fp", "keys", shingle_sets(F.col("text"), words).alias("s"))
+    held = sets.select(F.explode("keys").alias("key"), F.col("doc_id").cast("bigint").alias("node"), "fp", "s")
+    links = held.repartition("key").sortWithinPartitions("key").mapInPandas(_group_links(radius, similarity), "a bigint, b bigint")
+    out = cut_lineage(components(links.union(same)), "components")
+    for table in (dealt, reps, sketched):
         discard(table)
     return out
 

@@ -4,7 +4,9 @@ import numpy as np
 import xxhash
 
 from stowage.llm.common import components
-from stowage.llm.simhash import _bucket_edges, _bucket_rows, _links, drop_near_duplicates, near_duplicates, near_links, simhash
+from stowage.llm.simhash import (
+    STAGE, _bucket_edges, _bucket_rows, _links, drop_near_duplicates, near_duplicates, near_links, similar_documents, simhash, table_plan,
+)
 
 SCHEMA = "doc_id bigint, text string, fp int, component string"
 
@@ -158,3 +160,39 @@ def test_crowded_buckets_lose_no_pair(spark):
         held = _bucket_rows(keyed, reps, limit).select("key", "node", "fp").repartition("key").sortWithinPartitions("key")
         found = {tuple(sorted((r.a, r.b))) for r in held.mapInPandas(_bucket_edges(35), "a bigint, b bigint").collect()}
         assert found == {(2 * i, 2 * i + 1) for i in range(100)}
+
+
+def test_groups_in_blocks_are_those_in_one_task(spark):
+    """A chain of near copies, a ring of copies below the similarity and strangers; buckets and groups cut very small or not."""
+    rng = random.Random(31)
+    word = lambda: f"v{rng.randrange(10 ** 6)}"
+    base = [word() for _ in range(300)]
+    rows, text = [], list(base)
+    for i in range(40):
+        rows.append((i, " ".join(text)))
+        for _ in range(3):
+            text[rng.randrange(300)] = word()
+    centre = [word() for _ in range(300)]
+    for i in range(40):  # 12 changed words each: 0.8 or more to the centre's text only if it were here
+        far = list(centre)
+        for place in rng.sample(range(0, 300, 5), 12):
+            far[place] = word()
+        rows.append((100 + i, " ".join(far)))
+    rows += [(200 + i, " ".join(word() for _ in range(300))) for i in range(20)]
+    shingles = {i: {tuple(t.split()[k:k + 5]) for k in range(296)} for i, t in rows}
+    label = {i: i for i in shingles}
+    for a in shingles:
+        for b in shingles:
+            if a < b and label[a] != label[b] and len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b]) >= 0.8:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {k: new if v == old else v for k, v in label.items()}
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA)
+    wanted = {i: c for i, c in label.items() if list(label.values()).count(c) > 1}
+    for cut in ({}, {"bucket_rows": 6, "group_shingles": 4000}):
+        assert {r.node: r.component for r in similar_documents(df, **STAGE, **cut).collect()} == wanted
+
+
+def test_keys_grow_with_the_number_of_rows():
+    plans = [table_plan(n) for n in (0, 10 ** 6, 2 ** 24, 2 ** 28, 2 ** 36)]
+    assert [p[0] for p in plans] == [20, 20, 20, 24, 32]
+    assert all(a[1] <= b[1] for a, b in zip(plans, plans[1:])) and all(p[2] == 16 * p[1] for p in plans)
