@@ -509,7 +509,8 @@ def similar_documents(
     keys = F.when(F.col("__n").isNotNull(), _block_keys(group_shingles)).otherwise(F.array(F.xxhash64(F.lit("group"), "key")))
     dealt = groups.withColumnRenamed("component", "key").join(large.withColumnRenamed("component", "key"), "key", "left")
     dealt = cut_lineage(dealt.select(F.col("node").alias("doc_id"), "fp", keys.alias("keys")), "dealt")
-    sets = docs.select("doc_id", whole_text(text).alias("text")).join(dealt, "doc_id").select("doc_id", "fp", "keys", shingle_sets(F.col("text"), words).alias("s"))
+    # Merged at every size, as on tables too large to broadcast: small runs then tell how large ones grow.
+    sets = docs.select("doc_id", whole_text(text).alias("text")).join(dealt.hint("merge"), "doc_id").select("doc_id", "fp", "keys", shingle_sets(F.col("text"), words).alias("s"))
     held = sets.select(F.explode("keys").alias("key"), F.col("doc_id").cast("bigint").alias("node"), "fp", "s")
     links = held.repartition("key").sortWithinPartitions("key").mapInPandas(_group_links(radius, similarity), "a bigint, b bigint")
     out = cut_lineage(components(links.union(same)), "components")
