@@ -560,7 +560,8 @@ def rollback_batch(spark, sf_dir):
     steps, present = fx.shared_steps(_open_actions(spark, sf_dir))
     newest_first = fx.ledger_store(spark, sf_dir).transactions().selectExpr(
         "transaction_id", "CAST(substring(transaction_id, 4) AS BIGINT) - unix_date(CAST(created_at AS DATE)) * 10000000000 AS place")
-    judged = rollback_batch_plan.outcomes_in_order(steps, newest_first, present)
+    shown = steps.select("transaction_id", "seq", "type", "status", "from_path", "to_path")
+    judged = rollback_batch_plan.outcomes_in_order(shown, newest_first, present)
     return judged.select("transaction_id", "seq", "from_path", "to_path", "outcome", F.coalesce("outcome_error", F.lit("")).alias("error"),
                          F.coalesce("final_path", F.lit("")).alias("final_path"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from stowage.functions.paths import basename
 from stowage.operators.collisions import COLLISION_LIMIT, LAST_SUFFIX, _numbered, _parent
-from stowage.operators.skew import HOT_ROWS, lookup, rank_within
+from stowage.operators.skew import HOT_ROWS, hot_keys, lookup, lookup_with, rank_with, rank_within
 from stowage.plans.rollback import PLACE_TAKEN, TARGET_GONE, TRASH_GONE, UNKNOWN_TYPE
 from stowage.session import cut_lineage, discard
 
@@ -61,7 +61,11 @@ def _places(live: DataFrame, present: DataFrame, hot_rows: int) -> DataFrame:
 
 
 def _before(events: DataFrame, many: bool) -> DataFrame:
-    """Adds ``state``, that of the path before the event. A very common path is looked at block by block."""
+    """The events of paths with open ones, and ``state``, that of the path before the event. A very common path is looked at block
+    by block; ``events`` then have no others."""
+    if not many:
+        waits = F.max(~F.col("settled")).over(Window.partitionBy("path"))
+        events = events.withColumn("__waits", waits).filter("__waits").drop("__waits")
     reset = F.when(F.col("effect").isin(CLEAR, FILL), F.struct("pos", "effect"))
     up, down = (F.when((F.col("effect") == UNKNOWN) & side, F.col("pos")) for side in (F.col("k") >= 0, F.col("k") < 0))
     parts = {"__reset": reset, "__up": up, "__down": down}
@@ -114,27 +118,38 @@ def outcomes_in_order(
         (F.col("refusal").isNotNull() | (F.col("type") == "move") & (F.col("from_path") == F.col("to_path"))).alias("reads"))
     leaving = live.select("sid", "place", "back", "reads", F.col("to_path").alias("path"), F.lit(-1).alias("k"))
     events = leaving.unionByName(_places(live, present_paths, hot_rows))
-    events = rank_within(events, ["path"], [F.col("place"), F.col("back")], "pos", hot_rows)
+    turn = [F.col("place"), F.col("back")]
+    hot = hot_keys(events, ["path"], hot_rows)
+    many = hot is not None
+    events = rank_with(events, ["path"], turn, "pos", hot_rows, hot)
     there = present_paths.select("path", F.lit(True).alias("__there")).distinct()
-    events = lookup(events, there, ["path"], F.col("sid"), hot_rows).select(
-        "path", "pos", F.floor((F.col("pos") - 1) / hot_rows).cast("long").alias("block"), "sid", "k", "reads",
+    events = lookup_with(events, there, ["path"], F.col("sid"), hot)
+    # Each path is read again in every round: where none is very common, its first event stands for it.
+    first = F.first(F.struct("sid", "k")).over(Window.partitionBy("path").orderBy(*turn).rowsBetween(Window.unboundedPreceding, 0))
+    block = F.floor((F.col("pos") - 1) / hot_rows).cast("long") if many else F.lit(0).cast("long")
+    events = events.select(
+        (F.col("path") if many else first).alias("path"), "pos", block.alias("block"), "sid", "k", "reads",
         F.when(F.col("__there"), TAKEN).otherwise(FREE).alias("initial"), F.lit(UNKNOWN).alias("effect"), F.lit(False).alias("settled"))
     events = cut_lineage(events, "events")
-    many = not events.filter("block > 0").isEmpty()
 
+    columns = events.columns
     done: list[DataFrame] = []
     while True:
+        # One shuffle by path, one by step and one table for each round. Events of settled steps pass through.
         states = _before(events, many)
-        judged = _judge(states.filter("NOT settled"))
-        judged = cut_lineage(judged, "judged")
-        done.append(judged.filter("settled AND k < 0").select("sid", "there", "chosen"))
-        waiting = judged.filter("NOT settled").select("path").distinct()
-        if waiting.isEmpty():
-            break
-        kept = events.filter("settled").unionByName(judged.select(*events.columns))
-        old, events = events, cut_lineage(kept.join(waiting, "path", "left_semi"), "events")
+        passed = states.filter("settled").select(*columns, *[F.lit(None).cast("int").alias(c) for c in ("there", "chosen")])
+        judged = _judge(states.filter("NOT settled")).select(*columns, "there", "chosen")
+        judged = cut_lineage(judged if not done else passed.unionByName(judged), "judged")
+        done.append(judged.filter("settled AND k < 0 AND there IS NOT NULL").select("sid", "there", "chosen"))
+        waiting = judged.filter("NOT settled").select("path")
+        old = events
+        if not waiting.isEmpty():
+            events = judged.select(*columns)
+            if many:
+                events = cut_lineage(events.join(waiting.distinct(), "path", "left_semi"), "events")
         discard(old)
-    discard(events)
+        if events is old:
+            break
     found = done[0]
     for more in done[1:]:
         found = found.union(more)
