@@ -75,29 +75,37 @@ def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What follows from a row of `orders`. Shuffles carry the row, which is shorter, and these are worked out behind them.
+HEAD = {
+    "transaction_id": "concat('tx-', CAST(tx_key AS STRING))",
+    "type": "CASE tx_key % 3 WHEN 0 THEN 'organize' WHEN 1 THEN 'dedupe' ELSE 'rollback' END",
+    "status": """CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'O' THEN 'partially_completed'
+                      WHEN tx_key % 2 = 0 THEN 'rolled_back' ELSE 'pending' END""",
+    "dry_run": "(o_orderstatus = 'P' AND tx_key % 2 <> 0)",
+    "created_at": "CAST(o_orderdate AS TIMESTAMP_NTZ)",
+    "target_path": "concat('/data/p', CAST(o_custkey AS STRING))",
+}
+
+
+def _head(*names: str) -> dict[str, F.Column]:
+    return {n: F.expr(HEAD[n]) for n in names}
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey AS tx_key", "concat('tx-', CAST(o_orderkey AS STRING)) AS transaction_id",
-        "CASE o_orderkey % 3 WHEN 0 THEN 'organize' WHEN 1 THEN 'dedupe' ELSE 'rollback' END AS type",
-        """CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'O' THEN 'partially_completed'
-                WHEN o_orderkey % 2 = 0 THEN 'rolled_back' ELSE 'pending' END AS status""",
-        "(o_orderstatus = 'P' AND o_orderkey % 2 <> 0) AS dry_run",
-        "CAST(o_orderdate AS TIMESTAMP_NTZ) AS created_at",
-        "concat('/data/p', CAST(o_custkey AS STRING)) AS target_path",
-    )
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS tx_key", "o_orderstatus", "o_orderdate", "o_custkey")
 
 
 def _actions(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
+    # Rows that are equal up to here give equal actions, so the other columns need not break ties.
     order = [
-        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-        "l_returnflag", "l_linestatus", "l_shipdate",
+        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
     ]
-    lines, key = lines.withColumnRenamed("l_orderkey", "tx_key"), ["tx_key"]
+    lines, key = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tx_key"), *order), ["tx_key"]
     hot = hot_keys(lines, key)
     numbered = rank_with(lines, key, [F.col(c) for c in order], "seq", HOT_ROWS, hot)
-    head = orders.select("tx_key", "transaction_id", F.col("type").alias("tx_type"), F.col("status").alias("tx_status"), "dry_run")
-    joined = lookup_with(numbered, head, key, F.col("seq"), hot).filter("transaction_id IS NOT NULL")
+    known = orders.select("tx_key", "o_orderstatus", F.lit(True).alias("known"))
+    joined = lookup_with(numbered, known, key, F.col("seq"), hot).filter("known").withColumns(
+        _head("transaction_id", "type", "status", "dry_run")).withColumnsRenamed({"type": "tx_type", "status": "tx_status"})
     rows = joined.selectExpr(
         "transaction_id", "seq",
         "CASE tx_type WHEN 'organize' THEN 'move' WHEN 'dedupe' THEN 'delete' ELSE 'restore' END AS type",
@@ -159,14 +167,14 @@ def ledger_store(spark: SparkSession, sf_dir: str) -> CatalogueStore:
     store = CatalogueStore(spark, work_folder(spark, "ledger"))
     orders = _orders(spark, sf_dir)
     store.append("actions", _actions(spark, sf_dir, orders))
-    summary = ledger.transaction_summary(orders, store.actions())
-    store.append("transactions", summary.select(
+    counted = ledger.transaction_summary(orders.withColumns(_head("transaction_id")), store.actions())
+    store.append("transactions", counted.withColumns(_head("type", "status", "dry_run", "created_at", "target_path")).select(
         "transaction_id", F.lit(None).cast("string").alias("scan_id"), "type", "status",
         F.struct("moved_count", "deleted_count", "restored_count", "failed_count", "saved_bytes", "total_processed").alias("summary"),
         "target_path", "dry_run", F.when(F.col("type") == "dedupe", F.lit("keep-latest")).alias("strategy"), "created_at",
         F.when(~F.col("dry_run"), F.col("created_at")).alias("completed_at"),
     ))
-    store.append("status_events", _status_events(orders))
+    store.append("status_events", _status_events(orders.withColumns(_head("transaction_id", "type", "status", "dry_run", "created_at"))))
     return store
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stowage import schemas
+from stowage.session import COMPRESSION
 
 ATTEMPT = "attempt"
 #: Up to so many commits are named in a partition filter, more are joined.
@@ -121,7 +122,8 @@ class Run:
         typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
         if order:
             typed = typed.sortWithinPartitions(*partitions, *order)
-        typed.withColumn(ATTEMPT, F.lit(self.attempt)).write.mode("append").partitionBy(ATTEMPT, *partitions).parquet(self.store.path(table))
+        typed.withColumn(ATTEMPT, F.lit(self.attempt)).write.mode("append").partitionBy(ATTEMPT, *partitions).parquet(
+            self.store.path(table), compression=COMPRESSION)
 
     def read(self, table: str) -> DataFrame:
         """Rows of this attempt."""

@@ -17,6 +17,45 @@ from tests.test_rollback_ledger import ACTION, action
 AT = datetime.datetime(2024, 1, 1)
 
 
+def codecs(folder):
+    files = glob.glob(f"{folder}/**/*.parquet", recursive=True)
+    return {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files if pq.ParquetFile(f).metadata.num_row_groups}
+
+
+def test_written_tables_are_packed_tightly(spark, tmp_path):
+    assert codecs(cut_lineage(spark.range(100)).work_folder) == {"ZSTD"}
+    store = CatalogueStore(spark, str(tmp_path / "store"))
+    store.append("scan_errors", spark.createDataFrame([("s", "/a", "e")], schemas.SCAN_ERRORS))
+    assert codecs(store.path("scan_errors")) == {"ZSTD"}
+
+
+def tables(spark, folder):
+    # Rows that differ in status and date only, an unknown order, null keys and an order that comes twice.
+    lines = [
+        (1, 5, 7, 1, 2.0, 10.0, 0.1, 0.2, "N", "O", AT), (1, 5, 7, 1, 2.0, 10.0, 0.1, 0.2, "N", "F", AT), (1, 5, 7, 1, 2.0, 10.0, 0.1, 0.2, "A", "F", AT),
+        (9, 5, 7, 1, 2.0, 10.0, 0.1, 0.2, "N", "O", AT), (None, 5, 7, 1, 2.0, 10.0, 0.1, 0.2, "N", "O", AT), (3, 6, 8, 2, 1.0, 1.0, 0.0, 0.0, "R", "F", AT),
+    ]
+    spark.createDataFrame(lines, """l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double,
+        l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz""").write.parquet(f"{folder}/lineitem.parquet")
+    orders = [(1, 4, "O", AT), (3, 4, "F", AT), (3, 4, "F", AT), (None, 4, "F", AT)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz").write.parquet(f"{folder}/orders.parquet")
+    return fx._actions(spark, folder, fx._orders(spark, folder))
+
+
+def test_actions_are_built_from_the_columns_they_need(spark, tmp_path):
+    rows = tables(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    above_files = [line for line in plan.splitlines() if "Relation [" not in line]
+    assert not any("l_linestatus" in line or "l_shipdate" in line for line in above_files)
+    found = sorted((r.transaction_id, r.seq, r.type, r.status, r.from_path, r.to_path, r.file_size) for r in rows.collect())
+    assert found == [
+        ("tx-1", 1, "delete", "completed", "/data/p5/o1_1.txt", "/moved/s7/o1_1.txt", 2000),
+        ("tx-1", 2, "delete", "failed", "/data/p5/o1_2.txt", "/moved/s7/o1_2.txt", 2000),
+        ("tx-1", 3, "delete", "failed", "/data/p5/o1_3.txt", "/moved/s7/o1_3.txt", 2000),
+        *[("tx-3", 1, "move", "completed", "/data/p6/o3_1.txt", "/moved/s8/o3_1.txt", 1000)] * 2,
+    ]
+
+
 def test_rounds_do_not_carry_paths(spark):
     before = set(glob.glob(f"{checkpoint_root(spark)}/judged-*"))
     acts = spark.createDataFrame([action(1, "move", f"/p{i}", f"/p{i + 1}", tx=f"t{i}") for i in range(3)], ACTION)
