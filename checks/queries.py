@@ -432,7 +432,8 @@ def organize_summary(spark, sf_dir):
 @query
 def ledger_nested(spark, sf_dir):
     store = fx.ledger_store(spark, sf_dir)
-    rows = ledger.nested(store.transactions().select("transaction_id", "type"), store.actions())
+    rows = ledger.nested(store.transactions().select("transaction_id", "type"), store.actions(),
+                         fields=("seq", "type", "from_path", "status"))
     text = F.transform("actions", lambda a: F.concat_ws(":", a["seq"].cast("string"), a["type"], a["status"], a["from_path"]))
     return rows.select("transaction_id", "type", "page", F.size("actions").cast("bigint").alias("n"),
                        F.array_join(text, ",").alias("actions"))

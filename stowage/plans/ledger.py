@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions.paths import basename
-from stowage.operators.skew import HOT_ROWS, lookup
+from stowage.operators.skew import HOT_ROWS, hot_keys, lookup
 from stowage.session import cut_lineage, discard
 
 # Error codes of the file system and their texts.
@@ -94,13 +94,20 @@ def outcome_status(dry_run: Column, failed: Column) -> Column:
 PAGE = 10_000
 
 
-def nested(transactions: DataFrame, actions: DataFrame, page_size: int = PAGE) -> DataFrame:
+ITEM = ("seq", "action_id", "type", "from_path", "to_path", "status", "error", "file_hash", "file_size")
+
+
+def nested(transactions: DataFrame, actions: DataFrame, page_size: int = PAGE, fields: tuple[str, ...] = ITEM,
+           hot_rows: int = HOT_ROWS) -> DataFrame:
     """Transactions with their actions in order, as documents. The flat table stays the truth.
 
     A run may have any number of actions, so a document holds one page of them, page 0 first; ``seq``
-    counts from 1 without gaps, so no array exceeds ``page_size``.
+    counts from 1 without gaps, so no array exceeds ``page_size``. ``fields``, ``seq`` first, are those of an action that are
+    wanted. Where no run holds most actions, they are dealt out by transaction once, for the pages and for the join.
     """
-    item = F.struct("seq", "action_id", "type", "from_path", "to_path", "status", "error", "file_hash", "file_size")
+    item = F.struct(*fields)
+    if hot_keys(actions, ["transaction_id"], hot_rows) is None:
+        actions = actions.select("transaction_id", *fields).repartition("transaction_id")
     page = F.floor((F.col("seq") - 1) / page_size).cast("bigint")
     lists = actions.groupBy("transaction_id", page.alias("page")).agg(F.array_sort(F.collect_list(item)).alias("actions"))
     return transactions.join(lists, "transaction_id", "left").withColumns({

@@ -56,6 +56,19 @@ def test_actions_are_built_from_the_columns_they_need(spark, tmp_path):
     ]
 
 
+def test_nested_deals_actions_out_once(spark):
+    acts = spark.createDataFrame([action(i, "move", f"/a{i}", f"/b{i}", tx=t) for t in ("t", "u", None) for i in (2, 1, 3)], ACTION)
+    heads = spark.createDataFrame([("t",), ("t",), ("empty",), (None,)], "transaction_id string")
+    fields = ("seq", "type", "from_path", "status")
+    plain, hot = (ledger.nested(heads, acts, 2, fields, hot_rows=n) for n in (10**6, 2))
+    dealt = r"hashpartitioning\(transaction_id#\d+, [a-z_]"
+    assert not re.search(dealt, plain._jdf.queryExecution().executedPlan().toString())
+    assert re.search(dealt, hot._jdf.queryExecution().executedPlan().toString())
+    rows = [sorted((str(r.transaction_id), r.page, tuple(a.seq for a in r.actions)) for r in d.collect()) for d in (plain, hot)]
+    assert rows[0] == rows[1] == [("None", 0, ()), ("empty", 0, ()), *[("t", 0, (1, 2))] * 2, *[("t", 1, (3,))] * 2]
+    assert plain.schema["actions"].dataType.elementType.names == list(fields)
+
+
 def test_rounds_do_not_carry_paths(spark):
     before = set(glob.glob(f"{checkpoint_root(spark)}/judged-*"))
     acts = spark.createDataFrame([action(1, "move", f"/p{i}", f"/p{i + 1}", tx=f"t{i}") for i in range(3)], ACTION)
