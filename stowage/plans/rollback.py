@@ -68,6 +68,8 @@ def outcomes(actions: DataFrame, present_paths: DataFrame, failures: DataFrame |
     # Very common paths, such as the blank target of permanent deletes, are found before anything is joined.
     hot = hot_keys(todo.select(F.explode(F.array("to_path", "from_path")).alias("__path")), ["__path"], hot_rows)
     todo = _present(todo, present_paths, "to_path", "target_there", hot)
+    # At once, so that the second lookup need not carry the target along.
+    todo = todo.withColumn("target_there", F.col("target_there") & (F.col("to_path") != ""))
     todo = _present(todo, present_paths, "from_path", "place_taken", hot)
     if failures is not None:
         refused = failures.select("transaction_id", "seq", F.col("error").alias("refusal"))
@@ -76,7 +78,7 @@ def outcomes(actions: DataFrame, present_paths: DataFrame, failures: DataFrame |
         todo = todo.withColumn("refusal", F.lit(None).cast("string"))
 
     kind = F.col("type")
-    there = F.col("target_there") & (F.col("to_path") != "")
+    there = F.col("target_there")
     skip = (
         F.when((kind == "move") & ~there, F.lit(TARGET_GONE))
         .when((kind == "move") & F.col("place_taken"), F.lit(PLACE_TAKEN))

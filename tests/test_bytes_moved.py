@@ -69,6 +69,17 @@ def test_nested_deals_actions_out_once(spark):
     assert plain.schema["actions"].dataType.elementType.names == list(fields)
 
 
+def test_second_lookup_leaves_the_target_behind(spark):
+    acts = spark.createDataFrame([action(1, "move", "/a", "/x"), action(2, "delete", "/b", "")], ACTION)
+    present = spark.createDataFrame([("/x",), ("",)], "path string")
+    judged = rollback.outcomes(acts, present)
+    node = judged.select("transaction_id", "seq", "outcome")._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().apply(0)
+    assert "__path" in node.left().output().toString() and "to_path" not in node.left().output().toString()
+    assert {r.seq: r.outcome for r in judged.collect()} == {1: "restored", 2: "skipped"}
+
+
 def test_rounds_do_not_carry_paths(spark):
     before = set(glob.glob(f"{checkpoint_root(spark)}/judged-*"))
     acts = spark.createDataFrame([action(1, "move", f"/p{i}", f"/p{i + 1}", tx=f"t{i}") for i in range(3)], ACTION)
