@@ -532,7 +532,8 @@ def rollback_outcomes(spark, sf_dir):
 def rollback_restored_paths(spark, sf_dir):
     """Names restored files get: place taken gives the first free name for deletes."""
     actions = fx.ledger_store(spark, sf_dir).actions()
-    paths = rollback.restored_paths(_judged(spark, sf_dir), fx.present_paths(actions))
+    judged = _judged(spark, sf_dir).select("transaction_id", "seq", "type", "from_path", "outcome")
+    paths = rollback.restored_paths(judged, fx.present_paths(actions))
     return paths.select("transaction_id", "seq", "final_path")
 
 
