@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,11 @@ SEQUENCE = 2048
 END = 0
 #: Pieces that one task packs together. A group leaves about one underfull sequence, so this also bounds the waste.
 GROUP_ROWS = 4000
-#: Words, and parts of words, whose ids a Python worker remembers; it starts anew beyond.
-REMEMBERED = 200_000
+#: Characters of the words, or parts of words, whose ids a Python worker remembers, beyond those of one block of texts;
+#: as many again of those met before them.
+REMEMBERED = 2_000_000
+#: Characters of text whose distinct words are looked up together; a longer text goes alone.
+BLOCK_CHARS = 16_000_000
 #: Pieces of a bin that the two-for-one exchange looks at in pairs.
 PAIR_ITEMS = 48
 #: The search tries to empty this many of the emptiest bins at a time, and stops after so many exchanges in a group.
@@ -30,8 +35,8 @@ DONORS, EXCHANGES = 8, 500
 
 #: Words of these characters are cut here just as the tokenizer's own pattern cuts them, so that their parts can be
 #: remembered: ASCII and the letters of Latin-1, which lower one by one and are in normal form.
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+PLAIN = r"\A[!-~À-ÖØ-öø-ÿ]+\z"
+PART = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -42,57 +47,103 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class PartIds(dict):
-    """Ids of lower-case parts of words, as little-endian 32-bit numbers."""
+class Remembered:
+    """Ids by word or part, as little-endian 32-bit numbers, found when first asked for. Those not asked for lately are
+    forgotten, so common ones stay however many rare ones come between."""
+
+    def __init__(self, find: Callable[[str], list[int]]):
+        self.find, self.now, self.before, self.chars = find, {}, {}, 0
+
+    def of(self, keys: list[str]) -> list[bytes]:
+        """The ids of each of the distinct ``keys``."""
+        found = list(map(self.now.get, keys))
+        late = [i for i, f in enumerate(found) if f is None]
+        new, ids, ends = [], [], [0]
+        for i in late:
+            found[i] = self.before.get(keys[i])
+            if found[i] is None:
+                new.append(i)
+                ids += self.find(keys[i])
+                ends.append(4 * len(ids))
+        data = np.array(ids, "<u4").tobytes()
+        for i, start, end in zip(new, ends, ends[1:]):
+            found[i] = data[start:end]
+        for i in late:
+            self.now[keys[i]] = found[i]
+            self.chars += len(keys[i])
+        if self.chars >= REMEMBERED:
+            self.now, self.before, self.chars = {}, self.now, 0
+        return found
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.letters = _byte_letters()
+@lru_cache(maxsize=2)
+def _known(path: str) -> tuple[Remembered, Remembered]:
+    """Ids of lower-case parts of plain words, and of other words through the whole tokenizer."""
+    from tokenizers import Tokenizer
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        known = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
-        ids = [t.id for t in self.tokenizer.model.tokenize(known)]
-        self[part] = found = np.array(ids, "<u4").tobytes()
-        return found
+    tokenizer = Tokenizer.from_file(path)
+    model, letters = tokenizer.model, _byte_letters()
 
-    def whole(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def part(text: str) -> list[int]:
+        return [t.id for t in model.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(letters))]
 
+    return Remembered(part), Remembered(lambda word: tokenizer.encode(word, add_special_tokens=False).ids)
 
-class WordIds(dict):
-    """Ids of words: of plain ones part by part, of others through the whole tokenizer."""
 
-    def __init__(self, path: str):
-        self.parts = PartIds(path)
+def _joined(ids: pa.Array, bounds: np.ndarray) -> pa.Array:
+    """One value for each stretch of ``ids`` from one bound to the next."""
+    _, offsets, data = ids.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(ids) + 1)[bounds]
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(ends), data])
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if PLAIN.fullmatch(word) and "<|" not in word:
-            found = b"".join(map(self.parts.__getitem__, PART.findall(word.lower())))
-        else:
-            found = self.parts.whole(word)
-        self[word] = found
-        return found
 
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct parts between spaces, the number of each part in order, the bounds of each text in these)."""
+    lists = pc.split_pattern(texts, " ")
+    parts = lists.values.dictionary_encode()
+    return parts.dictionary, parts.indices.to_numpy(), lists.offsets.to_numpy()
 
-@lru_cache(maxsize=2)
-def _word_ids(path: str) -> WordIds:
-    return WordIds(path)
 
+def _block_ids(texts: list[str], path: str) -> pa.Array:
+    parts, wholes = _known(path)
+    binary = pa.large_binary()
+    blank = pa.array([t.replace("\n", " ").replace("\t", " ") for t in texts], pa.large_string())
+    words, order, bounds = _split(blank)
+    plain = pc.and_not(pc.match_substring_regex(words, PLAIN), pc.match_substring(words, "<|"))
+    cut, part_order, part_bounds = _split(pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), PART, r"\0 "))
+    part_ids = pa.array(parts.of(cut.to_numpy(zero_copy_only=False).tolist()), binary)
+    other_ids = pa.array(wholes.of(words.filter(pc.invert(plain)).to_pylist()), binary)
+    ids = pa.concat_arrays([_joined(part_ids.take(pa.array(part_order)), part_bounds), other_ids])
+    place = np.empty(len(words), np.int64)  # plain words come first in ids
+    place[np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable")] = np.arange(len(words))
+    return _joined(ids.take(pa.array(place[order])), bounds)
 
-def word_token_ids(text: str, path: str) -> bytes:
-    """Ids of a text for the word-wise tokenizer in ``path``, as little-endian 32-bit numbers.
 
-    The tokenizer lowers the text, drops white space and never joins across it, so each distinct word is encoded
-    once. Only spaces, tabs and line feeds are cut at: every one of these ends a word for it.
+def token_ids(texts: Iterable[str], path: str) -> Iterator[memoryview]:
+    """Ids of each text for the word-wise tokenizer in ``path``, as little-endian 32-bit numbers.
+
+    The tokenizer lowers the text, drops white space and never joins across it, so each distinct word of a block of
+    texts is looked up once, and of these each distinct part. Only spaces, tabs and line feeds are cut at: every one of
+    these ends a word for it.
     """
-    words = text.replace("\n", " ").replace("\t", " ").split(" ")
-    return b"".join(map(_word_ids(path).__getitem__, words))
+    block, chars = [], 0
+    for text in texts:
+        if block and chars + len(text) > BLOCK_CHARS:
+            yield from _views(_block_ids(block, path))
+            block, chars = [], 0
+        block.append(text)
+        chars += len(text)
+    if block:
+        yield from _views(_block_ids(block, path))
+
+
+def _views(ids: pa.Array) -> Iterator[memoryview]:
+    return (memoryview(i.as_buffer()) for i in ids)
+
+
+def word_token_ids(text: str, path: str) -> bytes:
+    """Ids of one text, see ``token_ids``."""
+    return bytes(next(token_ids([text], path)))
 
 
 def default_tokenizer() -> str:
@@ -111,8 +162,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, text: str = "text", si
     def cut(texts: pd.Series) -> pd.Series:
         path = tokenizer or default_tokenizer()
         out = []
-        for t in texts:
-            ids = memoryview(word_token_ids(t or "", path) + END.to_bytes(4, "little"))
+        for found in token_ids((t or "" for t in texts), path):
+            ids = memoryview(bytes(found) + END.to_bytes(4, "little"))
             out.append([
                 {"piece": i, "start": at // 4, "length": min(4 * size, len(ids) - at) // 4, "ids_crc32": zlib.crc32(ids[at:at + 4 * size])}
                 for i, at in enumerate(range(0, len(ids), 4 * size))

@@ -1,10 +1,13 @@
 import random
+import shutil
 import zlib
 
 import numpy as np
 import pytest
+import tokenizers
 from tokenizers import Tokenizer
 
+from stowage.llm import packing
 from stowage.llm.packing import best_fit, default_tokenizer, local_search, pack, word_token_ids
 
 SCHEMA = "doc_id bigint, text string, piece string, uid int, g int, offset string"
@@ -27,6 +30,42 @@ def test_word_by_word_is_the_tokenizer_itself(tokenizer):
         assert np.frombuffer(word_token_ids(t, default_tokenizer()), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_common_words_are_encoded_once(tokenizer, monkeypatch, tmp_path):
+    asked = []
+
+    class Counted:
+        model = property(lambda self: self)
+
+        @staticmethod
+        def from_file(path):
+            return Counted()
+
+        def tokenize(self, part):
+            asked.append(part)
+            return tokenizer.model.tokenize(part)
+
+        def encode(self, word, **options):
+            asked.append(word)
+            return tokenizer.encode(word, **options)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    monkeypatch.setattr(packing, "REMEMBERED", 100)
+    path = shutil.copy(default_tokenizer(), tmp_path / "other.json")  # nothing of it is remembered yet
+    rare = ["".join(p) for p in zip(*[iter(random.Random(7).choices("abcdefgh", k=6 * 900))] * 6)]
+    text = " ".join(w for i, r in enumerate(rare) for w in (f"common{'klmnopqrst'[i % 10]}", "日本", r))
+    assert np.frombuffer(word_token_ids(text, str(path)), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(asked) <= len(set(text.split())) + 1  # and the empty part
+
+
+def test_blocks_forget_and_keep_each_text_whole(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_CHARS", 60)
+    monkeypatch.setattr(packing, "REMEMBERED", 5)
+    texts = [*TEXTS, "", "läuft the 7 " * 30, *reversed(TEXTS), "word", ""]
+    found = [np.frombuffer(bytes(i), "<u4").tolist() for i in packing.token_ids(texts, default_tokenizer())]
+    assert found == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert list(packing.token_ids([], default_tokenizer())) == []
+
+
 def test_every_piece_once_and_no_gaps(spark, tokenizer):
     rng = random.Random(5)
     docs = [(i, " ".join(rng.choice(["the", "of", "läuft", "x9"]) for _ in range(rng.choice([1, 30, 500, 900, 3000])))) for i in range(60)]
